@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, chat, langid, mixing, quality, topk, warc
+from sluice.llm import bpe, chat, langid, minhash, mixing, quality, topk, warc
 
 QUERIES = {
     "op2_quality_divergence": quality.op2_quality_divergence,
     "op3_maxscore": topk.op3_maxscore,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_language_id": langid.op6_language_id,
+    "op7_minhash": minhash.op7_minhash,
     "op8_perspectives": chat.op8_perspectives,
     "op9_entropy_mix": mixing.op9_entropy_mix,
     "op10_warc": warc.op10_warc,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, chat, langid, minhash, mixing, quality, topk, warc
+from sluice.llm import bpe, chat, langid, minhash, mixing, quality, substrings, topk, warc
 
 QUERIES = {
     "op2_quality_divergence": quality.op2_quality_divergence,
     "op3_maxscore": topk.op3_maxscore,
+    "op4_recompression": substrings.op4_recompression,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_language_id": langid.op6_language_id,
     "op7_minhash": minhash.op7_minhash,

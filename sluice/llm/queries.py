@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, chat, langid, minhash, mixing, quality, substrings, topk, warc
+from sluice.llm import bpe, chat, langid, minhash, mixing, quality, substrings, topk, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity_chain": toxicity.op1_toxicity_chain,
     "op2_quality_divergence": quality.op2_quality_divergence,
     "op3_maxscore": topk.op3_maxscore,
     "op4_recompression": substrings.op4_recompression,

@@ -172,11 +172,12 @@ class Labeller:
         return np.array(path[::-1], np.int64)
 
 
-def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
+def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, lang_pred, score, spans) of every row, from its whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0 and no spans. Repeated rows
-    and null ids come back as they are; other columns aren't read. ``spans`` count the words
+    and null ids come back as they are; other columns aren't read, but those in ``carry`` come
+    along in a struct ``carried``. ``spans`` count the words
     (runs of letters) of the text. No shuffle; the model is of bounded size.
     """
 
@@ -191,10 +192,12 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
                 batch = whole.slice(at, 1000)
                 found = [labeller.label(t) for t in batch.column(1).to_pylist()]
                 spans = pa.array([[{"first_word": a, "n_words": n, "lang": x} for a, n, x in f[2]] for f in found], kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], names=["id", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans, *batch.columns[2:]], names=["id", "lang_pred", "score", "spans", *["carried"][: bool(carry)]])
 
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>"
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    kind = {f.name: f.dataType.simpleString() for f in src.schema}
+    schema = f"id {kind['id']}, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>"
+    schema += f", carried {kind['carried']}" if carry else ""
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

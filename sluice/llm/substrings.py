@@ -224,16 +224,17 @@ def _found_twice(rows: DataFrame) -> DataFrame:
     return rows.groupBy("u", "v").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
 
 
-def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept, removed array<struct<at,n>>) of every row.
 
     A word goes if a window of ``width`` words that covers it starts anywhere else too, in this
     or another document; windows are judged on the input. ``kept`` has the other words,
     joined by one space; ``removed`` the ranges taken out. A null or empty text has no words.
     Repeated rows are documents of their own, so each loses what it shares with the other.
-    Null ids are fine; only the two named columns are read.
+    Null ids are fine; only the two named columns are read, but those in ``carry`` come along in
+    a struct ``carried``.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     docs = docs.withColumns({"u": F.xxhash64("id", "text"), "v": F.hash("text")})
 
     def find_anchors(batches: Iterator) -> Iterator:
@@ -310,14 +311,17 @@ def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_
                     kept.append((b" ".join([w for w, x in zip(found, out.tolist(), strict=True) if not x]) if gone[-1] else b" ".join(found)).decode())
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
                     removed.append([{"at": int(x), "n": int(y - x)} for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, spans)], names=["id", "n_words", "n_removed", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, spans), *batch.columns[3:]], names=["id", "n_words", "n_removed", "kept", "removed", *["carried"][: bool(carry)]])
 
+    extra = ["carried"] if carry else []
     candidates = _found_twice(docs.select("id", "text", "u", "v").mapInArrow(find_anchors, PLACES))
     # documents meet their ranges twice; both joins deal the texts out alike, so Spark does it once
-    marks = _found_twice(docs.join(candidates, ["u", "v"]).select("id", "text", "u", "v", "ranges").mapInArrow(compare_windows, PLACES))
-    final = docs.join(marks, ["u", "v"], "left").select("id", "text", "ranges")
-    kind = docs.schema["id"].dataType.simpleString()
-    return final.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept string, removed array<struct<at:int,n:int>>").withColumnRenamed("id", id_col)
+    marks = _found_twice(docs.join(candidates, ["u", "v"]).select("id", "text", "u", "v", "ranges", *extra).mapInArrow(compare_windows, PLACES))
+    final = docs.join(marks, ["u", "v"], "left").select("id", "text", "ranges", *extra)
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = f"id {kind['id']}, n_words long, n_removed long, kept string, removed array<struct<at:int,n:int>>"
+    schema += f", carried {kind['carried']}" if carry else ""
+    return final.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,14 +66,30 @@ def _header(name: str) -> Column:
     return F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
 
 
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", MAGIC).text(path)
+
+
+def _content(data: Column) -> Column:
+    return F.unhex(F.sha2(data, 256))
+
+
+def bytes_of(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(content, bytes) of the wanted pieces, by another pass over the archives; equal pieces come once.
+
+    ``wanted`` is read from a written table, so Spark knows whether it is small enough to broadcast.
+    """
+    data = _scan(spark, path).select(F.col("value").cast("binary").alias("bytes")).withColumn("content", _content(F.col("bytes")))
+    return data.join(wanted.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("bytes").alias("bytes"))
+
+
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Every piece between two magics with its place: file, off (of its magic), succ (of the
-    successor that its header names, null without a sound header), header fields, bytes.
+    """Every piece between two magics: file, block and seq (its place), lengths, header fields,
+    SHA-1 of the payload if the piece holds all of it, and a hash by which its bytes can be found again.
 
-    Written once to the shared folder, since later stages read its narrow columns again and again.
+    Only these narrow rows are written to the shared folder, since later stages read them again and again.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
+    raw = _scan(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
     head = F.substring_index("value", END, 1)
     raw = raw.withColumns({"len": F.octet_length("value").cast("long"), "head": head}).withColumn("head_len", F.octet_length("head").cast("long"))
     declared = F.expr("try_cast(nullif(regexp_extract(head, '(?im)^Content-Length:[ \\\\t]*([0-9]{1,15})[ \\\\t]*$', 1), '') as bigint)")
@@ -83,7 +99,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     body = F.substring(F.col("bytes"), (F.col("head_len") + len(END) + 1).cast("int"), F.col("body_len").cast("int"))
     raw = raw.withColumn("body_sha1", F.when(whole, F.sha1(body)))
     fields = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "uri": "WARC-Target-URI", "digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
-    raw = raw.select("file", "file_size", "block", "seq", "len", "head_len", "body_len", "body_sha1", *[_header(v).alias(k) for k, v in fields.items()], "bytes")
+    raw = raw.select("file", "file_size", "block", "seq", "len", "head_len", "body_len", "body_sha1", *[_header(v).alias(k) for k, v in fields.items()], _content(F.col("bytes")).alias("content"))
     return materialise(raw, "warc-pieces")
 
 
@@ -137,14 +153,17 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
     owner = materialise(owner.select("file", "block", "seq", "off", "record", "n", F.coalesce("kept", F.lit(False)).alias("kept")), "warc-owners")
     key = ["file", "block", "seq"]
     # a payload with magic inside: its record's pieces are put together again
-    torn = owner.where("n > 1").drop("n", "kept").join(pieces.select(*key, "bytes"), key)
+    torn = owner.where("n > 1").drop("n", "kept").join(pieces.select(*key, "content"), key)
+    torn = materialise(torn.select("file", "record", "off", "content"), "warc-torn")
+    torn = torn.join(bytes_of(spark, path, torn), "content")
     whole = torn.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("off", "bytes"))).alias("parts"))
     gap = F.encode(F.lit(MAGIC), "UTF-8")
     glued = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["bytes"], lambda a, p: F.concat(a, gap, p["bytes"]))
     glued = whole.select("file", F.col("record").alias("off"), glued.alias("glued"))
-    cols = [c for c in pieces.columns if c not in ("bytes", "file_size", "len")] + (["bytes"] if payloads else [])
-    records = owner.where("kept").select(*key, "off", "n").join(pieces.select(*cols), key)
+    records = owner.where("kept").select(*key, "off", "n").join(pieces.drop("file_size", "len"), key)
     records = records.join(glued, ["file", "off"], "left")
+    if payloads:
+        records = records.join(bytes_of(spark, path, records), "content")
     cut = lambda c: F.substring(F.col(c), (F.col("head_len") + len(END) + 1).cast("int"), F.col("body_len").cast("int"))
     out = ["file", "off", "type", "record_id", "uri", "digest", "refers_to", "body_len", F.coalesce(F.sha1(cut("glued")), "body_sha1").alias("body_sha1")]
     return records.select(*out, *([F.coalesce(cut("glued"), cut("bytes")).alias("payload")] if payloads else []))

@@ -1,0 +1,485 @@
+"""Registered queries over the driver's tables, each with the same result in SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.functions import geometry as G
+from sluice.functions import ids
+from sluice.functions import scoring as S
+from sluice.operators import evaluate as E
+from sluice.operators import prune as P
+from sluice.operators import store, views
+from sluice.operators import telemetry as T
+from sluice.plans import publish as PL
+from sluice.sources.bindings import bound, source, with_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(tables: str = "", sql: str | None = None):
+    """Registers a query under its function's name; ``tables`` are the domain tables of its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = with_tables(tables, sql) if tables else sql
+        return f
+
+    return add
+
+
+def _now(spark, sf_dir):
+    return bound(spark, sf_dir, "items").agg(F.max("discovered_at").alias("now"))
+
+
+#: Scored items with bands, as SQL; normalisation is in double and rounded to float.
+_BANDED = """
+known AS (SELECT s.* FROM scores s WHERE s.model_version IN (SELECT model_version FROM registry)),
+joined AS (
+  SELECT i.*, s.score, s.model_version, r.decision_threshold AS t, ir.band AS item_override, gr.band AS group_override
+  FROM items i JOIN known s ON i.item_id = s.item_id LEFT JOIN registry r ON s.model_version = r.model_version
+  LEFT JOIN item_reviews ir ON i.item_id = ir.item_id LEFT JOIN group_reviews gr ON i.group_id = gr.group_id
+), normal AS (
+  SELECT *, CAST(CASE WHEN CAST(score AS DOUBLE) <= t THEN CAST(score AS DOUBLE) * 0.5 / t ELSE (0.5 * CAST(score AS DOUBLE) + 0.5 - t) / (1 - t) END AS FLOAT) AS normalized,
+    CASE group_override WHEN 'Low' THEN 0 WHEN 'MediumLow' THEN 1 WHEN 'MediumHigh' THEN 2 WHEN 'HighQuality' THEN 3 END AS group_rank FROM joined
+), banded AS (
+  SELECT *, COALESCE(CASE item_override WHEN 'Low' THEN 0 WHEN 'MediumLow' THEN 1 WHEN 'MediumHigh' THEN 2 WHEN 'HighQuality' THEN 3 END,
+    CASE WHEN normalized < 0.25 THEN 0 WHEN normalized < 0.5 THEN 1 WHEN normalized < 0.75 THEN 2 ELSE 3 END) AS item_rank FROM normal
+)"""
+_DOMAIN = "items scores registry item_reviews group_reviews existence"
+_LISTS = """
+specs(list, "order", lim, seconds) AS (VALUES ('v1-quality-48h', 'quality', '48h', 172800), ('v1-quality-1w', 'quality', '1w', 604800), ('v1-recency-4w', 'recency', '4w', 2419200), ('v1-recency-1y', 'recency', '1y', 31536000)),
+nowt AS (SELECT max(discovered_at) AS now FROM items),
+wide AS (SELECT b.* FROM banded b, nowt WHERE b.original_at >= now - to_seconds({widest})),
+visible AS (SELECT group_id FROM wide GROUP BY group_id HAVING least(min(item_rank), coalesce(min(group_rank), 9)) >= 2),
+rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id) AS rn FROM wide) WHERE rn = 1),
+chosen AS (SELECT rep.*, '{cdn}/' || split_part(rep.group_id, '/', 3) || '/' || substr(item_id, 4) || '@jpeg' AS image_url FROM rep JOIN visible USING (group_id)
+  WHERE rep.group_id LIKE '%/app.bsky.feed.post/%' AND item_id LIKE 'v3:%'),
+ranked AS (
+  SELECT s.list, s.lim, s.seconds, c.*, row_number() OVER (PARTITION BY s.list ORDER BY CASE WHEN s."order" = 'quality' THEN least(c.item_rank, coalesce(c.group_rank, 9)) END DESC NULLS LAST,
+    CASE WHEN s."order" = 'quality' THEN normalized END DESC NULLS LAST, CASE WHEN s."order" <> 'quality' THEN original_at END DESC NULLS LAST, item_id, group_id) AS position
+  FROM chosen c, specs s, nowt WHERE c.original_at >= now - to_seconds(s.seconds) {only}
+), lists AS (
+  SELECT r.list, r.lim, r.seconds, position, image_url, r.item_id, group_id, coalesce(group_exists, TRUE) AS group_exists, coalesce(url_exists, TRUE) AS url_exists,
+    coalesce(group_exists, TRUE) AND coalesce(url_exists, TRUE) AS live FROM ranked r LEFT JOIN existence e ON r.item_id = e.item_id
+)"""
+_CDN = "https://cdn.bsky.app/img/feed_fullsize/plain"
+
+
+def _lists_sql(widest: int = 31536000, only: str = "") -> str:
+    return _BANDED + "," + _LISTS.format(widest=widest, only=only, cdn=_CDN)
+
+
+def _lists(spark, sf_dir, names=("quality-48h", "quality-1w", "recency-4w", "recency-1y")):
+    b = lambda n: bound(spark, sf_dir, n)
+    specs = PL.spec_table(spark, list(names))
+    return PL.publish_lists(*(b(n) for n in _DOMAIN.split()), specs, _now(spark, sf_dir)), specs
+
+
+@query(_DOMAIN, _lists_sql(172800, "AND s.list = 'v1-quality-48h'") + " SELECT list, position, image_url, item_id, group_id, group_exists, url_exists, live FROM lists")
+def publish_quality_48h(spark, sf_dir):
+    """The flagship: one list end to end."""
+    return _lists(spark, sf_dir, ["quality-48h"])[0]
+
+
+@query(_DOMAIN, _lists_sql() + " SELECT list, position, image_url, item_id, group_id, group_exists, url_exists, live FROM lists")
+def publish_all_lists(spark, sf_dir):
+    """All lists in one plan."""
+    return _lists(spark, sf_dir)[0]
+
+
+@query(_DOMAIN + " interval_stats", _lists_sql() + """, win AS (SELECT s.list, s.lim, now - to_seconds(s.seconds) AS start, now FROM specs s, nowt),
+ex AS (SELECT w.list, sum(i.examined) AS examined FROM win w JOIN interval_stats i ON i.interval_start >= w.start AND i.interval_start < w.now GROUP BY 1),
+cnt AS (SELECT list, count(*) AS found, count(*) FILTER (WHERE live) AS ok FROM lists GROUP BY 1)
+SELECT w.list, w.start AS interval_start, w.now AS interval_end, CAST(coalesce(examined, 0) AS BIGINT) AS examined, coalesce(found, 0) AS found, coalesce(ok, 0) AS exists_n,
+  CASE WHEN coalesce(examined, 0) = 0 THEN 0.0 ELSE round(100.0 * coalesce(ok, 0) / examined, 6) END AS match_percent,
+  CASE WHEN coalesce(ok, 0) > 0 THEN CAST(round(-ln(1 - 0.5) / (CAST(ok AS DOUBLE) / (floor((epoch_us(w.now) - epoch_us(w.start)) / 1000000) * 1000))) AS BIGINT) END AS median_wait_ms
+FROM win w LEFT JOIN ex USING (list) LEFT JOIN cnt USING (list)""")
+def list_statistics(spark, sf_dir):
+    """Statistics of every list."""
+    lists, specs = _lists(spark, sf_dir)
+    out = PL.list_statistics(lists, bound(spark, sf_dir, "interval_stats"), specs, _now(spark, sf_dir))
+    wait = F.unix_millis("prediction.middle") - F.unix_millis(F.col("interval_end").cast("timestamp"))
+    return out.select("list", "interval_start", "interval_end", "examined", "found", F.col("exists").alias("exists_n"), F.round("match_percent", 6).alias("match_percent"), wait.alias("median_wait_ms"))
+
+
+@query(_DOMAIN, _lists_sql() + """, pick AS (SELECT list FROM lists WHERE live AND list LIKE '%-quality-%' AND seconds >= 172800 GROUP BY list, seconds ORDER BY seconds LIMIT 1)
+SELECT list, group_id, position, item_id, image_url, row_number() OVER (ORDER BY position) AS place FROM lists JOIN pick USING (list) WHERE live""")
+def serve_fallback(spark, sf_dir):
+    """The list that a reader of quality-48h gets."""
+    lists, specs = _lists(spark, sf_dir)
+    return PL.serve(lists, specs, "quality", 172800)
+
+
+@query(_DOMAIN, _lists_sql() + " SELECT DISTINCT item_id, group_id FROM lists")
+def check_candidates(spark, sf_dir):
+    """Pairs of all lists for one existence check."""
+    return PL.candidates(_lists(spark, sf_dir)[0])
+
+
+@query(_DOMAIN, _lists_sql() + """ SELECT l.list, l.position, l.item_id, s.score, s.model_version, r.band AS override_band FROM lists l
+JOIN scores s ON l.item_id = s.item_id LEFT JOIN item_reviews r ON l.item_id = r.item_id""")
+def list_detail(spark, sf_dir):
+    """J13."""
+    b = lambda n: bound(spark, sf_dir, n)
+    return PL.list_detail(_lists(spark, sf_dir)[0], b("scores"), b("item_reviews")).select("list", "position", "item_id", "score", "model_version", F.col("override").alias("override_band"))
+
+
+@query(_DOMAIN, _BANDED + " SELECT group_id, CAST(least(min(item_rank), coalesce(min(group_rank), 9)) AS INTEGER) AS rank FROM banded GROUP BY 1")
+def group_bands(spark, sf_dir):
+    """The effective band of every group."""
+    b = lambda n: bound(spark, sf_dir, n)
+    rows = views.with_scores(b("items"), views.known_scores(b("scores"), b("registry")))
+    return views.group_bands(views.with_bands(rows, b("registry"), b("item_reviews"), b("group_reviews")))
+
+
+@query("items scores registry item_reviews group_reviews", """ SELECT i.item_id, i.group_id, s.score, s.model_version, ir.band AS item_override, gr.band AS group_override,
+  CASE WHEN ir.band IS NOT NULL THEN ir.band WHEN s.score IS NULL THEN NULL WHEN r.decision_threshold IS NULL THEN 'MediumLow' ELSE
+  (SELECT CASE WHEN n < 0.25 THEN 'Low' WHEN n < 0.5 THEN 'MediumLow' WHEN n < 0.75 THEN 'MediumHigh' ELSE 'HighQuality' END FROM (SELECT CAST(CASE WHEN CAST(s.score AS DOUBLE) <= r.decision_threshold THEN CAST(s.score AS DOUBLE) * 0.5 / r.decision_threshold
+   ELSE (0.5 * CAST(s.score AS DOUBLE) + 0.5 - r.decision_threshold) / (1 - r.decision_threshold) END AS FLOAT) AS n)) END AS band
+FROM items i LEFT JOIN scores s ON i.item_id = s.item_id LEFT JOIN item_reviews ir ON i.item_id = ir.item_id LEFT JOIN group_reviews gr ON i.group_id = gr.group_id LEFT JOIN registry r ON s.model_version = r.model_version""")
+def review_rows(spark, sf_dir):
+    """The review table."""
+    b = lambda n: bound(spark, sf_dir, n)
+    return PL.review_rows(b("items"), b("scores"), b("registry"), b("item_reviews"), b("group_reviews")).select("item_id", "group_id", "score", "model_version", "item_override", "group_override", "band")
+
+
+@query("items scores", "SELECT i.item_id, i.discovered_at FROM items i WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.item_id = i.item_id)")
+def unscored_backlog(spark, sf_dir):
+    """J2, T6."""
+    return views.unscored(bound(spark, sf_dir, "items"), bound(spark, sf_dir, "scores")).select("item_id", "discovered_at")
+
+
+@query("items scores registry", """SELECT i.item_id, s.score, s.model_version FROM items i JOIN scores s ON i.item_id = s.item_id WHERE s.model_version IN (SELECT model_version FROM registry)
+AND i.discovered_at >= (SELECT max(discovered_at) FROM items) - INTERVAL 240 HOUR ORDER BY s.score DESC, i.item_id LIMIT 50""")
+def top_scored(spark, sf_dir):
+    """The best fifty of the last ten days."""
+    items = bound(spark, sf_dir, "items")
+    now = items.agg(F.max("discovered_at")).first()[0]
+    return views.top_scored(items, bound(spark, sf_dir, "scores"), bound(spark, sf_dir, "registry"), 50, 240, F.lit(now).cast("timestamp_ntz")).select("item_id", "score", "model_version")
+
+
+@query("items scores registry", """SELECT i.item_id, s.score FROM items i JOIN scores s ON i.item_id = s.item_id WHERE s.model_version IN (SELECT model_version FROM registry) AND i.original_at >= TIMESTAMP '2024-01-15 00:00:00'""")
+def scored_since(spark, sf_dir):
+    """Inclusive cutoff."""
+    b = lambda n: bound(spark, sf_dir, n)
+    return views.scored_since(b("items"), b("scores"), b("registry"), F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")).select("item_id", "score")
+
+
+@query("scores", """SELECT item_id, CAST(score / 2 AS FLOAT) AS score, 'c' AS model_version FROM scores WHERE score > 0.5 UNION ALL SELECT * FROM scores WHERE NOT score > 0.5""")
+def upsert_scores(spark, sf_dir):
+    """A re-score replaces the stored row of an item."""
+    base = bound(spark, sf_dir, "scores")
+    new = base.where("score > 0.5").select("item_id", (F.col("score") / 2).cast("float").alias("score"), F.lit("c").alias("model_version"))
+    return store.upsert(base, new, "item_id")
+
+
+@query("items", "SELECT item_id, group_id FROM items WHERE event_id % 6 <> 0")
+def delete_items(spark, sf_dir):
+    """S9."""
+    items = bound(spark, sf_dir, "items")
+    return store.delete_keys(items, items.where("event_id % 6 = 0"), "item_id").select("item_id", "group_id")
+
+
+@query("items", "SELECT DISTINCT item_id, group_id FROM items WHERE event_id % 3 <> 0")
+def insert_if_absent(spark, sf_dir):
+    """A batch with repeats meets a table that holds a third of it."""
+    items = bound(spark, sf_dir, "items").select("item_id", "group_id", "event_id")
+    return store.insert_if_absent(items.where("event_id % 3 = 0"), items.unionAll(items), "item_id").select("item_id", "group_id")
+
+
+@query("items scores", "SELECT * FROM scores WHERE item_id IN (SELECT item_id FROM items WHERE zone_no = 4)")
+def multi_get_scores(spark, sf_dir):
+    """S11, P2."""
+    return store.multi_get(bound(spark, sf_dir, "scores"), bound(spark, sf_dir, "items").where("zone_no = 4"), "item_id")
+
+
+@query("items", "SELECT item_id, group_id, zone_no FROM items WHERE item_id = 'v3:bafk500'")
+def point_get(spark, sf_dir):
+    """S10, P1."""
+    return store.get(bound(spark, sf_dir, "items").select("item_id", "group_id", "zone_no"), "item_id", "v3:bafk500")
+
+
+@query("items", "SELECT item_id, discovered_at FROM items WHERE discovered_at < TIMESTAMP '2024-01-20 00:00:00' ORDER BY discovered_at DESC, item_id LIMIT 25")
+def page_of_items(spark, sf_dir):
+    """Strict cursor."""
+    return store.page(bound(spark, sf_dir, "items"), F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), 25)[0].select("item_id", "discovered_at")
+
+
+@query("items", "SELECT item_id, discovered_at FROM items WHERE discovered_at >= TIMESTAMP '2024-01-25 00:00:00'")
+def newest_ids(spark, sf_dir):
+    """W6."""
+    return store.newest_ids(bound(spark, sf_dir, "items"), F.expr("TIMESTAMP_NTZ '2024-01-25 00:00:00'"))
+
+
+@query("items", "SELECT min(discovered_at) AS oldest, max(discovered_at) AS newest FROM items")
+def extremes(spark, sf_dir):
+    """A1."""
+    return store.extremes(bound(spark, sf_dir, "items"))
+
+
+@query("scores", "SELECT model_version, count(*) AS n FROM scores GROUP BY 1")
+def count_by_version(spark, sf_dir):
+    """A2, A3."""
+    return store.count_by_version(bound(spark, sf_dir, "scores"))
+
+
+@query("items", "SELECT group_id, min(discovered_at) AS first_seen FROM items GROUP BY 1")
+def distinct_groups(spark, sf_dir):
+    """A4."""
+    return store.distinct_groups(bound(spark, sf_dir, "items"))
+
+
+@query("interval_stats", """SELECT min(interval_start) AS interval_start, max(interval_end) AS interval_end, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(examined) AS BIGINT) AS examined, CAST(sum(saved) AS BIGINT) AS saved
+FROM interval_stats WHERE interval_start >= TIMESTAMP '2024-01-10 00:00:00' AND interval_start < TIMESTAMP '2024-01-20 00:00:00'""")
+def interval_totals(spark, sf_dir):
+    """Half open."""
+    t = lambda x: F.expr(f"TIMESTAMP_NTZ '{x} 00:00:00'").cast("timestamp")
+    out = store.interval_stats(bound(spark, sf_dir, "interval_stats"), t("2024-01-10"), t("2024-01-20"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("interval_start", "interval_end")})
+
+
+@query("items scores", "SELECT * FROM (SELECT 'items' AS name, count(*) AS n FROM items UNION ALL SELECT 'scores', count(*) FROM scores)")
+def snapshot_tokens(spark, sf_dir):
+    """Table tokens (the hash itself is Spark's own, so counts are compared here)."""
+    one = lambda n: store.snapshot_token(bound(spark, sf_dir, n)).where("token is not null").select(F.lit(n).alias("name"), "n")
+    return one("items").unionAll(one("scores"))
+
+
+_EXPOSED = """SELECT item_id, CASE WHEN item_id LIKE 'v3:%' THEN 'V3' ELSE 'V2' END AS scheme, substr(item_id, 4) AS value, split_part(group_id, '/', 3) AS did, split_part(group_id, '/', 4) AS collection, split_part(group_id, '/', 5) AS rkey,
+CASE WHEN item_id LIKE 'v3:%' THEN 'https://cdn.bsky.app/img/feed_fullsize/plain/' || split_part(group_id, '/', 3) || '/' || substr(item_id, 4) || '@jpeg' END AS url, strftime(discovered_at, '%Y-%m-%d %H:%M') AS seen, date_trunc('hour', discovered_at) AS hour FROM items"""
+
+
+@query("items", _EXPOSED)
+def parse_ids(spark, sf_dir):
+    """F5-F7, F13, F34, S4."""
+    i, g = ids.parse_item_id(F.col("item_id")), ids.parse_group(F.col("group_id"))
+    return bound(spark, sf_dir, "items").select("item_id", i["scheme"].alias("scheme"), i["value"].alias("value"), g["did"].alias("did"), g["collection"].alias("collection"), g["rkey"].alias("rkey"), ids.image_url(F.col("group_id"), F.col("item_id")).alias("url"), ids.short_time(F.col("discovered_at")).alias("seen"), F.date_trunc("hour", "discovered_at").cast("timestamp_ntz").alias("hour"))
+
+
+@query("scores registry", """SELECT item_id, score, s.model_version, CASE WHEN s.model_version LIKE 'v2:%' THEN 'V2' ELSE 'V1' END AS scheme, CAST(score AS DOUBLE) >= decision_threshold AS positive,
+CAST(CASE WHEN CAST(score AS DOUBLE) <= decision_threshold THEN CAST(score AS DOUBLE) * 0.5 / decision_threshold ELSE (0.5 * CAST(score AS DOUBLE) + 0.5 - decision_threshold) / (1 - decision_threshold) END AS FLOAT) AS normalized
+FROM scores s LEFT JOIN registry r ON s.model_version = r.model_version""")
+def normalized_scores(spark, sf_dir):
+    """Float scores against double thresholds."""
+    rows = bound(spark, sf_dir, "scores").join(views.small(bound(spark, sf_dir, "registry")), "model_version", "left")
+    t = F.col("decision_threshold")
+    return rows.select("item_id", "score", "model_version", ids.model_scheme(F.col("model_version")).alias("scheme"), S.is_positive(F.col("score"), t).alias("positive"), S.normalize(F.col("score"), t).alias("normalized"))
+
+
+@query("labelled", """SELECT count(*) FILTER (WHERE p AND positive) AS tp, count(*) FILTER (WHERE p AND NOT positive) AS fp, count(*) FILTER (WHERE NOT p AND NOT positive) AS tn, count(*) FILTER (WHERE NOT p AND positive) AS fn,
+round(count(*) FILTER (WHERE p AND positive) / nullif(count(*) FILTER (WHERE p), 0), 9) AS "precision", round(count(*) FILTER (WHERE p AND positive) / nullif(count(*) FILTER (WHERE positive), 0), 9) AS recall,
+round(2.0 * count(*) FILTER (WHERE p AND positive) / nullif(count(*) FILTER (WHERE p) + count(*) FILTER (WHERE positive), 0), 9) AS f1 FROM (SELECT *, CAST(score AS DOUBLE) >= 0.1 AS p FROM labelled)""")
+def confusion_prf(spark, sf_dir):
+    """A12, A13."""
+    out = E.prf(E.confusion(bound(spark, sf_dir, "labelled"), "score", "positive", F.lit(0.1)))
+    return out.select("tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("labelled", """SELECT round((SELECT sum((SELECT count(*) FROM labelled p WHERE p.positive AND p.score > n.score) + 0.5 * (SELECT count(*) FROM labelled p WHERE p.positive AND p.score = n.score)) FROM labelled n WHERE NOT n.positive)
+/ (count(*) FILTER (WHERE positive) * count(*) FILTER (WHERE NOT positive)), 9) AS roc_auc FROM labelled""")
+def roc_auc(spark, sf_dir):
+    """A14."""
+    return E.roc_auc(bound(spark, sf_dir, "labelled"), "score", "positive").select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query("labelled", """SELECT threshold, recall, "precision" FROM (SELECT t.score AS threshold, round((SELECT count(*) FROM labelled l WHERE l.positive AND l.score >= t.score) / (SELECT count(*) FROM labelled WHERE positive), 9) AS recall,
+round((SELECT count(*) FROM labelled l WHERE l.positive AND l.score >= t.score) / (SELECT count(*) FROM labelled l WHERE l.score >= t.score), 9) AS "precision" FROM (SELECT DISTINCT score FROM labelled) t) WHERE "precision" >= 0.9 ORDER BY recall DESC, threshold LIMIT 1""")
+def pin_at_precision(spark, sf_dir):
+    """A15."""
+    return E.pin_at_precision(bound(spark, sf_dir, "labelled"), "score", "positive", 0.9).select("threshold", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
+
+
+@query("labelled", """SELECT item_id, band, CASE WHEN row_number() OVER (PARTITION BY band ORDER BY md5('42|' || CAST(item_id AS VARCHAR)), item_id) <= floor(count(*) OVER (PARTITION BY band) * 200 / 1000) THEN 'test' ELSE 'train' END AS side FROM labelled""")
+def stratified_split(spark, sf_dir):
+    """W10, C5."""
+    return E.stratified_split(bound(spark, sf_dir, "labelled"), "item_id", "band", 0.8, 42).select("item_id", "band", "side")
+
+
+@query("labelled", """SELECT item_id, band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('7|' || CAST(item_id AS VARCHAR)), item_id) AS k, count(*) OVER (PARTITION BY band) AS n, count(*) OVER () AS total FROM labelled) WHERE k <= least(greatest(round(100 * n / total), 1), n)""")
+def stratified_sample(spark, sf_dir):
+    """W11."""
+    return E.stratified_sample(bound(spark, sf_dir, "labelled"), "item_id", "band", 100, 7).select("item_id", "band")
+
+
+_COSTED = "costed AS (SELECT u.*, CAST((CAST(tokens_in AS DECIMAL(18,0)) * price_in + CAST(tokens_out AS DECIMAL(18,0)) * price_out) AS DOUBLE) / 1000000 AS cost FROM usage u JOIN prices p ON u.model = p.model)"
+
+
+@query("usage prices", _COSTED + " SELECT model, count(*) AS items, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum(cost), 3) AS total, round(min(cost), 6) AS least_cost, round(max(cost), 6) AS most_cost FROM costed GROUP BY 1")
+def cost_by_model(spark, sf_dir):
+    """J11, F22, A16, A17, C9."""
+    costed = E.usage_cost(bound(spark, sf_dir, "usage"), bound(spark, sf_dir, "prices"))
+    d = lambda c, k: F.round(c.cast("double"), k)
+    return costed.groupBy("model").agg(F.count("*").alias("items"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), d(F.sum("cost"), 3).alias("total"), d(F.min("cost"), 6).alias("least_cost"), d(F.max("cost"), 6).alias("most_cost"))
+
+
+_FACES = """d AS (SELECT *, row_number() OVER () AS rid, greatest(least(x + width, 640) - greatest(x, 0), 0) * greatest(least(y + height, 480) - greatest(y, 0), 0) * 100 / (640.0 * 480.0) AS area FROM detections),
+z AS (SELECT d.rid AS zid, k, greatest(least(x + width, k % 3 * 160 + 320) - greatest(x, k % 3 * 160), 0) * greatest(least(y + height, k // 3 * 120 + 240) - greatest(y, k // 3 * 120), 0) AS a FROM d, range(9) t(k)),
+best AS (SELECT zid, CAST(k AS INTEGER) AS zone FROM (SELECT *, row_number() OVER (PARTITION BY zid ORDER BY a DESC, k DESC) AS rn FROM z) WHERE rn = 1),
+r AS (SELECT d.*, zone, list_filter([CASE WHEN area < 5 THEN 'FaceTooSmall' END, CASE WHEN area > 35 THEN 'FaceTooLarge' END, CASE WHEN face_skin < 30 THEN 'TooLittleFaceSkin' END, CASE WHEN outside_skin > 15 THEN 'TooMuchSkinOutsideFace' END, CASE WHEN text_pct > 10 THEN 'TooMuchText' END], lambda v: v IS NOT NULL) AS failed FROM d JOIN best ON zid = rid),
+judged AS (SELECT *, CASE WHEN n_faces > 1 THEN ['TooManyFaces'] WHEN n_faces = 0 OR tilt > 17.320508075688775 THEN ['TooFewFrontalFaces'] WHEN len(failed) > 0 THEN failed WHEN zone % 3 = 1 THEN ['FaceNotInAcceptedZone'] ELSE [] END AS reasons FROM r)"""
+
+
+def _judged(spark, sf_dir):
+    d = bound(spark, sf_dir, "detections")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    marks = F.struct(point(F.lit(0), F.lit(0)).alias("right_eye"), point(F.lit(30), F.col("tilt")).alias("left_eye"), point(F.lit(15), F.lit(10)).alias("nose"))
+    face = F.struct("x", "y", "width", "height", marks.alias("landmarks"))
+    d = d.withColumn("faces", F.array_repeat(face, F.col("n_faces")))
+    limits = {"min_face_area_pct": 5.0, "max_face_area_pct": 35.0, "min_face_skin_pct": 30.0, "max_outside_face_skin_pct": 15.0, "max_text_area_pct": 10.0}
+    c = G.classify(F.col("faces"), F.col("text_pct"), F.col("face_skin"), F.col("outside_skin"), 640.0, 480.0, limits, {"Face", "Text", "Metadata"})
+    return d.withColumn("c", c).withColumn("reasons", F.col("c.reasons"))
+
+
+@query("detections", _FACES + " SELECT item_id, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN zone ELSE -1 END AS zone_no FROM judged")
+def classify_items(spark, sf_dir):
+    """Verdict of every detection."""
+    zone = F.array_position(F.array(*map(F.lit, G.ZONES)), F.col("c.zone")) - 1
+    return _judged(spark, sf_dir).select("item_id", F.array_join("reasons", ",").alias("reasons"), F.when(F.size("reasons") == 0, zone).otherwise(-1).cast("int").alias("zone_no"))
+
+
+@query("detections", _FACES + """, u AS (SELECT rid, unnest(reasons) AS name FROM judged), c AS (SELECT DISTINCT rid, CASE WHEN name = 'TooMuchText' THEN 'Text' ELSE 'Face' END AS name FROM u)
+SELECT 'reason' AS kind, name, count(*) AS n FROM u GROUP BY name UNION ALL SELECT 'category', name, count(*) FROM c GROUP BY name
+UNION ALL SELECT 'sole', name, count(*) FROM (SELECT rid, min(name) AS name FROM c GROUP BY rid HAVING count(*) = 1) GROUP BY name""")
+def rejection_breakdown(spark, sf_dir):
+    """A8, F29."""
+    return P.rejection_breakdown(_judged(spark, sf_dir))
+
+
+@query("detections", _FACES + " SELECT flag, count(*) AS posts, count(*) AS images, count(*) FILTER (WHERE len(reasons) = 0) AS saved, count(*) FILTER (WHERE len(reasons) > 0) AS rejected, CAST(100.0 * count(*) FILTER (WHERE len(reasons) = 0) / count(*) AS FLOAT) AS hit_percent FROM judged GROUP BY 1")
+def prune_tally(spark, sf_dir):
+    """A7, A9, T2, F15."""
+    one = _judged(spark, sf_dir).select("flag", F.lit(1).alias("posts"), F.lit(1).alias("images"), (F.size("reasons") == 0).cast("int").alias("saved"), (F.size("reasons") > 0).cast("int").alias("rejected"))
+    return P.status_summary(P.tally(one, ("flag",)), F.lit(60)).drop("posts_per_s", "images_per_s")
+
+
+@query("spans", """SELECT trace_id, span_id, name, end_ns - start_ns AS duration_ns FROM spans s WHERE parent_id = '' OR parent_id NOT IN (SELECT span_id FROM spans)""")
+def trace_roots(spark, sf_dir):
+    """Roots of all traces."""
+    return T.roots(_spans(spark, sf_dir)).select("trace_id", "span_id", "name", "duration_ns")
+
+
+def _spans(spark, sf_dir):
+    return bound(spark, sf_dir, "spans").select("trace_id", "span_id", F.nullif("parent_id", F.lit("")).alias("parent_id"), "name", "start_ns", F.greatest(F.col("end_ns") - F.col("start_ns"), F.lit(0)).alias("duration_ns"))
+
+
+@query("spans", """s AS (SELECT trace_id, span_id, nullif(parent_id, '') AS parent_id, name, start_ns, end_ns - start_ns AS d FROM spans),
+f AS (SELECT *, CASE WHEN lag(name) OVER w = name THEN 0 ELSE 1 END AS c FROM s WINDOW w AS (PARTITION BY trace_id, parent_id ORDER BY start_ns, span_id)),
+g AS (SELECT *, sum(c) OVER (PARTITION BY trace_id, parent_id ORDER BY start_ns, span_id) AS run FROM f)
+SELECT g.trace_id, parent_id, CAST(run AS BIGINT) AS run, name, count(*) AS n, CAST(sum(d) AS BIGINT) AS total, max(t.m) AS trace_ns FROM g
+LEFT JOIN (SELECT trace_id, max(d) AS m FROM s WHERE parent_id IS NULL OR parent_id NOT IN (SELECT span_id FROM s) GROUP BY 1) t ON g.trace_id = t.trace_id GROUP BY g.trace_id, parent_id, run, name""")
+def trace_summary(spark, sf_dir):
+    """C15, W12, A27."""
+    return T.trace_summary(_spans(spark, sf_dir)).select("trace_id", "parent_id", F.col("run").cast("long").alias("run"), "name", "n", "total", "trace_ns")
+
+
+@query("scores", """SELECT model_version, le, count(*) AS n FROM (SELECT model_version, (SELECT min(b) FROM (VALUES (0.1), (0.2), (0.3), (0.4), (0.5), (0.6), (0.7), (0.8), (0.9)) v(b) WHERE CAST(score AS DOUBLE) <= CAST(b AS DOUBLE)) AS le FROM scores) GROUP BY 1, 2""".replace("min(b)", "min(CAST(b AS DOUBLE))"))
+def score_histogram(spark, sf_dir):
+    """A24."""
+    return T.histogram(bound(spark, sf_dir, "scores"), "score", [k / 10 for k in range(1, 10)], ("model_version",))
+
+
+@query("access_log", """SELECT operation, CASE WHEN operation IN ('put', 'list', 'copy') THEN 'A' ELSE 'B' END AS class, client, split_part(path, '/', 2) AS "table", CASE WHEN split_part(path, '/', 3) LIKE '%.manifest' THEN 'manifest' ELSE split_part(path, '/', 3) END AS kind,
+count(*) AS ops, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(millis) AS BIGINT) AS millis FROM access_log GROUP BY 1, 2, 3, 4, 5""")
+def access_rollup(spark, sf_dir):
+    """A25, F31."""
+    return T.access_rollup(bound(spark, sf_dir, "access_log"))
+
+
+@query("", """SELECT user_id, ts, value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts), 0) AS delta FROM events QUALIFY value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts), 0) > 0""")
+def counter_deltas(spark, sf_dir):
+    """W13."""
+    return P.counter_deltas(source(spark, sf_dir, "events"), "user_id", "ts", "value")
+
+
+@query("", """SELECT day, start, least(start + INTERVAL 1 MINUTE, stop) AS "end" FROM (SELECT day, stop, unnest(generate_series(a, stop - INTERVAL 1 MICROSECOND, INTERVAL 1 MINUTE)) AS start
+FROM (SELECT date_trunc('day', ts) AS day, min(ts) AS a, min(ts) + INTERVAL 630 SECOND AS stop FROM events GROUP BY 1))""".replace("SELECT day, start, least", "SELECT start, least"))
+def minute_windows(spark, sf_dir):
+    """W14, F34."""
+    days = source(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts")).agg(F.min("ts").alias("a")).withColumn("b", F.col("a") + F.expr("INTERVAL 630 SECOND"))
+    return T.minute_windows(days, "a", "b").select("start", "end")
+
+
+@query("usage", """m AS (SELECT model, item_id % 7 AS project, CAST(sum(tokens_in) AS DOUBLE) AS i, CAST(sum(tokens_out) AS DOUBLE) AS o FROM usage GROUP BY 1, 2)
+SELECT 'tokens_in' AS metric, model, CAST(project AS VARCHAR) AS project, i AS value FROM m UNION ALL SELECT 'tokens_out', model, CAST(project AS VARCHAR), o FROM m""")
+def labelled_samples(spark, sf_dir):
+    """Long samples with labels."""
+    m = bound(spark, sf_dir, "usage").groupBy("model", (F.col("item_id") % 7).alias("project")).agg(F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
+    out = T.to_samples(m, {"tokens_in": "i", "tokens_out": "o"}, ["model", "project"], F.lit(None).cast("timestamp"))
+    return out.select("metric", F.col("labels")["model"].alias("model"), F.col("labels")["project"].alias("project"), "value")
+
+
+@query("", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'porn' WHEN 1 THEN 'nudity,sexual' ELSE '' END AS blocked, event_id % 5 <> 0 AND event_id % 4 > 1 AS ok FROM events""")
+def thread_labels(spark, sf_dir):
+    """P6-P9 over nested JSON made from events."""
+    val = lambda *v: F.array(*[F.struct(F.lit(x).alias("val")) for x in v])
+    e = source(spark, sf_dir, "events")
+    k = F.col("event_id") % 4
+    none = F.array().cast("array<struct<val:string>>")
+    post = F.struct(F.when(k == 0, val("porn", "fun")).otherwise(none).alias("labels"), F.struct(F.when(k == 1, val("nudity")).otherwise(none).alias("labels")).alias("author"),
+                    F.struct(F.struct(F.struct(F.struct(F.when(k == 1, val("sexual", "nudity")).otherwise(none).alias("labels")).alias("author")).alias("record")).alias("record")).alias("embed"))
+    kind = F.when(F.col("event_id") % 5 == 0, "x#notFoundPost").otherwise("x#threadViewPost")
+    thread = F.to_json(F.struct(F.struct(kind.alias("$type"), post.alias("post")).alias("thread")))
+    e = e.select("event_id", thread.alias("j"))
+    return e.select("event_id", F.array_join(P.blocked_labels(F.col("j")), ",").alias("blocked"), P.viewable(F.col("j")).alias("ok"))
+
+
+@query("", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 410 WHEN 2 THEN 429 WHEN 3 THEN 403 WHEN 4 THEN 500 END IS NULL OR event_id % 6 NOT IN (0, 1) AS image_exists,
+event_id % 6 NOT IN (0, 1, 3) AS post_exists FROM events""")
+def existence_by_status(spark, sf_dir):
+    """P10, X3."""
+    k = F.col("event_id") % 6
+    status = F.when(k == 0, 404).when(k == 1, 410).when(k == 2, 429).when(k == 3, 403).when(k == 4, 500)
+    return source(spark, sf_dir, "events").select("event_id", P.exists_by_status(status, "image").alias("image_exists"), P.exists_by_status(status, "post").alias("post_exists"))
+
+
+@query("", """SELECT event_id, CASE WHEN event_id % 100 < 10 THEN NULL ELSE CAST((event_id % 100) / 100.0 AS FLOAT) END AS score FROM events""")
+def model_answers(spark, sf_dir):
+    """scores out of model text."""
+    n = F.col("event_id") % 100
+    text = F.when(n < 10, F.lit("no idea")).when(n < 50, F.concat(F.lit('Well: {"why": "x", "score": '), (n / 100).cast("string"), F.lit("} ok"))).otherwise((n / 100).cast("string"))
+    return source(spark, sf_dir, "events").select("event_id", ids.parse_model_score(text).alias("score"))
+
+
+@query("access_log", """SELECT client AS label, split_part(path, '/', 2) AS "table", count(*) AS queries, count(*) FILTER (WHERE millis > 100) AS slow, count(*) FILTER (WHERE bytes % 3 = 0) AS full_scans, max(millis) AS longest_ms FROM access_log GROUP BY 1, 2""")
+def query_log_report(spark, sf_dir):
+    """C17, F30, P24."""
+    log = bound(spark, sf_dir, "access_log")
+    plan = F.concat(F.lit("Read: uri="), F.col("path"), F.lit(", projection=[a, b], num_fragments=3, full_filter="), F.when(F.col("bytes") % 3 == 0, "--").otherwise("x > 1"))
+    return T.query_log_report(log.select(F.col("client").alias("label"), plan.alias("plan"), F.col("millis").alias("elapsed_ms")))
+
+
+@query("access_log", """SELECT split_part(path, '/', 2) AS "table", CAST(sum(bytes) AS BIGINT) AS "rows", count(*) AS files, count(*) FILTER (WHERE millis < 100) AS small_files, min(bytes) AS least, max(bytes) AS most, round(avg(bytes), 6) AS mean, quantile_cont(bytes, 0.5) AS p50, round(quantile_cont(bytes, 0.99), 6) AS p99 FROM access_log GROUP BY 1""")
+def table_health(spark, sf_dir):
+    """A26, C16 over a table of files."""
+    log = bound(spark, sf_dir, "access_log")
+    files = log.select(ids.object_table(F.col("path")).alias("table"), F.col("bytes").alias("rows"), F.col("millis").alias("bytes"), (F.col("operation") == "get").alias("indexed"))
+    return T.table_health(files, 100).select("table", "rows", "files", "small_files", "least", "most", F.round("mean", 6).alias("mean"), "p50", F.round("p99", 6).alias("p99"))
+
+
+@query("labelled", """SELECT metric, run FROM (SELECT 'best' AS metric, band AS run, avg(CAST(score AS DOUBLE)) AS m FROM labelled GROUP BY band) ORDER BY m DESC, run LIMIT 1""")
+def best_run(spark, sf_dir):
+    """Bands stand in for runs."""
+    runs = bound(spark, sf_dir, "labelled").groupBy(F.col("band").alias("run_id")).agg(F.avg(F.col("score").cast("double")).alias("f1")).withColumn("run_at", F.timestamp_seconds(F.lit(0)))
+    return E.best_run(runs, F.col("f1")).select(F.lit("best").alias("metric"), F.col("run_id").alias("run"))
+
+
+@query()
+def suppressed_boxes(spark, sf_dir):
+    """Boxes that no better box of the same part overlaps (greedy, so rows only)."""
+    d = bound(spark, sf_dir, "detections")
+    boxes = d.select(F.col("item_id").alias("item_id"), "x", "y", "width", "height", F.col("text_pct").alias("score")).withColumn("item_id", F.floor(F.col("item_id") / 10))
+    return P.suppress(boxes)
+
+
+@query()
+def text_union_share(spark, sf_dir):
+    """Area of the union of text boxes (a sweep, so rows only)."""
+    d = bound(spark, sf_dir, "detections").withColumn("item_id", F.floor(F.col("item_id") / 10))
+    box = F.struct(*[F.col(c).cast("int").alias(c) for c in ("x", "y", "width", "height")])
+    return P.union_share(d.groupBy("item_id").agg(F.collect_list(box).alias("lines")), 640, 480)

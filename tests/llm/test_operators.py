@@ -1,0 +1,300 @@
+"""Each operator against brute force, SQL or an exact round trip, and on nasty rows."""
+
+import os
+import random
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(__file__))
+import brute  # noqa: E402
+
+from sluice.llm import bpe, chat, langid, minhash, mixing, quality, queries, substrings, topk, toxicity, warc  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+rng = random.Random(5)
+VOCAB = ["the", "of", "and", "alpha", "beta", "gamma", "delta", "Größe", "été", "niño", "#x", "a|b", "end."]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) + str(r.randrange(40)) for _ in range(n))
+
+
+LONG = prose(9000, 1)
+PASSAGE = prose(60, 2)
+NEAR = prose(200, 3)
+ROWS = [
+    (1, None, "en", "a", 0),
+    (2, "", "en", None, 0),
+    (3, "   \n\t ", None, "b", 5),
+    (4, "one two", "en", "a", 7),
+    (5, "one two", "en", "a", 7),
+    (6, LONG, "de", "a", len(LONG)),
+    (7, prose(50, 4) + " " + PASSAGE + "\n" + prose(30, 5), "en", "b", 9),
+    (8, PASSAGE + " " + prose(80, 6), "fr", "c", 9),
+    (9, NEAR, "en", None, 1),
+    (10, NEAR + " tail", "en", "d", 1),
+    (11, NEAR, "en", "d", 1),
+    (12, "word " * 300, "en", "é", 1),
+    (13, "word " * 200, None, "Z", 1),
+    (14, "x\x0by\x0cz w v \r\n x\x0by", "en", "", 1),
+    (15, "Same line here\nSame line here\n\nother " * 3, "en", "a", 1),
+    (16, "1234 5678 ### ***", None, "a", 1),
+]
+CLASH = ["id", "ids", "text2", "u", "v", "row", "key", "n", "size", "copies", "h", "bucket", "target", "ws", "lines", "marks", "kept", "score", "minima", "by", "content", "role_", "body", "digest", "type", "carried"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, DOCS).repartition(3)
+    return df.select("*", *[F.lit("clash").alias(c) for c in CLASH]).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts():
+    return [(r[0], r[1]) for r in ROWS]
+
+
+def repeated(spark):
+    """Rows that repeat, and null ids."""
+    return spark.createDataFrame([*ROWS, ROWS[8], (None, PASSAGE, None, None, None), (None, None, None, None, None)], DOCS)
+
+
+# ---- op1 ----------------------------------------------------------------
+def test_toxicity_chain_finds_what_it_learnt(spark, docs, empty):
+    bad = [(k, prose(60, 100 + k) + (" vile scum" if k % 3 == 0 else ""), int(k % 2), int(k % 3 == 0)) for k in range(240)]
+    train = spark.createDataFrame(bad, "doc_id long, text string, low_quality int, toxic int").withColumn("low_quality", F.when(F.col("text").contains("vile"), 0).otherwise(F.col("low_quality")))
+    chain = toxicity.fit_chain(train, ("low_quality", "toxic"))
+    assert len(chain.links[1]) == 1 and len(chain.links[0]) == 0
+    got = toxicity.predict(train, chain).join(train.select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    assert got.where("toxic <> (y = 1)").count() == 0
+    assert toxicity.predict(docs, chain).count() == len(ROWS) and toxicity.predict(empty, chain).count() == 0
+    assert toxicity.predict(repeated(spark), chain).count() == len(ROWS) + 3
+    nothing = toxicity.fit_chain(train.limit(0), ("low_quality", "toxic"))
+    assert toxicity.predict(docs, nothing).where("toxic").count() == 0
+    assert toxicity.fit_chain(train, ("low_quality", "toxic")) == chain
+
+
+# ---- op2 ----------------------------------------------------------------
+def test_base_counts(spark, docs, empty):
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(docs).collect()}
+    assert got == {i: brute.base_counts(t) for i, t in texts()}
+    assert quality.judge(empty).count() == 0
+    assert quality.judge(repeated(spark)).count() == len(ROWS) + 3
+
+
+def test_divergence_spares_short_and_usual_texts(spark):
+    usual = [(k, prose(120, 200 + k), "en", "s", 0) for k in range(60)]
+    odd = [(90, " ".join(w + "%%%###$$$" for w in prose(120, 999).split()), "en", "s", 0), (91, "%%% ### one two three four five six seven eight nine ten", "en", "s", 0)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(usual + odd, DOCS)).collect()}
+    assert [i for i, kept in got.items() if not kept] == [90]
+
+
+def test_js_distance(spark):
+    a = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    r = spark.range(1).select(quality.js_distance(a(1, 1), a(2, 2)), quality.js_distance(a(1, 0), a(0, 3)), quality.js_distance(a(0, 0), a(1, 1))).first()
+    assert list(r) == [0.0, 1.0, None]
+
+
+# ---- op3 ----------------------------------------------------------------
+def test_maxscore_is_exact_with_ties_and_bad_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    rows = [(k, [rng.choice([-0.5, -0.1, 0.0, 0.2, 0.4, 0.9]) for _ in range(12)]) for k in range(400)]
+    rows += [(500, None), (550, [float("nan")] * 12), (600, [None] * 12), (650, [float("inf")] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("shard", F.lit(1))
+    single = [(i, None if e is None else [None if x is None else float(__import__("struct").unpack("f", __import__("struct").pack("f", x))[0]) for x in e]) for i, e in rows]
+    for shards, blocks in ((None, None), (3, 2)):
+        got = topk.top_k(df, df.where("vec_id % 50 = 0"), shards=shards, query_blocks=blocks)
+        assert sorted(tuple(r) for r in got.collect()) == brute.top5(single)
+    assert topk.top_k(df.limit(0), df).count() == 0
+    few = df.where("vec_id in (0, 1, 2)")
+    assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
+
+
+# ---- op4 ----------------------------------------------------------------
+def digest(df):
+    return sorted([tuple(r) for r in df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()], key=repr)
+
+
+def test_substrings_are_those_of_brute_force(spark, docs, empty, monkeypatch):
+    assert digest(substrings.remove_repeats(docs)) == brute.substrings(texts())
+    monkeypatch.setattr(substrings, "BATCH_WORDS", 60)
+    assert digest(substrings.remove_repeats(repeated(spark))) == brute.substrings([(r[0], r[1]) for r in repeated(spark).collect()])
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_substrings_of_periodic_and_shared_texts(spark):
+    base = prose(300, 50)
+    rows = [(k, " ".join(w if rng.random() > 0.01 else "edit" for w in base.split())) for k in range(25)]
+    rows += [(100, "a b " * 40), (101, "b a " * 40), (102, "a " * 34), (103, "a " * 35), (104, "c " * 36), (105, " ".join(map(str, range(35)))), (106, "q " + " ".join(map(str, range(35))) + " r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert digest(substrings.remove_repeats(df)) == brute.substrings(rows)
+
+
+# ---- op5 ----------------------------------------------------------------
+def test_bpe_like_the_library(spark, docs, empty, monkeypatch):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = bpe.default_vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert got == {i: (library.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts()}
+    assert bpe.encode(empty).count() == 0 and bpe.encode(repeated(spark)).count() == len(ROWS) + 3
+    monkeypatch.setattr(bpe, "LEAF_CHARS", 7)
+    monkeypatch.setattr(bpe, "LEAF_BYTES", 3)
+    small = bpe.BytePairMonoid(path, pattern)
+    parts = ["a", " ", "\n", "é", "'s", "'", "the", "1", "²", "\x1c", "\t", "漢", "aaaa", "🙂", "  ", "<|endoftext|>", "́"]
+    for k in range(1500):
+        t = "".join(rng.choice(parts[: 2 + k % len(parts)]) for _ in range(rng.randrange(60)))
+        assert small.encode(t) == library.encode_ordinary(t), t
+        assert small.decode(small.encode(t)) == t.encode()
+    assert small.encode("ab" * 900) == library.encode_ordinary("ab" * 900)
+
+
+def test_decode_of_bad_ids(spark):
+    df = spark.createDataFrame([(1, [1, 10**6]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in bpe.decode(df).collect()}
+    assert got == {1: None, 2: None, 3: b""}
+
+
+# ---- op6 ----------------------------------------------------------------
+def test_language_accuracy_on_held_out_rows(spark, sf_dir):
+    df = langid.op6_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
+    assert df.where("lang = lang_pred").count() / df.count() > 0.95
+
+
+def test_language_spans_and_odd_texts(spark, docs, empty):
+    train = [(k, t, lang) for k, (t, lang) in enumerate([("the house and the garden of the king", "en"), ("der garten und das haus der königin", "de"), ("дом и сад короля", "ru")] * 20)]
+    model = langid.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    mixed = "the house and the garden of the king " * 3 + "der garten und das haus der königin " * 3
+    rows = [(1, mixed), (2, None), (3, "123 !!"), (4, ""), (5, "сад"), (6, "漢字")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [s.lang for s in got[1].spans] == ["en", "de"] and got[1].spans[0].n_words == 24
+    assert [got[k].lang_pred for k in (2, 3, 4, 5)] == ["und", "und", "und", "ru"] and got[6].lang_pred in model.langs
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert langid.identify(docs, model).count() == len(ROWS) and langid.identify(empty, model).count() == 0
+    assert langid.identify(repeated(spark), langid.learn(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_viterbi_shortcut_gives_the_best_path():
+    import numpy as np
+
+    lab = langid.Labeller(langid.LanguageModel(("a", "b", "c"), {}, (0.0,) * 3), 2.0)
+    r = np.random.default_rng(3)
+
+    def worth(s, path):
+        return s[np.arange(len(s)), path].sum() - 2.0 * np.count_nonzero(np.diff(path))
+
+    for _ in range(60):
+        s = r.normal(size=(6, 3)) * r.choice([0.5, 3])
+        best = max(worth(s, np.array(p)) for p in __import__("itertools").product(range(3), repeat=6))
+        assert abs(worth(s, lab.viterbi(s)) - best) < 1e-9
+
+
+# ---- op7 ----------------------------------------------------------------
+def comps(df):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
+
+
+def test_near_duplicates_are_those_of_brute_force(spark, docs, empty):
+    got = minhash.near_duplicates(docs)
+    assert comps(got) == brute.components(texts())
+    assert got.where("kept <> (doc_id = component_id)").count() == 0
+    assert minhash.near_duplicates(empty).count() == 0
+    odd = minhash.near_duplicates(repeated(spark)).collect()
+    assert len(odd) == len(ROWS) + 3 and all(r.kept and r.component_id is None for r in odd if r.doc_id is None)
+
+
+def test_near_duplicate_families_with_chains(spark):
+    rows, k = [], 0
+    for family in range(6):
+        words = prose(150, 300 + family).split()
+        for _ in range(25):
+            rows.append((k, " ".join(words)))
+            k += 1
+            for _ in range(3):  # neighbours are alike, far members aren't
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    rows += [(k + i, PASSAGE + " " + prose(100, 700 + i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert comps(minhash.near_duplicates(df)) == brute.components(rows)
+
+
+# ---- op8 ----------------------------------------------------------------
+def test_perspectives_of_odd_dialogues(spark):
+    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 2, None, None), (1, 1, "bob", "yo"), (2, 0, "system", "s"), (None, None, "ann", "x"), (3, 0, "ann", "é漢")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("clash")).withColumn("by", F.lit(1))
+    out = chat.render(chat.rotate(df)).collect()
+    assert {(r.conv_id, r.speaker) for r in out} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann"), (3, "ann")}
+    bob = next(r for r in out if r.speaker == "bob")
+    assert bob.text == "<|user|>ann\nhi<|end|>\n" + "<|assistant|>\nyo<|end|>\n" * 2 + "<|user|>unknown\n<|end|>\n"
+    assert [bob.text[m.start : m.start + m.length] for m in bob.masks] == ["yo<|end|>\n"] * 2
+    parts = chat.render(chat.rotate(df), part_chars=10).where("conv_id = 1 and speaker = 'bob'").orderBy("part").collect()
+    assert len(parts) > 1 and "".join(p.text for p in parts) == bob.text
+    assert all(p.text[m.start : m.start + m.length] == "yo<|end|>\n" for p in parts for m in p.masks)
+    assert chat.render(chat.rotate(df.limit(0))).count() == 0
+
+
+# ---- op9 ----------------------------------------------------------------
+def test_mix_meets_targets(spark, docs, empty):
+    many = [(k, prose(rng.randrange(1, 120), 800 + k), "en", rng.choice(["a", "b", "c", None, "é", "Z"]), 0) for k in range(600)]
+    df = spark.createDataFrame(many, DOCS)
+    want = brute.targets([(r[3], len(brute.words(r[1]))) for r in many])
+    got = mixing.mix(df).collect()
+    assert len(got) == len(many)
+    per = {}
+    for r in got:
+        assert 0 <= r.copies <= 2 and abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source])
+        per[r.source] = per.get(r.source, 0) + r.copies * r.size
+    assert all(abs(per[s] - want[s]) <= 130 for s in want)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(7)).collect()))
+    assert mixing.mix(docs).count() == len(ROWS) and mixing.mix(empty).count() == 0
+    assert mixing.mix(repeated(spark)).count() == len(ROWS) + 3
+    assert mixing.mix(docs.where("doc_id in (1, 2)")).agg(F.sum("copies")).first()[0] == 0
+
+
+# ---- op10 ---------------------------------------------------------------
+def test_warc_with_magic_in_payloads(spark, tmp_path):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "a"), (2, "a"), (3, None), (5, ""), (4, inner + "WARC/1.1\r\n"), (6, "WARC/1.1\r\n"), (7, "é漢\r\n\r\nWARC/1.1\r\nfoo"), (8, "a"), (9, inner * 3), (10, "x" * 200_000)]
+    df = spark.createDataFrame([(i, "http://u/\r\n", h) for i, h in rows], "page_id long, url string, html string").withColumn("key", F.lit(1))
+    df.repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "3000"):  # archives are split within records too
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted(tuple(r) for r in warc.op10_warc(spark, str(tmp_path)).collect()) == brute.warc(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    path = f"{tmp_path}/archives"
+    warc.write_archives(warc.plan_records(df), path)
+    payloads = {r.record_id: bytes(r.payload) for r in warc.read_records(spark, path, payloads=True).collect() if r.type == "response"}
+    assert payloads["<urn:page:4>"] == (inner + "WARC/1.1\r\n").encode() and payloads["<urn:page:7>"] == rows[6][1].encode()
+    nothing = f"{tmp_path}/nothing"
+    warc.write_archives(warc.plan_records(df.limit(0)), nothing)
+    assert warc.read_records(spark, nothing).count() == 0
+
+
+# ---- all ----------------------------------------------------------------
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(name, same_as_sql):
+    same_as_sql(queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_query_digests(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = [tuple(r) for r in table]
+    four = sorted([tuple(r) for r in substrings.op4_recompression(spark, sf_dir).collect()], key=repr)
+    assert four == brute.substrings(rows)
+    assert comps(minhash.op7_minhash(spark, sf_dir)) == brute.components(rows)
+    two = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.op2_quality_divergence(spark, sf_dir).collect()}
+    assert two == {i: brute.base_counts(t) for i, t in rows}

@@ -15,11 +15,13 @@ From candidates to components:
 3. In every bucket the member of lowest rank is the pivot and all others are compared with it:
    a number of pairs linear in the bucket. Pairs are verified, first by the share of
    equal minima (which drops those that can't reach the threshold but with negligible
-   probability), then on the full sets.
-4. Verified links give components. Only buckets that still hold two or more components
-   are looked at again: members of different components that are neither pivot are compared,
-   each pair in the first table that it shares. So copies never make all pairs of a group, and
-   no link between different texts is lost.
+   probability), then on the full sets. Verified links give components.
+4. Documents of buckets that still hold two or more components are first sifted by what they share with
+   anything open at all (``reach``). The buckets that are left get further pivots, and only members that aren't in
+   the pivot's component yet are compared with it. So a large group of near copies grows together
+   in few rounds of linear size.
+5. At last, members of different components in a bucket are compared, all of them, each pair
+   once. So copies never make all pairs of a group, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ from sluice.llm.common import materialise, table
 
 #: Fixed seed of all hash functions, so that reruns agree.
 SEED = 20_240_607
+#: Pivots of a group grow by rounds up to this spread, but only while more pairs than these
+#: (and twice the members) are open; what is open after that is compared in full.
+MAX_SPREAD, FEW_PAIRS = 128, 20_000
+#: Sifting goes on while a round leaves at most this share of the open documents.
+SHRINKS = 0.95
 #: Shingles that are hashed at a time, and documents of a batch.
 BLOCK_SHINGLES, BATCH_DOCS = 4096, 500
 
@@ -47,7 +54,7 @@ class Banding:
     tuples: int = 18
     words: int = 5
     percent: int = 75
-    sure: float = 0.45
+    sure: float = 0.55
 
 
 def _mix(x):
@@ -157,16 +164,43 @@ def colliding(classes: DataFrame, rules: Banding) -> DataFrame:
 
 
 def buckets(hits: DataFrame) -> DataFrame:
-    """(key, id, pivot) of every bucket of two or more: tables are keyed by pairs of tuples.
+    """(key, id): tables are keyed by pairs of tuples, one row per key of a document."""
+    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
+    return hits.select("id", F.explode(pairs).alias("key"))
+
+
+def pivot_pairs(members: DataFrame, roots: DataFrame | None, spread: int) -> DataFrame:
+    """(x, y): in every bucket with two components or more, each member x with the pivot y, if
+    they are in different components.
 
-    The pivot is the member of lowest rank, in an order that is the same in all buckets. It is a
-    partial minimum joined back, so a bucket with a large share of all rows isn't hot.
+    The pivot has the lowest rank of a bucket. Ranks are the same in all buckets whose keys
+    agree modulo ``spread``, so a group of copies gets at most so many pivots, and the number of pairs is
+    linear in its size. Pivots are partial minima joined back, so no bucket is hot.
     """
-    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    rows = hits.select("id", F.explode(pairs).alias("key"))
-    rank = F.struct(F.xxhash64("id", F.lit(7)), F.col("id").alias("pivot"))
-    pivots = rows.groupBy("key").agg(F.min(rank).alias("low"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(pivots.select("key", F.col("low.pivot").alias("pivot")), "key")
+    rows = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    rank = F.struct(F.xxhash64("id", F.pmod("key", F.lit(spread)), F.lit(spread)), F.col("id").alias("y"), F.col("root").alias("y_root"))
+    pivots = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(rank).alias("p")).where("low <> high")
+    rows = rows.join(pivots.select("key", "p.y", "p.y_root"), "key")
+    return rows.where("root <> y_root").select(F.col("id").alias("x"), "y").distinct()
+
+
+def still_open(members: DataFrame, roots: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(key, id, root[, size, most]) of the buckets that hold two components or more.
+
+    With ``sizes`` (from ``reach``), members that can be linked with nothing of their bucket's sizes are left out.
+    """
+    rows = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    if sizes is not None:
+        rows = rows.join(sizes, "id")
+        rows = rows.join(rows.groupBy("key").agg(F.min("size").alias("least")), "key").where("least <= most").drop("least")
+    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return rows.join(split.select("key"), "key", "left_semi")
+
+
+def pairs_across(still: DataFrame) -> int:
+    """How many pairs of members of different components the open buckets have."""
+    per = still.groupBy("key", "root").agg(F.count("*").cast("decimal(20,0)").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return int(per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0))).first()[0])
 
 
 def similar_minima(pairs: DataFrame, classes: DataFrame, rules: Banding) -> DataFrame:
@@ -191,12 +225,8 @@ def similar_minima(pairs: DataFrame, classes: DataFrame, rules: Banding) -> Data
     return rows.select("x", "y", "mx", "my").mapInArrow(run, "x long, y long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, rules: Banding) -> DataFrame:
-    """The pairs (x, y) that reach the threshold on their full sets.
-
-    The sets of the documents in pairs are made anew from the texts and written once.
-    """
-    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame, rules: Banding) -> DataFrame:
+    """(id, hashes): the sets of the wanted documents as bytes of sorted 64-bit hashes, made anew from the texts."""
 
     def sets_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -208,7 +238,45 @@ def verify(pairs: DataFrame, docs: DataFrame, rules: Banding) -> DataFrame:
                 sets = [shingler.set_of(t).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets_of, "id long, hashes binary")
+    return docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets_of, "id long, hashes binary")
+
+
+def reach(sets: DataFrame, rules: Banding) -> DataFrame:
+    """(id, size, most): the largest set that an open document can still be linked with.
+
+    A shingle that no other open document has can't be shared with a partner, since a
+    partner is open too. With c shingles left, a partner of size m must have
+    percent * (size + m) <= (100 + percent) * c. So documents that have only one passage
+    in common and little else are ruled out one by one, without looking at pairs.
+    """
+
+    def split(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(at, BATCH_DOCS)
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "h"])
+
+    sizes = sets.groupBy("id").agg((F.max(F.octet_length("hashes")) / 8).cast("long").alias("size"), F.count("*").alias("texts"))
+    owners = sets.mapInArrow(split, "id long, h long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    own = owners.where("id = last").groupBy("id").agg(F.count("*").alias("own"))
+    p = rules.percent
+    most = F.floor((100 + p) * (F.col("size") - F.coalesce("own", F.lit(0))) / p) - F.col("size")
+    # an id with several texts (repeated rows) isn't judged
+    return sizes.join(own, "id", "left").select("id", "size", F.when(F.col("texts") > 1, F.lit(2**40)).otherwise(most).alias("most"))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, rules: Banding) -> DataFrame:
+    """The pairs (x, y) that reach the threshold on their full sets.
+
+    The sets of the documents in pairs are made anew from the texts and written once.
+    """
+    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
+    sets = shingle_sets(docs, wanted, rules)
     sets = materialise(sets, "shingle-sets")
     both = pairs.join(sets.selectExpr("id as x", "hashes as sx"), "x").join(sets.selectExpr("id as y", "hashes as sy"), "y")
 
@@ -265,17 +333,31 @@ def near_duplicates(df: DataFrame, rules: Banding = Banding(), id_col: str = "do
     reps = materialise(named.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
     classes = named.join(reps, F.expr("id = rep") & (named["set_key"] == reps["set_key"])).select("id", "n_shingles", "minima")
     classes = materialise(classes, "class-signatures")
+    check = lambda pairs: materialise(verify(similar_minima(pairs, classes, rules), docs, rules), "links")
     members = materialise(buckets(colliding(classes, rules)), "buckets")
-    tried = members.where("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
-    links = materialise(verify(similar_minima(tried, classes, rules), docs, rules), "links")
-    roots = components(links)
-    # buckets with more than one component: the pairs that no pivot has settled
-    seen = members.join(roots, "id", "left").select("key", "id", "pivot", F.coalesce("root", "id").alias("root"))
-    split = seen.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    still = materialise(seen.where("id <> pivot").join(split, "key", "left_semi").select("key", "id", "root"), "open-buckets")
-    other = still.selectExpr("key", "id as y", "root as other")
-    rest = still.selectExpr("key", "id as x", "root").join(other, "key").where("x < y and root <> other").select("x", "y").distinct()
-    more = materialise(verify(similar_minima(rest, classes, rules), docs, rules), "links")
+    links = check(pivot_pairs(members, None, 1))
+    roots, spread, sizes = components(links), 8, None
+    still = materialise(still_open(members, roots), "open-buckets")
+    sets = materialise(shingle_sets(docs, still.select("id").distinct(), rules), "open-sets")
+    left = sets.count()
+    while left:  # what is ruled out can rule out more
+        sizes = materialise(reach(sets, rules), "reach")
+        still = materialise(still_open(still, roots, sizes), "open-buckets")
+        sets = materialise(sets.join(still.select("id").distinct(), "id", "left_semi"), "open-sets")
+        before, left = left, sets.count()
+        if left > SHRINKS * before:
+            break
+    # more pivots for the members that no pivot has drawn in, while that saves comparing them all
+    while spread <= MAX_SPREAD and pairs_across(still) > FEW_PAIRS + 2 * still.count():
+        links = links.union(check(pivot_pairs(still.select("key", "id"), roots, spread)))
+        roots, spread = components(links), spread * 4
+        still = materialise(still_open(still, roots, sizes), "open-buckets")
+    if sizes is None:
+        still = still.selectExpr("*", "0L as size", "0L as most")
+    other = still.selectExpr("key", "id as y", "root as other", "size as y_size", "most as y_most")
+    near = "x < y and root <> other and size <= y_most and y_size <= most"
+    rest = still.selectExpr("key", "id as x", "root", "size", "most").join(other, "key").where(near).select("x", "y").distinct()
+    more = check(rest)
     same_id = named.join(reps, "set_key").where("id <> rep").select(F.col("id").alias("x"), F.col("rep").alias("y"))
     links = roots.selectExpr("id as x", "root as y").union(more).union(same_id)
     roots = components(links)

@@ -168,19 +168,33 @@ def batches_of_words(batches: Iterator, text_col: int, hashes: WordHashes):
 
 
 #: Rows that say where a key is: k1, k2 (the key), u, v (the document; null: it only informs),
-#: at, n (so many window starts from word ``at``), weight (places of the key known to the sender, 2 at most).
-PLACES = "k1 long, k2 long, u long, v int, at int, n int, weight int"
+#: place: window start, number of windows and weight (places of the key known to the sender, 2 at most), packed.
+PLACES = "k1 long, k2 long, u long, v int, place long"
 
 
-def _rows(k1, k2, u, v, at, n, weight, known_to):
+def _rows(k1, k2, u, v, at, n, weight, nowhere=None):
     import numpy as np
     import pyarrow as pa
 
-    none = np.zeros(len(k1), bool) if known_to is None else known_to
-    return pa.RecordBatch.from_arrays(
-        [pa.array(k1), pa.array(k2), pa.array(u, mask=none), pa.array(v, mask=none), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(weight.astype(np.int32))],
-        names=["k1", "k2", "u", "v", "at", "n", "weight"],
-    )
+    none = np.zeros(len(k1), bool) if nowhere is None else nowhere
+    place = (at.astype(np.int64) << 33) | (n.astype(np.int64) << 2) | weight
+    return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(u, mask=none), pa.array(v, mask=none), pa.array(place)], names=["k1", "k2", "u", "v", "place"])
+
+
+def _inform(k1, k2):
+    """One row per key that says that it has two places or more, and no more."""
+    import numpy as np
+
+    zero = np.zeros(len(k1), np.int64)
+    return _rows(k1, k2, zero, zero.astype(np.int32), zero, zero, 2, np.ones(len(k1), bool))
+
+
+def _settled(u, v, at, n):
+    """Rows for ranges whose windows are known to be repeated, under keys of their own."""
+    import numpy as np
+
+    spread = _mix(u.view(np.uint64) + _mix(at.astype(np.uint64))).view(np.int64)
+    return _rows(spread, spread, u, v, at, n, 2)
 
 
 def _report(k1, k2, u, v, at, n, twice):
@@ -190,19 +204,16 @@ def _report(k1, k2, u, v, at, n, twice):
 
     own = ~twice
     if own.any():
-        yield _rows(k1[own], k2[own], u[own], v[own], at[own], n[own], np.ones(own.sum()), None)
+        yield _rows(k1[own], k2[own], u[own], v[own], at[own], n[own], 1)
     if twice.any():
         t = np.flatnonzero(twice)
-        spread = _mix(u[t].view(np.uint64) + _mix(at[t].astype(np.uint64))).view(np.int64)
         # neighbouring ranges of one document travel as one row
         new = np.ones(len(t), bool)
         new[1:] = (u[t[1:]] != u[t[:-1]]) | (v[t[1:]] != v[t[:-1]]) | (at[t[1:]] != at[t[:-1]] + n[t[:-1]])
         heads = np.flatnonzero(new)
-        total = np.add.reduceat(n[t], heads)
-        yield _rows(spread[heads], spread[heads], u[t][heads], v[t][heads], at[t][heads], total, np.full(len(heads), 2), None)
+        yield _settled(u[t][heads], v[t][heads], at[t][heads], np.add.reduceat(n[t], heads))
         _, one = np.unique(np.stack([k1[t], k2[t]]), axis=1, return_index=True)
-        zero = np.zeros(len(one), np.int64)
-        yield _rows(k1[t][one], k2[t][one], zero, zero.astype(np.int32), zero, zero, np.full(len(one), 2), np.ones(len(one), bool))
+        yield _inform(k1[t][one], k2[t][one])
 
 
 def _many(k1, k2):
@@ -219,9 +230,21 @@ def _many(k1, k2):
 
 def _found_twice(rows: DataFrame) -> DataFrame:
     """(u, v, ranges): per document the window ranges whose key has two places or more."""
-    total = F.sum("weight").over(Window.partitionBy("k1", "k2"))
+    total = F.sum(F.col("place").bitwiseAND(3)).over(Window.partitionBy("k1", "k2"))
     rows = rows.withColumn("total", total).where("total > 1 and u is not null")
-    return rows.groupBy("u", "v").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
+    at, n = F.shiftright("place", 33).cast("int").alias("at"), F.shiftright("place", 2).bitwiseAND(2**31 - 1).cast("int").alias("n")
+    return rows.groupBy("u", "v").agg(F.collect_list(F.struct(at, n)).alias("ranges"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(u, v, first): the documents whose whole text is there more than once, and which of them is the first.
+
+    Narrow rows with partial sums; the hot text of many copies is no trouble.
+    """
+    narrow = docs.select("u", "v", F.sha2("text", 256).substr(1, 32).alias("t"))
+    twice = narrow.groupBy("t").agg(F.count("*").alias("n"), F.min("u").alias("first")).where("n > 1").drop("n")
+    rows = narrow.join(twice, "t").select("u", "v", (F.col("u") == F.col("first")).alias("first"))
+    return rows.groupBy("u", "v").agg(F.max("first").alias("first"))
 
 
 def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -265,7 +288,7 @@ def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_
             # empty documents share a start with the next one: the last of those has the words
             u, v = part.column(2).to_numpy()[which], part.column(3).to_numpy()[which]
             at = p[head] - starts[which]
-            yield from _report(key, key, u, v, at, n, twice)
+            yield from _report(key, np.zeros_like(key), u, v, at, n, twice)
 
     def compare_windows(batches: Iterator) -> Iterator:
         import gc
@@ -286,9 +309,20 @@ def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_
             which = which[one]
             if not len(p):
                 continue
+            u, v = part.column(2).to_numpy(), part.column(3).to_numpy()
+            role = part.column(5).to_numpy(zero_copy_only=False)  # 0: no copies, 1: the first of several, 2: another one
+            sizes = np.diff(np.append(starts, len(h)))
+            whole = np.flatnonzero((role > 0) & (sizes >= width))
+            if len(whole):  # a copy is repeated as a whole
+                yield _settled(u[whole], v[whole], np.zeros(len(whole), np.int64), sizes[whole] - width + 1)
+            p, which = p[role[which] < 2], which[role[which] < 2]
             k1, k2 = window_hashes(h, p, width)
-            u, v = part.column(2).to_numpy()[which], part.column(3).to_numpy()[which]
-            yield from _report(k1, k2, u, v, p - starts[which], np.ones(len(p), np.int64), _many(k1, k2))
+            tell = role[which] == 1  # what it shares with others, they must hear of once
+            if tell.any():
+                _, one = np.unique(np.stack([k1[tell], k2[tell]]), axis=1, return_index=True)
+                yield _inform(k1[tell][one], k2[tell][one])
+            p, which, k1, k2, known = p[~tell], which[~tell], k1[~tell], k2[~tell], _many(k1, k2)[~tell]
+            yield from _report(k1, k2, u[which], v[which], p - starts[which], np.ones(len(p), np.int64), known)
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
@@ -314,9 +348,11 @@ def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, spans), *batch.columns[3:]], names=["id", "n_words", "n_removed", "kept", "removed", *["carried"][: bool(carry)]])
 
     extra = ["carried"] if carry else []
+    role = F.when(F.col("first"), 1).when(~F.col("first"), 2).otherwise(0).alias("role")
     candidates = _found_twice(docs.select("id", "text", "u", "v").mapInArrow(find_anchors, PLACES))
+    candidates = candidates.join(copies(docs), ["u", "v"], "left").select("u", "v", "ranges", role)
     # documents meet their ranges twice; both joins deal the texts out alike, so Spark does it once
-    marks = _found_twice(docs.join(candidates, ["u", "v"]).select("id", "text", "u", "v", "ranges", *extra).mapInArrow(compare_windows, PLACES))
+    marks = _found_twice(docs.join(candidates, ["u", "v"]).select("id", "text", "u", "v", "ranges", "role", *extra).mapInArrow(compare_windows, PLACES))
     final = docs.join(marks, ["u", "v"], "left").select("id", "text", "ranges", *extra)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"id {kind['id']}, n_words long, n_removed long, kept string, removed array<struct<at:int,n:int>>"

@@ -173,6 +173,32 @@ def train_select(candidates: DataFrame, baseline_recall: float, tolerance: float
     return best.withColumn("accepted", S.accept(F.col("pinned_recall"), F.lit(baseline_recall), tolerance))
 
 
+def runs_of_model(runs: DataFrame, version: str) -> DataFrame:
+    """The runs of a model, with their cost including training."""
+    total = F.col("evaluation_cost") + F.coalesce("training_cost", F.lit(0).cast("decimal(38,12)"))
+    return runs.where(F.col("model_version") == version).withColumn("total_cost", total)
+
+
+def evaluate_pruner(verdicts: DataFrame, truth: DataFrame) -> DataFrame:
+    """Confusion of rejections against truth, where band Low is what should be rejected.
+
+    ``verdicts`` has (item_id, reasons), ``truth`` (item_id, band); verdicts without truth are only counted.
+    """
+    rows = verdicts.join(truth, "item_id").select((F.size("reasons") > 0).cast("float").alias("score"), (F.col("band") == "Low").alias("positive"))
+    return prf(confusion(rows, "score", "positive", F.lit(0.5))).crossJoin(not_found(verdicts, truth, "item_id"))  # one row each
+
+
+def write_csv(one_row: DataFrame, path: str) -> None:
+    """A confusion row as CSV with a header."""
+    one_row.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def sample_costs(reviewed: DataFrame, usage: DataFrame, prices: DataFrame, n: int, seed: int) -> DataFrame:
+    """Costs per model over a stratified sample of reviewed items; unreviewed ones don't count."""
+    chosen = stratified_sample(reviewed, "item_id", "band", n, seed).select("item_id")
+    return cost_by_model(usage_cost(usage.join(chosen, "item_id"), prices))
+
+
 def promote(labels: DataFrame, registry: DataFrame, label: str, version: str) -> DataFrame:
     """(label, version) rows with one moved; a version that isn't registered is an error."""
     known = registry.where(F.col("model_version") == version).agg((F.count("*") > 0).alias("known"))

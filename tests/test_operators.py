@@ -201,3 +201,38 @@ def test_pixels_and_boxes(spark):
     assert round(P.union_share(lines, 100, 100).first().percent, 4) == 2.0
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 1.0, 1.0, 10.0, 10.0, 0.8), (1, 50.0, 50.0, 5.0, 5.0, 0.1)], "item_id long, x double, y double, width double, height double, score double")
     assert sorted(r.score for r in P.suppress(boxes).collect()) == [0.1, 0.9]
+
+
+def test_pruner_evaluation_and_csv(spark, tmp_path):
+    verdicts = spark.createDataFrame([(1, ["TooMuchText"]), (2, []), (3, ["FaceTooSmall"]), (9, [])], "item_id long, reasons array<string>")
+    truth = spark.createDataFrame([(1, "Low"), (2, "HighQuality"), (3, "MediumHigh")], "item_id long, band string")
+    row = E.evaluate_pruner(verdicts, truth)
+    got = row.first()
+    assert (got.tp, got.fp, got.tn, got.fn, got.not_found) == (1, 1, 1, 0, 1)
+    E.write_csv(row, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).first().tp == "1"
+
+
+def test_costs_of_a_sample_and_of_runs(spark):
+    reviewed = spark.createDataFrame([(k, "Low" if k % 2 else "HighQuality") for k in range(20)], "item_id long, band string")
+    usage = spark.createDataFrame([(k, "m1", 1000, 100) for k in range(30)], "item_id long, model string, tokens_in long, tokens_out long")
+    prices = spark.sql("SELECT 'm1' AS model, CAST(2.5 AS DECIMAL(12,6)) AS price_in, CAST(10 AS DECIMAL(12,6)) AS price_out")
+    assert E.sample_costs(reviewed, usage, prices, 10, 1).first()["items"] == 10
+    with pytest.raises(Exception, match="no price"):
+        E.usage_cost(usage.withColumn("model", F.lit("zz")), prices).collect()
+    runs = spark.sql("SELECT 'v' AS model_version, CAST(1.5 AS DECIMAL(38,12)) AS evaluation_cost, CAST(NULL AS DECIMAL(38,12)) AS training_cost")
+    assert float(E.runs_of_model(runs, "v").first().total_cost) == 1.5
+
+
+def test_images_are_read_as_bgr(spark, tmp_path):
+    import struct
+    import zlib
+
+    from sluice.sources.images import read_images
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\x00" + bytes([10, 20, 30]))) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.png").write_bytes(b"no image")
+    rows = read_images(spark, str(tmp_path)).collect()
+    assert [bytes(r.image.data) for r in rows] == [bytes([30, 20, 10])]

@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_maxscore": topk.OP3_SQL,
+    "op4_recompression": substrings.OP4_SQL,
+    "op7_minhash": minhash.OP7_SQL,
     "op8_perspectives": chat.OP8_SQL,
 }

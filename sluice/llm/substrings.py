@@ -364,3 +364,25 @@ def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated windows of 35 words."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) t(i)
+), r AS (
+  SELECT h FROM x GROUP BY h HAVING count(*) > 1
+), s AS (
+  SELECT DISTINCT doc_id, i + k AS pos FROM x JOIN r ON x.h = r.h, range(35) g(k)
+), n AS (
+  SELECT doc_id, count(*) AS n_removed FROM s GROUP BY doc_id
+), words AS (
+  SELECT doc_id, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) t(j)
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM words
+  LEFT JOIN s ON s.doc_id = words.doc_id AND s.pos = words.j WHERE s.pos IS NULL GROUP BY words.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

@@ -3,12 +3,13 @@
 Base counts come from each whole text alone. The verdict compares two histograms of a
 document, its character classes and its language's most common words, with references
 that are learnt from all documents of the language, by Jensen-Shannon distance (base 2,
-so between 0 and 1). Documents too short for a stable histogram are not judged by it,
-nor are those whose language is null.
+so between 0 and 1). Documents too short for a stable histogram are not judged by it.
+Those whose language is null are compared with a reference pooled over all documents.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,12 +27,17 @@ BROADCAST_LANGUAGES = 2000
 
 @dataclass(frozen=True)
 class DivergenceRules:
-    """min_words: a shorter text isn't judged. max_class, max_words: the largest distances
-    allowed. top_words: words of a language's reference histogram (the rest is one bin)."""
+    """min_words: a shorter text isn't judged. max_class: the largest distance of classes allowed.
+    max_words: the largest divergence of words (the square of the distance) allowed, as a part of
+    what a text without a common word has, beside what chance explains at the text's length:
+    ``chance`` standard deviations. expected: where so many common words are expected, a text
+    must have one. top_words: words of a language's reference histogram (the rest is one bin)."""
 
     min_words: int = 40
     max_class: float = 0.30
-    max_words: float = 0.70
+    max_words: float = 0.35
+    chance: float = 3.0
+    expected: float = 8.0
     top_words: int = 20
 
 
@@ -103,8 +109,11 @@ def language_references(df: DataFrame, rules: DivergenceRules = DivergenceRules(
     ``common`` has the language's ``top_words`` most frequent words (ties by word) and
     ``ref_common`` their counts, then the count of all other words. Partial sums and a
     partial top-k on the map side keep a language with most of the rows from being hot.
+
+    The row with a null language is pooled over all documents: its ``common`` words are those
+    of every language (and of the documents without one), and ``ref_common`` counts them in one bin.
     """
-    src = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body")).where("lang is not null")
+    src = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
     sums = F.array(*[F.sum(F.col("class_counts")[k]) for k in range(len(CLASSES))])
     classes = _measured(src, ["lang"], "body").groupBy("lang").agg(sums.alias("ref_classes"), F.sum(F.size("ws")).alias("all_words"))
     counts = src.select("lang", F.explode(words(F.lower("body"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
@@ -112,8 +121,28 @@ def language_references(df: DataFrame, rules: DivergenceRules = DivergenceRules(
     top = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rules.top_words)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))).alias("top"))
     known = F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s - x["m"])
-    both = classes.join(top, "lang")
-    return both.select("lang", "ref_classes", F.transform("top", lambda x: x["word"]).alias("common"), F.concat(F.transform("top", lambda x: (-x["m"]).cast("double")), F.array((F.col("all_words") - known).cast("double"))).alias("ref_common"))
+    both = classes.join(top.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<m:bigint,word:string>>")))
+    both = both.select("lang", "ref_classes", F.transform("top", lambda x: x["word"]).alias("common"), F.concat(F.transform("top", lambda x: (-x["m"]).cast("double")), F.array((F.col("all_words") - known).cast("double"))).alias("ref_common"))
+    both = materialise(both, "group-references")
+    share = F.sum(F.aggregate(F.slice("ref_common", 1, F.size("common")), F.lit(0.0), lambda a, x: a + x))
+    sums = F.array(*[F.sum(F.col("ref_classes")[k]) for k in range(len(CLASSES))])
+    pooled = both.agg(sums.alias("ref_classes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("common")))).alias("common"), F.array(share, F.sum(F.element_at("ref_common", -1))).alias("ref_common"), F.count("*").alias("n")).where("n > 0")
+    return both.where("lang is not null").union(pooled.select(F.lit(None).cast(both.schema["lang"].dataType).alias("lang"), "ref_classes", "common", "ref_common"))
+
+
+def _words_too_far(rules: DivergenceRules) -> Column:
+    """Whether a text's common words are too far from the reference's, for its length.
+
+    A sample of n words from the reference itself has a divergence of about chi-square / (8 n ln 2),
+    with one degree of freedom less than there are bins.
+    """
+    free = F.size("ref_common") - 1
+    none = F.transform("ref_common", lambda x, k: F.when(k < free, 0.0).otherwise(1.0))
+    chance = (free + rules.chance * F.sqrt(2 * free)) / (8 * math.log(2) * F.col("n_words"))
+    far = F.pow("word_distance", F.lit(2)) > rules.max_words * F.pow(js_distance(none, F.col("ref_common")), F.lit(2)) + chance
+    total = F.aggregate("ref_common", F.lit(0.0), lambda a, x: a + x)
+    lacking = (F.size("seen") == 0) & (F.col("n_words") * (1 - F.element_at("ref_common", -1) / total) >= rules.expected)
+    return F.coalesce(far | lacking, F.lit(False))
 
 
 def judge(df: DataFrame, references: DataFrame | None = None, rules: DivergenceRules = DivergenceRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -126,15 +155,18 @@ def judge(df: DataFrame, references: DataFrame | None = None, rules: DivergenceR
     refs = materialise(language_references(df, rules, text_col, lang_col) if references is None else references, "language-references")
     small = refs.count() <= BROADCAST_LANGUAGES
     src = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
-    out = base_counts(src, ["id", "lang"], "body").join(F.broadcast(refs) if small else refs, "lang", "left")
+    out = base_counts(src, ["id", "lang"], "body")
+    refs = refs.withColumnRenamed("lang", "of")
+    out = out.join(F.broadcast(refs) if small else refs, F.col("lang").eqNullSafe(F.col("of")), "left")
     out = out.withColumn("seen", F.filter(F.transform("ws", lambda w: F.lower(w)), lambda w: F.array_contains(F.col("common"), w)))
     counts = F.transform("common", lambda c: F.size(F.filter("seen", lambda w: w == c)).cast("double"))
+    counts = F.when(F.col("lang").isNull(), F.array(F.size("seen").cast("double"))).otherwise(counts)
     out = out.withColumn("counts", F.concat(counts, F.array((F.size("ws") - F.size("seen")).cast("double"))))
     long_enough = F.col("n_words") >= rules.min_words
     far = lambda c, most: F.coalesce(F.col(c) > most, F.lit(False))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumns({"class_distance": js_distance(F.col("class_counts"), F.col("ref_classes")), "word_distance": js_distance(F.col("counts"), F.col("ref_common")), "base_failed": base_failed})
-    odd = long_enough & (far("class_distance", rules.max_class) | far("word_distance", rules.max_words))
+    odd = long_enough & (far("class_distance", rules.max_class) | _words_too_far(rules))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~odd).alias("kept"))
 
 

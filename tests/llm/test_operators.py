@@ -96,6 +96,17 @@ def test_divergence_spares_short_and_usual_texts(spark):
     assert [i for i, kept in got.items() if not kept] == [90]
 
 
+def test_divergence_finds_texts_of_made_up_words(spark):
+    small, r = "the of and to in a is that it was for on with as at by".split(), random.Random(11)
+    name = lambda: "".join(r.choice(["sha", "ren", "tion", "der", "wo", "mi", "lat"]) for _ in range(8))
+    text = lambda n, common: " ".join(r.choice(small) if r.random() < common else name() for _ in range(n))
+    rows = [(k, text(60 + k, 0.3), ["en", "en", None][k % 3], "s", 0) for k in range(150)]
+    rows += [(1000 + k, text(60 + 30 * k, 0), ["en", None][k % 2], "s", 0) for k in range(6)]
+    rows += [(2000, text(300, 0.02), "en", "s", 0), (2001, text(300, 0.01), None, "s", 0), (2002, text(20, 0), "en", "s", 0)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sorted(i for i, kept in got.items() if not kept) == [*range(1000, 1006), 2000, 2001]
+
+
 def test_js_distance(spark):
     a = lambda *x: F.array(*[F.lit(float(v)) for v in x])
     r = spark.range(1).select(quality.js_distance(a(1, 1), a(2, 2)), quality.js_distance(a(1, 0), a(0, 3)), quality.js_distance(a(0, 0), a(1, 1))).first()

@@ -30,9 +30,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component, and rows with a null id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each component: the one with the smallest id (null last, ties by content).
+
+    Where ids repeat or are null, each row is a document of its own under a made-up key, so
+    that repeated rows are linked by their texts as other duplicates are. Rows without words stay.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "keyed-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), "source", "lang", "n_chars", "row")
+    found = minhash.near_duplicates(rows, id_col="row").select("row", "component_id")
+    first = rows.select("row", order.alias("order")).join(found, "row").groupBy("component_id").agg(F.min("order")["row"].alias("row"))
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,15 @@ def test_stages_on_nasty_and_empty_tables(spark, sf_dir):
         for _, stage in cp.STAGES:
             docs = materialise(stage(spark, docs, sf_dir), "test-nasty")
         assert docs.where("not round_trip").count() == 0
+
+
+def test_repeated_rows_stay_once(spark, sf_dir):
+    text = lambda a: " ".join(f"{a}{k}" for k in range(60))
+    rows = [(1, text("a"), "en", "s", 1)] * 2 + [(None, text("b"), "en", "s", 1)] * 3 + [(2, text("c"), "en", "s", 1), (None, text("c"), "en", "s", 1)]
+    rows += [(3, text("d"), "en", "s", 1), (3, text("e"), "en", "s", 1), (4, text("e") + " end", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    alone = materialise(cp.drop_near_duplicates(spark, docs, sf_dir), "test-alone")
+    want = [(1, text("a")), (None, text("b")), (2, text("c")), (3, text("d")), (3, text("e"))]
+    assert sorted([(r.doc_id, r.text) for r in alone.collect()], key=repr) == sorted(want, key=repr)
+    cut = cp.remove_passages(spark, alone, sf_dir)
+    assert sorted([(r.doc_id, r.text) for r in cut.collect()], key=repr) == sorted(want, key=repr)

@@ -35,6 +35,9 @@ _STARTS = [a for a, _ in SCRIPT_RANGES]
 #: Entries that a worker keeps for repeated words before it starts afresh.
 CACHE_ENTRIES = 400_000
 UNKNOWN = "und"
+#: Means of n-gram log probabilities, as parts of the way from an unseen n-gram up to the
+#: language's typical text, at which a text counts as wholly foreign and as wholly native.
+FOREIGN, NATIVE = 0.4, 0.8
 
 
 def script(char: str) -> str:
@@ -43,12 +46,14 @@ def script(char: str) -> str:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """langs in code point order; grams: n-gram to its log probability per language; scripts: script to candidates."""
+    """langs in code point order; grams: n-gram to its log probability per language; scripts: script to candidates;
+    typical: the mean log probability of the n-grams of the texts that each language is learnt from."""
 
     langs: tuple[str, ...]
     grams: dict[str, tuple[float, ...]]
     floor: tuple[float, ...]
     scripts: dict[str, tuple[bool, ...]] = field(default_factory=dict)
+    typical: tuple[float, ...] = ()
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 2_000, max_grams: int = 60_000, min_share: float = 0.001) -> LanguageModel:
@@ -85,9 +90,11 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     value = lambda n, k, c: math.log((c + 0.5) / (totals[n][k] + 0.5 * kinds[n]))
     out = {r["g"]: tuple(value(len(r["g"]), k, r["by"].get(lang, 0)) for k, lang in enumerate(langs)) for r in top if len(r["g"]) == 3}
     floor = tuple(value(3, k, 0) for k in range(len(langs)))
+    worth = [sum(r["by"].get(lang, 0) * out[r["g"]][k] for r in top if len(r["g"]) == 3) for k, lang in enumerate(langs)]
+    typical = tuple(worth[k] / totals[3][k] if totals[3][k] else floor[k] for k in range(len(langs)))
     letters = [sum(v[k] for v in script_n.values()) or 1.0 for k in range(len(langs))]
     scripts = {s: tuple(v[k] >= min_share * letters[k] and v[k] > 0 for k in range(len(langs))) for s, v in script_n.items()}
-    return LanguageModel(langs, out, floor, {s: v for s, v in scripts.items() if any(v)})
+    return LanguageModel(langs, out, floor, {s: v for s, v in scripts.items() if any(v)}, typical)
 
 
 class Labeller:
@@ -106,26 +113,32 @@ class Labeller:
         self.index: dict[str, int] = {}
         self.scores = self.np.zeros((4096, len(self.model.langs)))
         self.letters = self.np.zeros(4096, self.np.int64)
+        self.known = self.np.zeros(4096, self.np.int64)
 
     def score(self, word: str) -> int:
-        """The row of a word: its log likelihood per candidate language."""
+        """The row of a word: its log likelihood per candidate language; none if no language uses its script."""
         np, model = self.np, self.model
         at = self.index[word] = len(self.index)
         if at >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
         letters = [c for c in word if c.isalpha()]
         self.letters[at] = len(letters)
         if letters:
             padded, grams, floor = f"^{word}$", model.grams, model.floor
             found = [grams.get(padded[i : i + 3], floor) for i in range(len(padded) - 2)]
             total = np.sum(found, axis=0)
-            open_to = model.scripts.get(script(letters[0]))
-            self.scores[at] = total if open_to is None else np.where(open_to, total, self.BARRED)
+            open_to = next((model.scripts[x] for x in map(script, letters) if x in model.scripts), None)
+            if open_to is not None:
+                self.scores[at] = np.where(open_to, total, self.BARRED)
+                self.known[at] = len(letters)
+            elif not model.scripts:
+                self.scores[at], self.known[at] = total, len(letters)
         return at
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """(language, its share of the letters, spans as (first word, words, language))."""
+        """(language, its share of the letters times its likeness, spans as (first word, words, language))."""
         np = self.np
         if len(self.index) > CACHE_ENTRIES:
             self.clear()
@@ -135,12 +148,22 @@ class Labeller:
         if not len(rows) or not letters.sum() or not self.model.langs:
             return UNKNOWN, 0.0, []
         path = self.viterbi(self.scores[rows])
-        per = np.bincount(path, weights=letters, minlength=len(self.model.langs))
+        known = self.known[rows]
+        per = np.bincount(path, weights=known, minlength=len(self.model.langs))
         best = int(per.argmax())
         edges = np.flatnonzero(np.diff(path)) + 1
         starts = [0, *edges.tolist(), len(path)]
         spans = [(a, b - a, self.model.langs[path[a]]) for a, b in zip(starts, starts[1:], strict=False)]
-        return self.model.langs[best], float(per[best] / letters.sum()), spans
+        return self.model.langs[best], float(per[best] / letters.sum()) * self.likeness(rows[(path == best) & (known > 0)], best), spans
+
+    def likeness(self, rows, k: int) -> float:
+        """From 0 to 1, how far the n-grams of words in language k lie above the level of a foreign language."""
+        model = self.model
+        if not model.typical or not len(rows) or model.typical[k] <= model.floor[k]:
+            return 1.0
+        mean = self.scores[rows, k].sum() / self.known[rows].sum()
+        part = (mean - model.floor[k]) / (model.typical[k] - model.floor[k])
+        return float(min(1.0, max(0.0, (part - FOREIGN) / (NATIVE - FOREIGN))))
 
     def viterbi(self, s):
         """Best path of states; each change of language costs the penalty.

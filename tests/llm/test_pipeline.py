@@ -64,3 +64,14 @@ def test_repeated_rows_stay_once(spark, sf_dir):
     assert sorted([(r.doc_id, r.text) for r in alone.collect()], key=repr) == sorted(want, key=repr)
     cut = cp.remove_passages(spark, alone, sf_dir)
     assert sorted([(r.doc_id, r.text) for r in cut.collect()], key=repr) == sorted(want, key=repr)
+
+
+def test_unlearned_languages_and_scripts_go(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang is not null").withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    odd = [(-1, "το σπίτι και ο κήπος του βασιλιά " * 20, None, "s", 1), (-2, "漢字 仮名 文章 " * 20, None, "s", 1)]
+    kept = cp.identify_language(spark, docs.select(*cp.COLUMNS).union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")), sf_dir)
+    native = docs.where("lang is not null").count()
+    assert kept.where("lang is not null and doc_id < 0").count() == 0
+    ids = {r.doc_id for r in kept.collect()}
+    foreign = {r.doc_id for r in docs.where("lang is null").collect()}
+    assert foreign and not ids & foreign and len(ids - foreign) >= 0.99 * native

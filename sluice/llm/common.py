@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,54 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Folders of one operator's intermediate tables; those that are superseded are removed.
+
+    Only a table that nothing still to be computed reads may be dropped.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, f"{self.name}-{name}")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *dfs: DataFrame | None) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for df in dfs:
+            _, path = self.paths.pop(id(df), (None, None))
+            if path:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+
+
+#: Whole texts are long: rows of an Arrow batch, where the session has no limit of its own.
+BATCH_ROWS = "2000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small, unless the session says how large they may be."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """No cyclic garbage collection in loops that make no cycles: each would walk the whole caches."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -5,56 +5,56 @@ have m tuples of r minima each. Tables are keyed by pairs (A_i, B_j), so m * m t
 2 * r minima come from only 2 * m * r hash functions, about the square root of what as many
 independent tables would need. A pair with Jaccard similarity s meets in some table with
 probability (1 - (1 - s^r)^m)^2; with r = 3 and m = 18 a pair right at 0.75 is missed with
-a probability of 1e-4, one at 0.8 with 5e-6.
+a probability of 1e-4, one at 0.8 with 5e-6. Nothing else can lose a link.
+
+Two documents share a table if they share a tuple of A and a tuple of B. So the m * m table keys
+needn't be written out: rows are dealt by the tuples of A and carry those of B.
 
 From candidates to components:
 
 1. Documents with equal sets form one class, represented by its smallest id.
-2. Only tuples that collide with another document's make keys, so documents without
-   relatives cost 2 * m narrow rows and no table keys at all.
-3. In every bucket the member of lowest rank is the pivot and all others are compared with it:
-   a number of pairs linear in the bucket. Pairs are verified, first by the share of
-   equal minima (which drops those that can't reach the threshold but with negligible
-   probability), then on the full sets. Verified links give components.
-4. Documents of buckets that still hold two or more components are first sifted by what they share with
-   anything open at all (``reach``). The buckets that are left get further pivots, and only members that aren't in
-   the pivot's component yet are compared with it. So a large group of near copies grows together
-   in few rounds of linear size.
-5. At last, members of different components in a bucket are compared, all of them, each pair
-   once. So copies never make all pairs of a group, and no link between different texts is lost.
+2. Only documents with a tuple of A and one of B that another class has, too, go on (``colliding``).
+3. A shingle that no other open document has can't be in a link, so a document with too many of those is
+   out (``reach``), exactly and without looking at pairs.
+4. In every bucket all members are compared with a pivot: a number of pairs linear in the bucket. Pairs
+   are verified on the full sets; links give components. The first pivots are the documents that
+   share most of their set with others, such as the origin of a group of near copies.
+5. Shingles that only one component has can't be in a new link: what is left of each set is its *kernel*.
+   Members of different components that share a table are compared in full at the end, if their sizes,
+   their kernels and what these have in common with the bucket's pivot allow a link. So copies
+   never make all pairs of a group, and no link between different texts is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialise, table
+from sluice.llm.common import Workspace, bounded_batches, table, without_gc
 
 #: Fixed seed of all hash functions, so that reruns agree.
 SEED = 20_240_607
-#: Pivots of a group grow by rounds up to this spread, but only while more pairs than these
-#: (and twice the members) are open; what is open after that is compared in full.
-MAX_SPREAD, FEW_PAIRS = 128, 20_000
-#: Sifting goes on while a round leaves at most this share of the open documents.
-SHRINKS = 0.95
+#: Rounds of pivots. In the first, all buckets prefer the same pivots; later, buckets whose keys agree
+#: modulo the spread do. They only save work: what is open after the last is compared in full.
+SPREADS = (1, 8, 64)
+#: Rounds go on while the last one ruled out, or linked, more than this share of the open documents.
+WORTH = 0.05
 #: Shingles that are hashed at a time, and documents of a batch.
 BLOCK_SHINGLES, BATCH_DOCS = 4096, 500
 
 
 @dataclass(frozen=True)
 class Banding:
-    """tuple_size r and tuples m of each collection; percent: the least similarity to link.
-    sure: a pair whose share of equal minima is lower is dropped unverified."""
+    """tuple_size r and tuples m of each collection; percent: the least similarity to link."""
 
     tuple_size: int = 3
     tuples: int = 18
     words: int = 5
     percent: int = 75
-    sure: float = 0.55
 
 
 def _mix(x):
@@ -107,122 +107,60 @@ class Shingler:
         return np.unique(_mix(total))
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, rules: Banding) -> DataFrame:
-    """(id, n_shingles, set_key binary, minima array<int>) of every row.
+def signatures(df: DataFrame, rules: Banding) -> DataFrame:
+    """(id, n_shingles, set_key binary, keys array<long>) of every row (id, text).
 
-    ``set_key`` is a 128-bit digest of the whole set, null for an empty one.
+    ``set_key`` is a 128-bit digest of the whole set, ``keys`` are the m tuples of A, then those of B;
+    both are null for an empty set.
     """
 
     def run(batches: Iterator) -> Iterator:
-        import gc
-
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        gc.disable()  # no cycles here; else each large collection walks the whole cache
         shingler, r, m = Shingler(rules.words), rules.tuple_size, rules.tuples
         rng = np.random.Generator(np.random.PCG64(SEED))
         mul = rng.integers(1, 2**63, 2 * r * m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(0, 2**63, 2 * r * m, dtype=np.uint64)
+        number = _mix(np.arange(1, 2 * m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-        def minima(s):
+        def tuples(s):
             low = None
             for at in range(0, len(s), BLOCK_SHINGLES):
                 part = (s[at : at + BLOCK_SHINGLES, None] * mul + add).min(axis=0)
                 low = part if low is None else np.minimum(low, part)
-            return low
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_DOCS):
-                batch = whole.slice(at, BATCH_DOCS)
-                sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
-                full = [k for k, s in enumerate(sets) if len(s)]
-                signs, set_key = [None] * len(sets), [None] * len(sets)
-                for k in full:
-                    signs[k] = (minima(sets[k]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    set_key[k] = xxhash.xxh128_digest(sets[k].tobytes(), SEED)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_key, pa.binary()), pa.array(signs, pa.list_(pa.int32()))],
-                    names=["id", "n_shingles", "set_key", "minima"],
-                )
-
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id long, n_shingles long, set_key binary, minima array<int>")
-
-
-def colliding(classes: DataFrame, rules: Banding) -> DataFrame:
-    """(id, a, b): for documents with relatives, the keys of their tuples that collide, by collection."""
-    r, m = rules.tuple_size, rules.tuples
-    key = lambda i: F.xxhash64(F.slice("minima", i * r + 1, r), i)
-    rows = classes.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * m - 1)), lambda i: F.struct(i.alias("i"), key(i).alias("k")))).alias("e"))
-    rows = rows.select("id", (F.col("e.i") < m).alias("first"), F.col("e.k").alias("k"))
-    twice = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    rows = rows.join(twice, "k", "left_semi")
-    side = lambda c: F.collect_list(F.when(c, F.col("k")))  # noqa: E731  at most m keys
-    return rows.groupBy("id").agg(side(F.col("first")).alias("a"), side(~F.col("first")).alias("b")).where("size(a) > 0 and size(b) > 0")
-
-
-def buckets(hits: DataFrame) -> DataFrame:
-    """(key, id): tables are keyed by pairs of tuples, one row per key of a document."""
-    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return hits.select("id", F.explode(pairs).alias("key"))
-
-
-def pivot_pairs(members: DataFrame, roots: DataFrame | None, spread: int) -> DataFrame:
-    """(x, y): in every bucket with two components or more, each member x with the pivot y, if
-    they are in different components.
-
-    The pivot has the lowest rank of a bucket. Ranks are the same in all buckets whose keys
-    agree modulo ``spread``, so a group of copies gets at most so many pivots, and the number of pairs is
-    linear in its size. Pivots are partial minima joined back, so no bucket is hot.
+            low, out = low.reshape(2 * m, r), number
+            for k in range(r):
+                out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + low[:, k])
+            return out.view(np.int64)
+
+        with without_gc():
+            for whole in batches:
+                for at in range(0, whole.num_rows, BATCH_DOCS):
+                    batch = whole.slice(at, BATCH_DOCS)
+                    sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
+                    keys = [tuples(s) if len(s) else None for s in sets]
+                    set_key = [xxhash.xxh128_digest(s.tobytes(), SEED) if len(s) else None for s in sets]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_key, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                        names=["id", "n_shingles", "set_key", "keys"],
+                    )
+
+    return df.select("id", "text").mapInArrow(run, "id long, n_shingles long, set_key binary, keys array<long>")
+
+
+def colliding(named: DataFrame, rules: Banding) -> DataFrame:
+    """(id, a, b): documents with tuples of A and of B that a document with another set has, too: those tuples.
+
+    Whether sets differ is judged by partial minima and maxima, so a tuple of many copies isn't hot.
     """
-    rows = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    rank = F.struct(F.xxhash64("id", F.pmod("key", F.lit(spread)), F.lit(spread)), F.col("id").alias("y"), F.col("root").alias("y_root"))
-    pivots = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(rank).alias("p")).where("low <> high")
-    rows = rows.join(pivots.select("key", "p.y", "p.y_root"), "key")
-    return rows.where("root <> y_root").select(F.col("id").alias("x"), "y").distinct()
-
-
-def still_open(members: DataFrame, roots: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """(key, id, root[, size, most]) of the buckets that hold two components or more.
-
-    With ``sizes`` (from ``reach``), members that can be linked with nothing of their bucket's sizes are left out.
-    """
-    rows = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    if sizes is not None:
-        rows = rows.join(sizes, "id")
-        rows = rows.join(rows.groupBy("key").agg(F.min("size").alias("least")), "key").where("least <= most").drop("least")
-    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return rows.join(split.select("key"), "key", "left_semi")
-
-
-def pairs_across(still: DataFrame) -> int:
-    """How many pairs of members of different components the open buckets have."""
-    per = still.groupBy("key", "root").agg(F.count("*").cast("decimal(20,0)").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    return int(per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0))).first()[0])
-
-
-def similar_minima(pairs: DataFrame, classes: DataFrame, rules: Banding) -> DataFrame:
-    """Keeps the pairs (x, y) whose sizes and shares of equal minima allow the threshold."""
-    sign = classes.select("id", "n_shingles", "minima")
-    left = sign.selectExpr("id as x", "n_shingles as nx", "minima as mx")
-    right = sign.selectExpr("id as y", "n_shingles as ny", "minima as my")
-    rows = pairs.join(left, "x").join(right, "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * rules.percent)
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for t in batches:
-            x, y, mx, my = t.columns
-            if not t.num_rows:
-                continue
-            as_array = lambda c: c.flatten().to_numpy().reshape(t.num_rows, -1)
-            keep = (as_array(mx) == as_array(my)).mean(axis=1) >= rules.sure
-            yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"]).filter(pa.array(keep))
-
-    return rows.select("x", "y", "mx", "my").mapInArrow(run, "x long, y long")
+    rows = named.select("id", F.xxhash64("set_key").alias("s"), F.posexplode("keys").alias("pos", "key"))
+    shared = rows.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("key")
+    rows = rows.select("id", "pos", "key").join(shared, "key", "left_semi")
+    side = lambda c: F.collect_list(F.when(c, F.col("key")))  # noqa: E731  at most m keys
+    out = rows.groupBy("id").agg(side(F.col("pos") < rules.tuples).alias("a"), side(F.col("pos") >= rules.tuples).alias("b"))
+    return out.where("size(a) > 0 and size(b) > 0")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, rules: Banding) -> DataFrame:
@@ -241,14 +179,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, rules: Banding) -> DataFram
     return docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets_of, "id long, hashes binary")
 
 
-def reach(sets: DataFrame, rules: Banding) -> DataFrame:
-    """(id, size, most): the largest set that an open document can still be linked with.
-
-    A shingle that no other open document has can't be shared with a partner, since a
-    partner is open too. With c shingles left, a partner of size m must have
-    percent * (size + m) <= (100 + percent) * c. So documents that have only one passage
-    in common and little else are ruled out one by one, without looking at pairs.
-    """
+def _single(sets: DataFrame) -> DataFrame:
+    """(id, root, h): one row for each shingle of the sets (id, root, hashes)."""
 
     def split(batches: Iterator) -> Iterator:
         import numpy as np
@@ -257,52 +189,125 @@ def reach(sets: DataFrame, rules: Banding) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(at, BATCH_DOCS)
-                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "h"])
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                n = [len(x) for x in sets]
+                ids, roots = (np.repeat(part.column(k).to_numpy(), n) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots), pa.array(np.concatenate(sets))], names=["id", "root", "h"])
 
-    sizes = sets.groupBy("id").agg((F.max(F.octet_length("hashes")) / 8).cast("long").alias("size"), F.count("*").alias("texts"))
-    owners = sets.mapInArrow(split, "id long, h long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    own = owners.where("id = last").groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("id", "root", "hashes").mapInArrow(split, "id long, root long, h long")
+
+
+def _can_link(rules: Banding) -> str:
+    """Whether a document can have a partner at all, by its size and the shingles that it shares with any.
+
+    A partner has at least ``percent`` of its size, and size + partner's size is at most
+    (100 + percent) / percent of what they have in common.
+    """
     p = rules.percent
-    most = F.floor((100 + p) * (F.col("size") - F.coalesce("own", F.lit(0))) / p) - F.col("size")
-    # an id with several texts (repeated rows) isn't judged
-    return sizes.join(own, "id", "left").select("id", "size", F.when(F.col("texts") > 1, F.lit(2**40)).otherwise(most).alias("most"))
+    return f"100 * shared >= {p} * size and {100 + p} * shared >= {p} * (size + ceil({p} * size / 100))"
 
 
-def verify(pairs: DataFrame, docs: DataFrame, rules: Banding) -> DataFrame:
-    """The pairs (x, y) that reach the threshold on their full sets.
+def reach(sets: DataFrame, rules: Banding) -> DataFrame:
+    """(id, size, shared): the documents that can still be linked; shared: shingles that another one of ``sets`` has, too.
 
-    The sets of the documents in pairs are made anew from the texts and written once.
+    So documents that have only one passage in common with others and little else are ruled out
+    one by one, without looking at pairs.
     """
-    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    sets = shingle_sets(docs, wanted, rules)
-    sets = materialise(sets, "shingle-sets")
+    sizes = sets.select("id", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+    rows = _single(sets.withColumn("root", F.col("id")))
+    owners = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    own = owners.where("id = last").groupBy("id").agg(F.count("*").alias("own"))
+    out = sizes.join(own, "id", "left").select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+    return out.where(_can_link(rules))
+
+
+def kernels(sets: DataFrame, roots: DataFrame, rules: Banding) -> DataFrame:
+    """(id, root, size, shared, hashes): what is left of each set without the shingles of one component only,
+    for the documents that can be linked with another component."""
+    rows = sets.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "hashes")
+    sizes = rows.select("id", "root", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+    rows = _single(rows)
+    cross = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    left = rows.join(cross, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("hashes"))  # at most a document's size
+    out = sizes.join(left, "id").select("id", "root", "size", F.size("hashes").cast("long").alias("shared"), "hashes")
+    return out.where(_can_link(rules))
+
+
+def in_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, nx, ny, common): sizes and common shingles of the pairs (x, y); hashes as bytes or as arrays."""
+    as_bytes = sets.schema["hashes"].dataType.typeName() == "binary"
     both = pairs.join(sets.selectExpr("id as x", "hashes as sx"), "x").join(sets.selectExpr("id as y", "hashes as sy"), "y")
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        of = (lambda s: np.frombuffer(s.as_buffer(), np.int64)) if as_bytes else (lambda s: s.values.to_numpy())
         for t in batches:
-            keep = []
+            n = []
             for sx, sy in zip(t.column(2), t.column(3), strict=True):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (sx, sy))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= rules.percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+                p, q = of(sx), of(sy)
+                n.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+            counts = np.array(n, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *(pa.array(counts[:, k]) for k in range(3))], names=["x", "y", "nx", "ny", "common"])
 
-    return both.select("x", "y", "sx", "sy").mapInArrow(compare, "x long, y long").distinct()
+    return both.select("x", "y", "sx", "sy").mapInArrow(compare, "x long, y long, nx long, ny long, common long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, rules: Banding) -> DataFrame:
+    """The pairs (x, y) that reach the threshold on their full sets."""
+    return in_common(pairs, sets).where(f"100 * common >= {rules.percent} * (nx + ny - common)").select("x", "y")
+
+
+def pivot_pairs(members: DataFrame, roots: DataFrame | None, spread: int, rules: Banding) -> DataFrame:
+    """(x, y): in every bucket with two components or more, each member x with the pivot y, if
+    they are in different components, share a table and have sizes and shared shingles that allow a link.
+
+    Ranks are the same in all buckets whose keys agree modulo ``spread``, so a group of copies gets at most so
+    many pivots, and the number of pairs is linear in its size. Pivots are partial minima joined back.
+    """
+    rows = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rank = (-F.col("shared") / F.col("size"), F.col("id")) if spread == 1 else (F.xxhash64("id", F.pmod("key", F.lit(spread))), F.col("id"))
+    best = F.min_by(F.struct(F.col("id").alias("y"), F.col("b").alias("yb"), F.col("root").alias("y_root"), F.col("size").alias("y_size"), F.col("shared").alias("y_shared")), F.struct(*rank))
+    pivots = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), best.alias("p")).where("low <> high")
+    rows = rows.join(pivots.select("key", "p.*"), "key")
+    near = f"root <> y_root and {100 + rules.percent} * least(shared, y_shared) >= {rules.percent} * (size + y_size) and arrays_overlap(b, yb)"
+    return rows.where(near).select(F.col("id").alias("x"), "y").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def pairs_across(hits: DataFrame, open_sets: DataFrame, rules: Banding, work: Workspace) -> DataFrame:
+    """(x, y): all pairs of different components that share a table and that the bounds allow.
+
+    Let p be a bucket's pivot. Of a member's kernel, ``with_p`` shingles are p's as well and the others are not;
+    what two members have in common is at most the lesser of the former plus the lesser of the latter. So the fringe of a
+    group of near copies isn't compared with every member. A pair is made under the first A tuple it shares only.
+    """
+    facts = open_sets.select("id", "root", "size", "shared")
+    rows = hits.join(facts, "id").select(F.explode("a").alias("key"), "*")
+    best = F.min_by("id", F.struct(-F.col("shared") / F.col("size"), "id"))
+    pivots = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), best.alias("p")).where("low <> high").select("key", "p")
+    rows = work.save(rows.join(pivots, "key"), "last-buckets")
+    with_p = in_common(rows.selectExpr("id as x", "p as y").distinct(), open_sets.select("id", "hashes")).selectExpr("x as id", "y as p", "common as with_p")
+    rows = work.save(rows.join(with_p, ["id", "p"]).withColumn("rest", F.col("shared") - F.col("with_p")), "bounded-buckets")
+    # what a member can have in common with any other one of its bucket
+    most = rows.groupBy("key").agg(F.min("size").alias("least"), F.max("rest").alias("most_rest"))
+    p = rules.percent
+    rows = rows.join(most, "key").where(f"{100 + p} * (with_p + least(rest, most_rest)) >= {p} * (size + least)")
+    side = lambda n: rows.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "root", "size", "with_p", "rest", "a", "b")])
+    bound = f"{100 + p} * (least(with_p_x, with_p_y) + least(rest_x, rest_y)) >= {p} * (size_x + size_y)"
+    first = "key = array_min(array_intersect(a_x, a_y)) and arrays_overlap(b_x, b_y)"
+    pairs = side("x").join(side("y"), "key").where(f"id_x < id_y and root_x <> root_y and {bound}").where(first)
+    return pairs.selectExpr("id_x as x", "id_y as y")
+
+
+def components(links: DataFrame, work: Workspace) -> DataFrame:
     """(id, root): the smallest id that each linked id reaches, by large-star and small-star rounds.
 
     Each round is a few aggregations over narrow rows, with partial minima, so the centre of
     many links isn't hot. The number of rounds follows the logarithm of the longest path.
     """
     token = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    edges = materialise(links.selectExpr("greatest(x, y) as u", "least(x, y) as v").where("u <> v").distinct(), "edges")
+    edges = work.save(links.selectExpr("greatest(x, y) as u", "least(x, y) as v").where("u <> v").distinct(), "edges")
     before = token(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -311,13 +316,48 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         small = large.join(least, "u").select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialise(small, "edges")
+        edges, old = work.save(small, "edges"), edges
+        work.drop(old)
         now = token(edges)
         if now == before:
             return edges.selectExpr("u as id", "v as root")
         before = now
 
 
+def link(docs: DataFrame, rules: Banding, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles) of every row (id, text), and (id, root) of the linked ones. Ids are distinct, or null and never linked."""
+    sign = work.save(signatures(docs, rules), "signatures")
+    named = sign.where("id is not null and set_key is not null")
+    # equal sets: one class each, under its smallest id
+    reps = work.save(named.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
+    copies = named.select("id", "set_key").join(reps, "set_key").where("id <> rep").select(F.col("id").alias("x"), F.col("rep").alias("y"))
+    hits = work.save(colliding(named, rules).join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "hits")
+    sets = work.save(shingle_sets(docs, hits.select("id"), rules), "sets")
+    before, bounds = sets.count(), None
+    while True:  # what is ruled out can rule out more
+        bounds, old = work.save(reach(sets, rules), "reach"), bounds
+        work.drop(old)
+        sets, old = work.save(sets.join(bounds.select("id"), "id", "left_semi"), "sets"), sets
+        work.drop(old)
+        left = sets.count()
+        if left >= (1 - WORTH) * before:
+            break
+        before = left
+    members = work.save(hits.join(bounds, "id").select("id", F.explode("a").alias("key"), "b", "size", "shared"), "members")
+    links, roots = [], None
+    for spread in SPREADS:
+        new = work.save(verify(pivot_pairs(members, roots, spread, rules), sets, rules), "links")
+        links.append(new)
+        roots, old = components(reduce(DataFrame.union, links), work), roots
+        work.drop(old)
+        if new.count() <= WORTH * left:
+            break
+    open_sets = work.save(kernels(sets, roots, rules), "kernels")
+    more = work.save(verify(pairs_across(hits, open_sets, rules, work), sets, rules), "links")
+    roots = components(reduce(DataFrame.union, [*links, more, copies]), work)
+    return sign.select("id", "n_shingles"), roots
+
+
 def near_duplicates(df: DataFrame, rules: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -326,46 +366,25 @@ def near_duplicates(df: DataFrame, rules: Banding = Banding(), id_col: str = "do
     several texts: a link of one is a link of all. ``kept`` is true for the smallest id of
     a component. Only the two named columns are read.
     """
+    bounded_batches(df.sparkSession)
+    work = Workspace(df.sparkSession, "near-duplicates")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sign = materialise(signatures(docs, "id", "text", rules), "signatures")
-    named = sign.where("id is not null and set_key is not null")
-    # equal sets: one class each, under its smallest id
-    reps = materialise(named.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    classes = named.join(reps, F.expr("id = rep") & (named["set_key"] == reps["set_key"])).select("id", "n_shingles", "minima")
-    classes = materialise(classes, "class-signatures")
-    check = lambda pairs: materialise(verify(similar_minima(pairs, classes, rules), docs, rules), "links")
-    members = materialise(buckets(colliding(classes, rules)), "buckets")
-    links = check(pivot_pairs(members, None, 1))
-    roots, spread, sizes = components(links), 8, None
-    still = materialise(still_open(members, roots), "open-buckets")
-    sets = materialise(shingle_sets(docs, still.select("id").distinct(), rules), "open-sets")
-    left = sets.count()
-    while left:  # what is ruled out can rule out more
-        sizes = materialise(reach(sets, rules), "reach")
-        still = materialise(still_open(still, roots, sizes), "open-buckets")
-        sets = materialise(sets.join(still.select("id").distinct(), "id", "left_semi"), "open-sets")
-        before, left = left, sets.count()
-        if left > SHRINKS * before:
-            break
-    # more pivots for the members that no pivot has drawn in, while that saves comparing them all
-    while spread <= MAX_SPREAD and pairs_across(still) > FEW_PAIRS + 2 * still.count():
-        links = links.union(check(pivot_pairs(still.select("key", "id"), roots, spread)))
-        roots, spread = components(links), spread * 4
-        still = materialise(still_open(still, roots, sizes), "open-buckets")
-    if sizes is None:
-        still = still.selectExpr("*", "0L as size", "0L as most")
-    other = still.selectExpr("key", "id as y", "root as other", "size as y_size", "most as y_most")
-    near = "x < y and root <> other and size <= y_most and y_size <= most"
-    rest = still.selectExpr("key", "id as x", "root", "size", "most").join(other, "key").where(near).select("x", "y").distinct()
-    more = check(rest)
-    same_id = named.join(reps, "set_key").where("id <> rep").select(F.col("id").alias("x"), F.col("rep").alias("y"))
-    links = roots.selectExpr("id as x", "root as y").union(more).union(same_id)
-    roots = components(links)
-    return sign.join(roots, "id", "left").select(
-        F.col("id").alias(id_col), "n_shingles",
-        F.coalesce("root", "id").alias("component_id"),
-        (F.col("id").isNull() | (F.coalesce("root", "id") == F.col("id"))).alias("kept"),
-    )
+    repeated = docs.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        sign, roots = link(docs, rules, work)
+        out = sign.join(roots, "id", "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    else:  # each row is a document of its own, linked with the others of its id
+        rows = docs.select(F.when(F.col("id").isNotNull(), F.monotonically_increasing_id()).alias("row"), "id", "text")
+        rows = work.save(rows, "rows")
+        sign, roots = link(rows.select(F.col("row").alias("id"), "text"), rules, work)
+        first = rows.groupBy("id").agg(F.min("row").alias("first"))
+        same = rows.join(first, "id").where("row <> first").select(F.col("row").alias("x"), F.col("first").alias("y"))
+        roots = components(roots.selectExpr("id as x", "root as y").union(same), work)
+        found = sign.withColumnRenamed("id", "row").join(rows.select("row", "id"), "row", "left").join(roots.withColumnRenamed("id", "row"), "row", "left")
+        found = found.withColumn("root", F.coalesce("root", "row"))
+        least = found.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+        out = found.join(least, "root", "left").select("id", "n_shingles", "component_id")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").isNull() | (F.col("component_id") == F.col("id"))).alias("kept"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

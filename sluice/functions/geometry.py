@@ -76,15 +76,8 @@ def text_length(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x["text"], r"\s", "")))
 
 
-def classify(faces: Column, text_percent: Column, face_skin: Column, outside_skin: Column, width: float, height: float, thresholds: dict, categories: set[str]) -> Column:
-    """struct(zone, reasons); an accepted item has a zone and no reasons.
-
-    More than one face, or no frontal one, settles it; else all failed rules are listed, and
-    only an item that fails none is judged by its zone.
-    """
-    frontal = F.filter(faces, is_frontal)
-    face = F.get(frontal, F.lit(0))
-    area = box_area_percent(face, width, height)
+def failed_rules(area: Column, text_percent: Column, face_skin: Column, outside_skin: Column, thresholds: dict, categories: set[str]) -> Column:
+    """The names of the rules that a single frontal face fails, in order."""
     rules = [
         (area < thresholds["min_face_area_pct"], "FaceTooSmall"),
         (area > thresholds["max_face_area_pct"], "FaceTooLarge"),
@@ -93,9 +86,13 @@ def classify(faces: Column, text_percent: Column, face_skin: Column, outside_ski
     ]
     if "Text" in categories:
         rules.append((text_percent > thresholds["max_text_area_pct"], "TooMuchText"))
-    failed = F.array_compact(F.array(*[F.when(c, n) for c, n in rules]))
-    where = zone(face, width, height)
+    return F.array_compact(F.array(*[F.when(c, n) for c, n in rules]))
+
+
+def reasons(n_faces: Column, n_frontal: Column, failed: Column, where: Column) -> Column:
+    """More than one face, or no frontal one, settles it; else all failed rules count, and only
+    an item that fails none is judged by its zone. No faces at all are too few."""
     one = lambda n: F.array(F.lit(n))
-    in_zone = where.isin(*ACCEPTED_ZONES)
-    reasons = F.when(F.size(faces) > 1, one("TooManyFaces")).when(F.size(frontal) == 0, one("TooFewFrontalFaces")).when(F.size(failed) > 0, failed).when(~in_zone, one("FaceNotInAcceptedZone")).otherwise(F.array().cast("array<string>"))
-    return F.struct(F.when(F.size(reasons) == 0, where).alias("zone"), reasons.alias("reasons"))
+    none = F.array().cast("array<string>")
+    rest = F.when(F.size(failed) > 0, failed).when(~where.isin(*ACCEPTED_ZONES), one("FaceNotInAcceptedZone")).otherwise(none)
+    return F.when(F.coalesce(n_faces, F.lit(0)) > 1, one("TooManyFaces")).when(F.coalesce(n_frontal, F.lit(0)) == 0, one("TooFewFrontalFaces")).otherwise(rest)

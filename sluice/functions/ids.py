@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed values.
 POST_COLLECTION = "app.bsky.feed.post"
 UNIT_SECONDS = {"h": 3600, "d": 86400, "w": 604800, "y": 31536000}
-_UUID = "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+_HYPHENED = "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+_UUID = rf"^([0-9a-f]{{32}}|{_HYPHENED}|urn:uuid:{_HYPHENED}|\{{{_HYPHENED}\}})$"
 _GROUP = r"^at://([^/]+)/([^/]+)/([^/]+)$"
 
 
@@ -29,9 +30,16 @@ def post_url(uri: Column) -> Column:
 
 
 def parse_item_id(item: Column) -> Column:
-    """struct(scheme, value): V3 v3:<cid>, V2 v2:<md5>, V1 a uuid; null if invalid."""
+    """struct(scheme, value): V3 v3:<cid>, V2 v2:<md5>, V1 a uuid; null if invalid.
+
+    Hexadecimal digits may be of either case, and a uuid plain, hyphenated, in braces or a URN;
+    the value is in lower case, a uuid's with hyphens.
+    """
     s = lambda name, v: F.struct(F.lit(name).alias("scheme"), v.alias("value"))
-    return F.when(item.rlike("^v3:[A-Za-z0-9]+$"), s("V3", F.substring(item, 4, 1000))).when(item.rlike("^v2:[0-9a-f]{32}$"), s("V2", F.substring(item, 4, 32))).when(item.rlike(f"^{_UUID}$"), s("V1", item))
+    low = F.lower(item)
+    digits = F.translate(F.regexp_replace(low, "^urn:uuid:", ""), "{}-", "")
+    parts = [F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(item.rlike("^v3:[A-Za-z0-9]+$"), s("V3", F.substring(item, 4, 1000))).when(item.rlike("^v2:[0-9A-Fa-f]{32}$"), s("V2", F.substring(low, 4, 32))).when(low.rlike(_UUID), s("V1", F.concat_ws("-", *parts)))
 
 
 def content_id(payload: Column) -> Column:
@@ -93,23 +101,59 @@ def is_valid_url(url: Column) -> Column:
 
 
 def parse_model_score(text: Column) -> Column:
-    """the score in a model's answer: field ``score`` of the outermost braces, or a bare
-    number; FLOAT in 0 to 1, else null."""
+    """the score in a model's answer: number ``score`` of the outermost braces, or a bare
+    number; FLOAT in 0 to 1, else null. A score given as text is refused."""
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    number = F.coalesce(F.get_json_object(inner, "$.score").try_cast("double"), F.trim(text).try_cast("double"))
+    number = F.coalesce(F.from_json(inner, "score double")["score"], F.trim(text).try_cast("double"))
     return F.when((number >= 0) & (number <= 1), number).cast("float")
 
 
 def is_reviewer(name: Column) -> Column:
-    """provider:identifier with neither part empty."""
-    return F.coalesce(name.rlike("^[a-z][a-z0-9_]*:[^ ].*$"), F.lit(False))
+    """a named account of the one provider, or the local administrator."""
+    return F.coalesce(name.rlike("(?s)^github:.") | (name == "local:admin"), F.lit(False))
+
+
+#: The fields of a read's plan, and the texts that stand for nothing.
+PLAN_FIELDS = ("uri", "projection", "num_fragments", "full_filter", "refine_filter", "range_before", "range_after", "row_id", "row_addr")
+NO_FILTER, NO_RANGE = "--", "None"
 
 
 def plan_fields(text: Column) -> Column:
-    """the key=value pairs of a plan line as a map; later keys win."""
-    pairs = F.regexp_extract_all(text, F.lit(r"(\w+)=(\[[^\]]*\]|[^,]*)"), F.lit(0))
-    entry = lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(p, "^[^=]*=", "").alias("v"))
-    return F.map_from_entries(F.transform(pairs, entry))
+    """the fields of a plan line as a map. A field ends where a comma is followed by the next field's
+    name, so commas in brackets and filters belong to the value; of a repeated key the last value counts."""
+    body = F.regexp_replace(F.trim(text), r"^[A-Za-z]+:\s*", "")
+    fields = F.filter(F.split(body, r",\s*(?=[A-Za-z_]\w*=)"), lambda f: f.contains("="))
+    key = lambda f: F.trim(F.substring_index(f, "=", 1))
+    keys = F.array_distinct(F.transform(fields, key))
+    last = lambda k: F.element_at(F.filter(fields, lambda f: key(f) == k), -1)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.trim(F.substring(last(k), F.instr(last(k), "=") + 1, F.length(last(k))))))
+
+
+def parse_plan(text: Column) -> Column:
+    """struct of a plan's typed fields: table, columns, num_fragments, filters, ranges, flags, the index line
+    and the unknown keys, sorted. Absent fields, and those that stand for nothing, are null; flags are false."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    reads = F.filter(lines, lambda x: x.rlike("^[A-Za-z]*Read: "))
+    fields = plan_fields(F.coalesce(F.element_at(F.when(F.size(reads) > 0, reads), -1), F.lit("")))
+    given = lambda k, nothing: F.nullif(fields[k], F.lit(nothing))
+    return F.struct(
+        F.nullif(object_table(fields["uri"]), F.lit("unknown")).alias("table"),
+        F.regexp_replace(fields["projection"], r"^\[+|\]+$", "").alias("columns"),
+        fields["num_fragments"].try_cast("bigint").alias("num_fragments"),
+        given("full_filter", NO_FILTER).alias("full_filter"),
+        given("refine_filter", NO_FILTER).alias("refine_filter"),
+        given("range_before", NO_RANGE).alias("range_before"),
+        given("range_after", NO_RANGE).alias("range_after"),
+        F.coalesce(fields["row_id"] == "true", F.lit(False)).alias("row_id"),
+        F.coalesce(fields["row_addr"] == "true", F.lit(False)).alias("row_addr"),
+        F.array_max(F.filter(lines, lambda x: x.startswith("ScalarIndexQuery:"))).alias("index"),
+        F.array_sort(F.array_except(F.map_keys(fields), F.array(*map(F.lit, PLAN_FIELDS)))).alias("unknown_keys"),
+    )
+
+
+def is_full_scan(plan: Column) -> Column:
+    """A read that tells its fragments and has no filter, by the struct of ``parse_plan``."""
+    return plan["num_fragments"].isNotNull() & plan["full_filter"].isNull()
 
 
 def object_table(path: Column) -> Column:

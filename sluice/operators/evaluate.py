@@ -59,27 +59,47 @@ def pin_at_precision(df: DataFrame, score: str, label: str, target: float) -> Da
     return s.agg(best.alias("b")).where("b is not null").select("b.*")
 
 
+def first_by_hash(df: DataFrame, id_col: str, band: str, seed: int, quota: Column) -> DataFrame:
+    """Adds _first: whether a row is among the first of its band in the order of md5(seed, id). ``quota`` says how many
+    those are, from _n (rows of the band) and _total (all rows). Rows that repeat the last id taken are taken as well.
+
+    Rows are counted per band and range of the hash (a 4096th), and only the range that holds a band's last row is put in order.
+    All others are judged by comparing with that row, so no task holds a band and the rows aren't shuffled.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    rows = df.withColumn("_k", key).withColumn("_r", F.substring("_k", 1, 3))
+    per = rows.groupBy(F.col(band).alias("_b"), "_r").agg(F.count("*").alias("_c"))  # as many rows as bands times ranges
+    sizes = per.groupBy("_b").agg(F.sum("_c").alias("_n")).withColumn("_total", F.sum("_n").over(Window.partitionBy()))  # one row per band
+    sizes = sizes.select("_b", "_n", quota.alias("_q"))
+    before = F.sum("_c").over(Window.partitionBy("_b").orderBy("_r")) - F.col("_c")
+    ranges = per.withColumn("_before", before).join(sizes.withColumnRenamed("_b", "_s"), F.col("_b").eqNullSafe(F.col("_s")))
+    ranges = ranges.where("_before < _q and _q <= _before + _c").select("_b", F.col("_r").alias("_at"), (F.col("_q") - F.col("_before")).alias("_left"))
+    same = F.col(band).eqNullSafe(F.col("_b"))
+    near = rows.join(small(ranges), same & (F.col("_r") == F.col("_at")))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col))
+    last = near.withColumn("_place", place).where("_place = _left").select(F.col("_b").alias("_s"), F.struct(F.col("_k"), F.col(id_col).alias("_i")).alias("_last"))
+    cuts = sizes.join(last, F.col("_b").eqNullSafe(F.col("_s")), "left").select("_b", "_last", (F.col("_q") > 0).alias("_some"))
+    rows = rows.drop("_r").join(small(cuts), same)
+    first = F.col("_some") & F.coalesce(F.struct(F.col("_k"), F.col(id_col).alias("_i")) <= F.col("_last"), F.lit(False))
+    return rows.withColumn("_first", first).drop("_k", "_b", "_last", "_some")
+
+
 def stratified_split(df: DataFrame, id_col: str, band: str, ratio: float, seed: int) -> DataFrame:
     """Adds side: floor((1 - ratio) * n) rows of each band are test, in the order of md5(seed, id).
 
     Integer floor and a hash order stand in for a random shuffle: same input, same split.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
-    place = F.row_number().over(Window.partitionBy(band).orderBy("_k", id_col))
-    sizes = df.groupBy(band).agg(F.floor(F.count("*") * round((1 - ratio) * 1000) / 1000).alias("_test"))
-    rows = df.withColumn("_k", key).withColumn("_place", place).join(small(sizes), band)
-    return rows.withColumn("side", F.when(F.col("_place") <= F.col("_test"), "test").otherwise("train")).drop("_k", "_place", "_test")
+    test = F.floor(F.col("_n") * round((1 - ratio) * 1000) / 1000)
+    rows = first_by_hash(df, id_col, band, seed, test)
+    return rows.withColumn("side", F.when(F.col("_first"), "test").otherwise("train")).drop("_first")
 
 
 def stratified_sample(df: DataFrame, id_col: str, band: str, n: int, seed: int) -> DataFrame:
-    """round(n * band / all) rows of each band, one at least and all at most, by hash order."""
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
-    sizes = df.groupBy(band).agg(F.count("*").alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    sizes = sizes.withColumn("_quota", F.least(F.greatest(F.round(F.lit(n) * F.col("_n") / total), F.lit(1)), F.col("_n")))
-    rows = df.withColumn("_k", key).join(small(sizes), band)
-    place = F.row_number().over(Window.partitionBy(band).orderBy("_k", id_col))
-    return rows.withColumn("_place", place).where("_place <= _quota").drop("_k", "_n", "_quota", "_place")
+    """round(n * band / all) rows of each band, one at least and all at most, by hash order; none if n is 0."""
+    if n <= 0:
+        return df.limit(0)
+    quota = F.least(F.greatest(F.round(F.lit(n) * F.col("_n") / F.col("_total")), F.lit(1)), F.col("_n"))
+    return first_by_hash(df, id_col, band, seed, quota).where("_first").drop("_first")
 
 
 def strict_join(ids_df: DataFrame, facts: DataFrame, on: str, flag: str) -> DataFrame:
@@ -173,6 +193,28 @@ def train_select(candidates: DataFrame, baseline_recall: float, tolerance: float
     return best.withColumn("accepted", S.accept(F.col("pinned_recall"), F.lit(baseline_recall), tolerance))
 
 
+def train_loop(pool: DataFrame, test: DataFrame, scorers: list[Callable], per_iteration: int, threshold: float, seed: int, baseline_recall: float, target: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(iterations, result) of trying scorers one after the other.
+
+    Iteration k scores a stratified sample of the pool (item_id, band, payload, positive), drawn with seed + k, with the k-th
+    scorer and takes its F1 at the threshold. The best (the first wins ties, no F1 loses) scores the test set (the same columns),
+    and its recall pinned at the target precision must pass the gate. ``scorers`` is the caller's list, one per prompt tried, so
+    the loop runs over scorers and not over rows.
+    """
+    tried = None
+    for k, scorer in enumerate(scorers, 1):
+        sample = stratified_sample(pool, "item_id", "band", per_iteration, seed + k)
+        scored = score_items(sample, scorer).join(sample.select("item_id", "positive"), "item_id")
+        one = prf(confusion(scored, "score", "positive", F.lit(threshold))).select(F.lit(str(k)).alias("candidate"), F.lit(k).alias("iteration"), "f1")
+        usage = scored.agg(F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"), F.count_if(F.col("outcome") == "fallback").alias("fallbacks"))
+        one = one.crossJoin(usage)  # one row each
+        tried = one if tried is None else tried.unionByName(one)
+    best = tried.where("f1 is not null").agg(F.max_by("iteration", F.struct("f1", -F.col("iteration"))).alias("k")).first()["k"] or 1  # one number
+    final = score_items(test, scorers[best - 1]).join(test.select("item_id", "positive"), "item_id")
+    result = evaluate_run(final, threshold, target).withColumn("iteration", F.lit(best))
+    return tried, result.withColumn("accepted", F.coalesce(S.accept(F.col("pinned.recall"), F.lit(baseline_recall)), F.lit(False)))
+
+
 def runs_of_model(runs: DataFrame, version: str) -> DataFrame:
     """The runs of a model, with their cost including training."""
     total = F.col("evaluation_cost") + F.coalesce("training_cost", F.lit(0).cast("decimal(38,12)"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import geometry as G
+from sluice.functions import ids
 from sluice.functions import scoring as S
 
 #: Labels that exclude a post.
@@ -30,9 +31,9 @@ def parse_events(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def resume(events: DataFrame, cursor_us: Column, now_us: Column | None = None, rewind_s: int = 5, cap_s: int = 30) -> DataFrame:
-    """Events from 5 s before the cursor; a gap of more than 30 s is skipped."""
+    """Events from 5 s before the cursor; if that is more than 30 s ago, the gap is skipped."""
     start = cursor_us - rewind_s * 1_000_000
-    ok = F.lit(True) if now_us is None else now_us - cursor_us <= cap_s * 1_000_000
+    ok = F.lit(True) if now_us is None else now_us - start <= cap_s * 1_000_000
     return events.where(F.col("time_us") >= F.when(ok, start).otherwise(F.coalesce(now_us, start) if now_us is not None else start))
 
 
@@ -53,12 +54,13 @@ def blob_ids(images: Column) -> Column:
 
 
 def extract_candidates(events: DataFrame) -> DataFrame:
-    """Created posts without an excluded label that have a valid image: (event_time, group_id, cids)."""
+    """Created posts without an excluded label that have a valid image: (event_time, time_us, group_id, cids,
+    original_at); original_at is the time that the post states, null if it is none."""
     record = F.col("commit.record")
-    rows = events.where((F.col("kind") == "commit") & (F.col("commit.operation") == "create") & F.col("commit.collection").endswith(".post"))
+    rows = events.where((F.col("kind") == "commit") & (F.col("commit.operation") == "create") & (F.col("commit.collection") == ids.POST_COLLECTION))
     rows = rows.where(~self_labelled(record["labels"]["values"])).withColumn("cids", blob_ids(embedded_images(record["embed"])))
     group = F.concat_ws("/", F.lit("at:/"), "did", "commit.collection", "commit.rkey")
-    return rows.where(F.size("cids") > 0).select("event_time", "time_us", group.alias("group_id"), "cids")
+    return rows.where(F.size("cids") > 0).select("event_time", "time_us", group.alias("group_id"), "cids", F.try_to_timestamp(record["createdAt"]).alias("original_at"))
 
 
 def blocked_labels(thread_json: Column) -> Column:
@@ -102,12 +104,33 @@ def tally(df: DataFrame, by: tuple = ()) -> DataFrame:
     return df.groupBy(*by).agg(*[total(c) for c in ("posts", "images", "saved", "rejected")])
 
 
+def judge_items(df: DataFrame, width: float, height: float, thresholds: dict, categories: set[str]) -> DataFrame:
+    """Adds zone and reasons to (faces, text_pct, face_skin, outside_skin, ...); an accepted item has a zone and no reasons.
+
+    Each step is a column of its own, so that none is worked out twice.
+    """
+    rows = df.withColumn("_frontal", F.filter("faces", G.is_frontal)).withColumn("_face", F.get("_frontal", F.lit(0)))
+    rows = rows.withColumns({"_area": G.box_area_percent(F.col("_face"), width, height), "_zone": G.zone(F.col("_face"), width, height)})
+    rows = rows.withColumn("_failed", G.failed_rules(F.col("_area"), F.col("text_pct"), F.col("face_skin"), F.col("outside_skin"), thresholds, categories))
+    rows = rows.withColumn("reasons", G.reasons(F.size("faces"), F.size("_frontal"), F.col("_failed"), F.col("_zone")))
+    return rows.withColumn("zone", F.when(F.size("reasons") == 0, F.col("_zone"))).drop("_frontal", "_face", "_area", "_zone", "_failed")
+
+
 def rejection_breakdown(df: DataFrame) -> DataFrame:
-    """(kind, name, n): each reason; each category once per item; sole category if it is the only one."""
-    rows = reason_rows(df)
-    part = lambda kind, names: rows.select(F.lit(kind).alias("kind"), F.explode(names).alias("name"))
-    parts = part("reason", F.col("reasons")).unionAll(part("category", F.col("categories"))).unionAll(part("sole", F.array_compact(F.array("sole"))))
-    return parts.groupBy("kind", "name").agg(F.count("*").alias("n"))
+    """(kind, name, n): each reason; each category once per item; sole category if it is the only one.
+
+    One pass: an item gives a row for each of its names, and those are summed per name.
+    """
+    named = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+    names = F.concat(named("reason", F.col("reasons")), named("category", F.col("categories")), named("sole", F.array_compact(F.array("sole"))))
+    return reason_rows(df).select(F.explode(names).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+def breakdown_shares(breakdown: DataFrame, rejected: int | Column) -> DataFrame:
+    """Adds ``percent``: a reason's share of all reasons, a category's (or sole category's) of the rejected images."""
+    every = F.sum(F.when(F.col("kind") == "reason", F.col("n"))).over(Window.partitionBy())  # one row per reason and category
+    total = F.when(F.col("kind") == "reason", every).otherwise(rejected if isinstance(rejected, Column) else F.lit(rejected))
+    return breakdown.withColumn("percent", F.when(total > 0, 100.0 * F.col("n") / total).otherwise(0.0))
 
 
 def status_summary(df: DataFrame, seconds: Column) -> DataFrame:
@@ -154,6 +177,8 @@ def union_share(items: DataFrame, width: int, height: int, key: str = "item_id")
         import pandas as pd
 
         def area(lines):
+            if width <= 0 or height <= 0:
+                return np.float32(0)
             cuts = sorted({min(max(v, 0), width) for b in lines for v in (b["x"], b["x"] + b["width"])})
             total = 0
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -175,8 +200,8 @@ def union_share(items: DataFrame, width: int, height: int, key: str = "item_id")
 def skin_share(images: DataFrame, key: str = "item_id") -> DataFrame:
     """(key, inside, outside) percent of skin pixels in and around ``box``.
 
-    ``image`` is the struct of Spark's image source (bytes in BGR order). The box is clipped to the image; 0
-    without pixels. A pixel is skin by the usual RGB and YCbCr bounds together.
+    ``image`` is the struct of Spark's image source (bytes in BGR order). Box coordinates and sizes are cut to whole
+    numbers, none below 0, and the box is clipped to the image; 0 without pixels, image or box. A pixel is skin by the usual RGB and YCbCr bounds together.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -186,6 +211,9 @@ def skin_share(images: DataFrame, key: str = "item_id") -> DataFrame:
         for pdf in batches:
             rows = []
             for key_value, img, box in zip(pdf["key"], pdf["image"], pdf["box"], strict=True):
+                if img is None or not img["height"] or not img["width"]:
+                    rows.append((key_value, np.float32(0), np.float32(0)))
+                    continue
                 px = np.frombuffer(img["data"], np.uint8).reshape(img["height"], img["width"], -1)[:, :, :3].astype(np.float32)
                 b, g, r = px[:, :, 0], px[:, :, 1], px[:, :, 2]
                 # fixed values: bounds and weights of the two rules
@@ -193,8 +221,8 @@ def skin_share(images: DataFrame, key: str = "item_id") -> DataFrame:
                 rgb = (r > 95) & (g > 40) & (b > 20) & (px.max(axis=2) - px.min(axis=2) > 15) & (np.abs(r - g) > 15) & (r > g) & (r > b)
                 skin = rgb & (cb >= 77) & (cb <= 127) & (cr >= 133) & (cr <= 173)
                 mask = np.zeros(skin.shape, bool)
-                x0, y0 = max(0, int(box["x"])), max(0, int(box["y"]))
-                mask[y0 : max(0, int(box["y"] + box["height"])), x0 : max(0, int(box["x"] + box["width"]))] = True
+                x, y, w, h = (max(0, int(box[c])) if box is not None else 0 for c in ("x", "y", "width", "height"))
+                mask[y : y + h, x : x + w] = True
                 share = lambda m: np.float32(100 * skin[m].mean()) if m.any() else np.float32(0)
                 rows.append((key_value, share(mask), share(~mask)))
             yield pd.DataFrame(rows, columns=["key", "inside", "outside"])

@@ -26,6 +26,22 @@ def upsert(base: DataFrame, new: DataFrame, key: str, seq: str | None = None) ->
     return both.groupBy(key).agg(F.max_by("row", "o").alias("row")).select(key, "row.*").select(*base.columns)
 
 
+def set_reviews(base: DataFrame, new: DataFrame, key: str, at: Column) -> DataFrame:
+    """Reviews (key, band, appraiser, appraised_at) with those of ``new`` (key, band, appraiser) set and stamped."""
+    return upsert(base, new.withColumn("appraised_at", at).select(*base.columns), key, "appraised_at")
+
+
+def clear_reviews(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The reviews but those of the keys; clearing what isn't there changes nothing."""
+    return delete_keys(base, keys, key)
+
+
+def all_reviews(item_reviews: DataFrame, group_reviews: DataFrame) -> DataFrame:
+    """Every review as (kind, id, band, appraiser, appraised_at)."""
+    one = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "band", "appraiser", "appraised_at")
+    return one(item_reviews, "item", "item_id").unionByName(one(group_reviews, "group", "group_id"))
+
+
 def delete_keys(base: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows whose key is not in ``keys``; absent keys don't matter."""
     return base.join(keys.select(on).distinct(), on, "left_anti").select(*base.columns)

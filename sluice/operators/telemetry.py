@@ -23,13 +23,13 @@ def flatten_costs(df: DataFrame, value: str = "value") -> DataFrame:
     return r.select("start", "end", F.coalesce("r.line_item", F.lit("")).alias("line_item"), F.coalesce("r.project_id", F.lit("")).alias("project"), checked.alias("amount"))
 
 
-def flatten_operations(df: DataFrame, value: str = "value") -> DataFrame:
-    """(action, bucket, requests); an empty bucket is null; errors end the job, joined."""
-    j = df.select(F.from_json(value, OPERATIONS).alias("j"))
+def flatten_operations(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(action, bucket, requests) and the columns to keep; an empty bucket is null; errors end the job, joined."""
+    j = df.select(*keep, F.from_json(value, OPERATIONS).alias("j"))
     failed = F.size(F.coalesce("j.errors", F.array())) > 0
     accounts = F.when(failed, F.raise_error(F.array_join(F.transform("j.errors", lambda e: e["message"]), "; ")).cast("boolean")).otherwise(True)
-    rows = j.where(accounts).select(F.explode("j.data.viewer.accounts").alias("a")).select(F.explode("a.r2OperationsAdaptiveGroups").alias("g"))
-    return rows.select(F.col("g.dimensions.actionType").alias("action"), F.nullif("g.dimensions.bucketName", F.lit("")).alias("bucket"), F.col("g.sum.requests").alias("requests"))
+    rows = j.where(accounts).select(*keep, F.explode("j.data.viewer.accounts").alias("a")).select(*keep, F.explode("a.r2OperationsAdaptiveGroups").alias("g"))
+    return rows.select(F.col("g.dimensions.actionType").alias("action"), F.nullif("g.dimensions.bucketName", F.lit("")).alias("bucket"), F.col("g.sum.requests").alias("requests"), *keep)
 
 
 def flatten_usage(df: DataFrame, bucket: str, value: str = "value") -> DataFrame:
@@ -64,6 +64,22 @@ def to_samples(df: DataFrame, metrics: dict[str, str], labels: list[str], ts: Co
     return df.select(label.alias("labels"), ts.alias("ts"), each.alias("m")).select("m.metric", "labels", "ts", "m.value")
 
 
+def sync_costs(pages: DataFrame) -> DataFrame:
+    """C14: billing pages as samples of daily spending by line item and project, stamped with the day's start."""
+    return to_samples(flatten_costs(pages), {"spending_usd": "amount"}, ["line_item", "project"], F.col("start"))
+
+
+def sync_operations(responses: DataFrame, middle: Column) -> DataFrame:
+    """C14: operation counts as samples by action and bucket, stamped with the window's middle; what has no bucket goes."""
+    rows = flatten_operations(responses.withColumn("_at", middle), keep=("_at",)).where("bucket is not null")
+    return to_samples(rows, {"operations": "requests"}, ["action", "bucket"], F.col("_at"))
+
+
+def sync_storage(usages: DataFrame, bucket: str, at: Column) -> DataFrame:
+    """C14: stored bytes and objects as samples by bucket."""
+    return to_samples(flatten_usage(usages, bucket), {"stored_bytes": "bytes", "stored_objects": "objects"}, ["bucket"], at)
+
+
 def minute_windows(df: DataFrame, start: str, end: str) -> DataFrame:
     """(start, end, middle) of the one-minute windows over [start, end) of each row, the last one clipped."""
     rows = df.where(F.col(start) < F.col(end)).withColumn("w", F.explode(F.sequence(F.col(start), F.col(end) - F.expr("INTERVAL 1 MICROSECOND"), F.expr("INTERVAL 1 MINUTE"))))
@@ -133,7 +149,6 @@ def tick_totals(ticks: DataFrame) -> DataFrame:
 
 def query_log_report(log: DataFrame, slow_ms: int = 100) -> DataFrame:
     """Per label and table: queries, slow ones, full scans (fragments and no filter)."""
-    f = ids.plan_fields(F.col("plan"))
-    full = f["num_fragments"].isNotNull() & (F.coalesce(f["full_filter"], F.lit("--")) == "--")
-    rows = log.withColumns({"table": ids.object_table(f["uri"]), "slow": F.col("elapsed_ms") > slow_ms, "full": full})
+    rows = log.withColumn("_plan", ids.parse_plan(F.col("plan")))
+    rows = rows.withColumns({"table": F.coalesce("_plan.table", F.lit("unknown")), "slow": F.col("elapsed_ms") > slow_ms, "full": ids.is_full_scan(F.col("_plan"))})
     return rows.groupBy("label", "table").agg(F.count("*").alias("queries"), F.count_if("slow").alias("slow"), F.count_if("full").alias("full_scans"), F.max("elapsed_ms").alias("longest_ms"))

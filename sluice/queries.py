@@ -244,13 +244,23 @@ def interval_totals(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("interval_start", "interval_end")})
 
 
-@query("items scores", "SELECT * FROM (SELECT 'items' AS name, count(*) AS n FROM items UNION ALL SELECT 'scores', count(*) FROM scores)")
+@query()
 def snapshot_tokens(spark, sf_dir):
-    """Table tokens (the hash itself is Spark's own, so counts are compared here)."""
-    one = lambda n: store.snapshot_token(bound(spark, sf_dir, n)).where("token is not null").select(F.lit(n).alias("name"), "n")
+    """Row counts and order-free tokens of two tables (Spark's own hash, so a test sums it anew)."""
+    one = lambda n: store.snapshot_token(bound(spark, sf_dir, n)).select(F.lit(n).alias("name"), "n", "token")
     return one("items").unionAll(one("scores"))
 
 
+@query("scores", """SELECT true AS same_reordered, false AS same_without_one, (SELECT count(*) FROM scores) AS n""")
+def same_scores(spark, sf_dir):
+    """The same rows in another order are the same table; without one of them they aren't."""
+    a = bound(spark, sf_dir, "scores")
+    b = a.repartition(7, "score")
+    less = a.join(a.agg(F.max("item_id").alias("item_id")), "item_id", "left_anti")
+    out = store.same_rows(a, b).withColumnRenamed("same", "same_reordered").crossJoin(store.same_rows(a, less).withColumnRenamed("same", "same_without_one"))
+    return out.crossJoin(a.agg(F.count("*").alias("n")))  # one row each
+
+
 _EXPOSED = """SELECT item_id, CASE WHEN item_id LIKE 'v3:%' THEN 'V3' ELSE 'V2' END AS scheme, substr(item_id, 4) AS value, split_part(group_id, '/', 3) AS did, split_part(group_id, '/', 4) AS collection, split_part(group_id, '/', 5) AS rkey,
 CASE WHEN item_id LIKE 'v3:%' THEN 'https://cdn.bsky.app/img/feed_fullsize/plain/' || split_part(group_id, '/', 3) || '/' || substr(item_id, 4) || '@jpeg' END AS url, strftime(discovered_at, '%Y-%m-%d %H:%M') AS seen, date_trunc('hour', discovered_at) AS hour FROM items"""
 
@@ -310,12 +320,12 @@ def stratified_sample(spark, sf_dir):
 _COSTED = "costed AS (SELECT u.*, CAST((CAST(tokens_in AS DECIMAL(18,0)) * price_in + CAST(tokens_out AS DECIMAL(18,0)) * price_out) AS DOUBLE) / 1000000 AS cost FROM usage u JOIN prices p ON u.model = p.model)"
 
 
-@query("usage prices", _COSTED + " SELECT model, count(*) AS items, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum(cost), 3) AS total, round(min(cost), 6) AS least_cost, round(max(cost), 6) AS most_cost FROM costed GROUP BY 1")
+@query("usage prices", _COSTED + " SELECT model, count(*) AS items, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(round_even(sum(cost), 4), 4) AS total, round(round_even(min(cost), 4), 4) AS least, round(round_even(max(cost), 4), 4) AS most, round(sum(cost) / count(*), 9) AS mean FROM costed GROUP BY 1")
 def cost_by_model(spark, sf_dir):
     """J11, F22, A16, A17, C9."""
-    costed = E.usage_cost(bound(spark, sf_dir, "usage"), bound(spark, sf_dir, "prices"))
-    d = lambda c, k: F.round(c.cast("double"), k)
-    return costed.groupBy("model").agg(F.count("*").alias("items"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), d(F.sum("cost"), 3).alias("total"), d(F.min("cost"), 6).alias("least_cost"), d(F.max("cost"), 6).alias("most_cost"))
+    out = E.cost_by_model(E.usage_cost(bound(spark, sf_dir, "usage"), bound(spark, sf_dir, "prices")))
+    d = lambda c, k=4: F.round(F.col(c).cast("double"), k).alias(c)
+    return out.select("model", "items", "tokens_in", "tokens_out", d("total"), d("least"), d("most"), d("mean", 9))
 
 
 _FACES = """d AS (SELECT *, row_number() OVER () AS rid, greatest(least(x + width, 640) - greatest(x, 0), 0) * greatest(least(y + height, 480) - greatest(y, 0), 0) * 100 / (640.0 * 480.0) AS area FROM detections),
@@ -332,14 +342,13 @@ def _judged(spark, sf_dir):
     face = F.struct("x", "y", "width", "height", marks.alias("landmarks"))
     d = d.withColumn("faces", F.array_repeat(face, F.col("n_faces")))
     limits = {"min_face_area_pct": 5.0, "max_face_area_pct": 35.0, "min_face_skin_pct": 30.0, "max_outside_face_skin_pct": 15.0, "max_text_area_pct": 10.0}
-    c = G.classify(F.col("faces"), F.col("text_pct"), F.col("face_skin"), F.col("outside_skin"), 640.0, 480.0, limits, {"Face", "Text", "Metadata"})
-    return d.withColumn("c", c).withColumn("reasons", F.col("c.reasons"))
+    return P.judge_items(d, 640.0, 480.0, limits, {"Face", "Text", "Metadata"})
 
 
 @query("detections", _FACES + " SELECT item_id, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN zone ELSE -1 END AS zone_no FROM judged")
 def classify_items(spark, sf_dir):
     """Verdict of every detection."""
-    zone = F.array_position(F.array(*map(F.lit, G.ZONES)), F.col("c.zone")) - 1
+    zone = F.array_position(F.array(*map(F.lit, G.ZONES)), F.col("zone")) - 1
     return _judged(spark, sf_dir).select("item_id", F.array_join("reasons", ",").alias("reasons"), F.when(F.size("reasons") == 0, zone).otherwise(-1).cast("int").alias("zone_no"))
 
 
@@ -469,17 +478,33 @@ def best_run(spark, sf_dir):
     return E.best_run(runs, F.col("f1")).select(F.lit("best").alias("metric"), F.col("run_id").alias("run"))
 
 
-@query()
+_GROUPED = "b AS (SELECT CAST(floor(item_id / 10) AS BIGINT) AS item_id, x, y, width, height, text_pct AS score FROM detections)"
+
+
+@query("detections", _GROUPED + """, o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, x, y, width, height) AS rn FROM b),
+g AS (
+  SELECT item_id, rn, [{'x': x, 'y': y, 'w': width, 'h': height, 's': score}] AS kept FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.item_id, o.rn, CASE WHEN len(list_filter(g.kept, lambda k: greatest(least(o.x + o.width, k.x + k.w) - greatest(o.x, k.x), 0) * greatest(least(o.y + o.height, k.y + k.h) - greatest(o.y, k.y), 0)
+    > 0.3 * (o.width * o.height + k.w * k.h - greatest(least(o.x + o.width, k.x + k.w) - greatest(o.x, k.x), 0) * greatest(least(o.y + o.height, k.y + k.h) - greatest(o.y, k.y), 0)))) > 0
+    THEN g.kept ELSE list_append(g.kept, {'x': o.x, 'y': o.y, 'w': o.width, 'h': o.height, 's': o.score}) END
+  FROM g JOIN o ON o.item_id = g.item_id AND o.rn = g.rn + 1
+), f AS (SELECT item_id, arg_max(kept, rn) AS kept FROM g GROUP BY 1)
+SELECT item_id, k.x AS x, k.y AS y, k.w AS width, k.h AS height, k.s AS score FROM (SELECT item_id, unnest(kept) AS k FROM f)""")
 def suppressed_boxes(spark, sf_dir):
-    """Boxes that no better box of the same part overlaps (greedy, so rows only)."""
+    """Boxes that no better box of the same part overlaps."""
     d = bound(spark, sf_dir, "detections")
-    boxes = d.select(F.col("item_id").alias("item_id"), "x", "y", "width", "height", F.col("text_pct").alias("score")).withColumn("item_id", F.floor(F.col("item_id") / 10))
+    boxes = d.select(F.floor(F.col("item_id") / 10).alias("item_id"), "x", "y", "width", "height", F.col("text_pct").alias("score"))
     return P.suppress(boxes)
 
 
-@query()
+@query("detections", """b AS (SELECT CAST(floor(item_id / 10) AS BIGINT) AS item_id, greatest(CAST(x AS INT), 0) AS x0, least(CAST(x AS INT) + CAST(width AS INT), 640) AS x1, greatest(CAST(y AS INT), 0) AS y0, least(CAST(y AS INT) + CAST(height AS INT), 480) AS y1 FROM detections),
+xs AS (SELECT item_id, v AS a, lead(v) OVER (PARTITION BY item_id ORDER BY v) AS e FROM (SELECT item_id, x0 AS v FROM b UNION SELECT item_id, x1 FROM b)),
+ys AS (SELECT item_id, v AS a, lead(v) OVER (PARTITION BY item_id ORDER BY v) AS e FROM (SELECT item_id, y0 AS v FROM b UNION SELECT item_id, y1 FROM b)),
+c AS (SELECT DISTINCT b.item_id, xs.a AS xa, xs.e AS xe, ys.a AS ya, ys.e AS ye FROM b JOIN xs ON xs.item_id = b.item_id AND xs.a >= b.x0 AND xs.e <= b.x1 JOIN ys ON ys.item_id = b.item_id AND ys.a >= b.y0 AND ys.e <= b.y1)
+SELECT i.item_id, CAST(round(coalesce(sum((xe - xa) * (ye - ya)), 0) * 100 / (640.0 * 480.0), 3) AS DOUBLE) AS percent FROM (SELECT DISTINCT item_id FROM b) i LEFT JOIN c ON c.item_id = i.item_id GROUP BY 1""")
 def text_union_share(spark, sf_dir):
-    """Area of the union of text boxes (a sweep, so rows only)."""
+    """Area of the union of text boxes."""
     d = bound(spark, sf_dir, "detections").withColumn("item_id", F.floor(F.col("item_id") / 10))
     box = F.struct(*[F.col(c).cast("int").alias(c) for c in ("x", "y", "width", "height")])
-    return P.union_share(d.groupBy("item_id").agg(F.collect_list(box).alias("lines")), 640, 480)
+    return P.union_share(d.groupBy("item_id").agg(F.collect_list(box).alias("lines")), 640, 480).select("item_id", F.round(F.col("percent").cast("double"), 3).alias("percent"))

@@ -88,4 +88,4 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_tables(names: str, body: str) -> str:
     """``body`` with the named domain tables before it."""
-    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in names.split()) + ("\n" if body.lstrip().upper().startswith("SELECT") else ",\n") + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in names.split()) + ("\n" if body.lstrip().upper().startswith("SELECT") else ",\n") + body

@@ -28,7 +28,7 @@ def prune_stream(events: DataFrame, judge: Callable[[DataFrame], DataFrame], pat
     def save(batch: DataFrame, batch_id: int) -> None:
         spark, judged = batch.sparkSession, judge(batch).persist()
         one = judged.withColumns({"posts": F.lit(1), "saved": F.when(F.size("reasons") == 0, F.col("images")).otherwise(0), "rejected": F.when(F.size("reasons") > 0, F.greatest("images", F.lit(1))).otherwise(0)})
-        keep = judged.where(F.size("reasons") == 0).select("group_id", "event_time", "cids")
+        keep = judged.where(F.size("reasons") == 0).select("group_id", "event_time", "cids", "original_at")
         items = f"{path}/items"
         base = spark.read.schema(keep.schema).parquet(items) if _exists(spark, items) else keep.limit(0)
         store.insert_if_absent(base, keep, "group_id").write.mode("append").parquet(items)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import ids
 from sluice.functions import scoring as S
-from sluice.operators.views import small
+from sluice.operators.views import number_in_pieces, small
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: Column, by: tuple[str, ...] = ()) -> DataFrame:
@@ -136,15 +136,18 @@ def best_run(runs: DataFrame, metric: Column, by: tuple[str, ...] = ()) -> DataF
 
 
 def capture_split(reviews: DataFrame, id_col: str, band: str, ratio: float, seed: int, captured_at: Column) -> DataFrame:
-    """(split_id, seed, captured_at, side, ordinal, id) in long form, without arrays over all ids.
+    """(split_id, seed, captured_at, side, band, ordinal, id) in long form, without arrays over all ids; ordinal
+    counts a side's items of a band in the order of the split's hash.
 
     The id of the split is an md5 over seed, time and an order-free digest of each side.
     """
     rows = stratified_split(reviews, id_col, band, ratio, seed)
     digest = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.xxhash64(id_col).cast("decimal(20,0)"))), F.lit(0)).cast("string")
     name = rows.agg(F.md5(F.concat_ws("|", F.lit(str(seed)), F.unix_micros(captured_at).cast("string"), F.count_if(F.col("side") == "train").cast("string"), digest("train"), digest("test"))).alias("split_id"))
-    place = F.row_number().over(Window.partitionBy("side", band).orderBy(id_col))
-    return rows.withColumn("ordinal", place).crossJoin(F.broadcast(name)).select("split_id", F.lit(seed).alias("seed"), captured_at.alias("captured_at"), "side", band, "ordinal", id_col)  # one row joined on
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    rows = rows.withColumns({"_k": key, "_part": F.concat_ws("|", "side", F.col(band).cast("string"))})
+    rows = number_in_pieces(rows, "_part", F.substring("_k", 1, 3), [F.asc("_k"), F.asc(id_col)], "ordinal")
+    return rows.crossJoin(F.broadcast(name)).select("split_id", F.lit(seed).alias("seed"), captured_at.alias("captured_at"), "side", band, "ordinal", id_col)  # one row joined on
 
 
 def score_items(df: DataFrame, scorer: Callable, retries: int = 3, id_col: str = "item_id", payload: str = "payload") -> DataFrame:

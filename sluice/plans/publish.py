@@ -33,20 +33,6 @@ def ago(now: Column, seconds: Column) -> Column:
     return now - F.make_dt_interval(secs=seconds)
 
 
-def number_in_pieces(df: DataFrame, group: str, piece: Column, order: list[Column], name: str) -> DataFrame:
-    """Adds ``name``: 1, 2, ... within each group in the given order, of which ``piece`` must be a coarser, rising form.
-
-    Rows are numbered inside their piece and the counts of the pieces before are added, so no task sorts a whole group.
-    """
-    rows = df.withColumn("_piece", piece)
-    counts = rows.groupBy(F.col(group).alias("_g"), F.col("_piece").alias("_p")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_p")) - F.col("_n")  # one row per group and piece
-    counts = counts.select("_g", "_p", before.alias("_before"))
-    rows = rows.join(counts, (F.col(group) == F.col("_g")) & (F.col("_piece") == F.col("_p")))
-    place = F.row_number().over(Window.partitionBy(group, "_piece").orderBy(*order))
-    return rows.withColumn(name, (F.col("_before") + place).cast("long")).drop("_piece", "_g", "_p", "_before")
-
-
 def publish_lists(items: DataFrame, scores: DataFrame, registry: DataFrame, item_reviews: DataFrame, group_reviews: DataFrame, existence: DataFrame, specs: DataFrame, now: DataFrame, resolver: Callable[[Column, Column], Column] = ids.image_url, checker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All lists in one plan: (list, position, image_url, item_id, group_id, flags[, dimensions]).
 
@@ -73,7 +59,7 @@ def publish_lists(items: DataFrame, scores: DataFrame, registry: DataFrame, item
     order = [F.desc_nulls_last("k1"), F.desc_nulls_last("k2"), F.desc_nulls_last("k3"), F.asc("item_id"), F.asc("group_id")]
     best = F.coalesce(F.col("k1"), F.lit(-1)) * (SCORE_STEPS + 2) + F.coalesce(F.floor(F.col("k2").cast("double") * SCORE_STEPS), F.lit(-1))
     piece = -F.when(quality, best).otherwise(F.floor(F.unix_seconds(F.col("k3").cast("timestamp")) / RECENCY_SECONDS))
-    rows = number_in_pieces(rows.withColumns(keys), "list", piece, order, "position")
+    rows = V.number_in_pieces(rows.withColumns(keys), "list", piece, order, "position")
     if checker is not None:
         existence = checker(rows.select("item_id", "group_id", "image_url").distinct())
     return V.with_existence(rows, existence).select(*LIST_COLUMNS, *(["dimensions"] if "dimensions" in existence.columns else []))
@@ -124,7 +110,7 @@ def serve(lists: DataFrame, catalog: DataFrame, order: str, limit_seconds: int,
     pick = sized.where("n > 0").agg(F.min_by("list", "seconds").alias("list")).where("list is not null")
     rows = live.join(F.broadcast(pick), "list", "left_semi")  # one name
     once = rows.groupBy("list", "group_id").agg(F.min_by(F.struct("position", "item_id", "image_url"), "position").alias("r")).select("list", "group_id", "r.*")
-    once = number_in_pieces(once, "list", F.floor(F.col("position") / PLACES), [F.asc("position")], "place")
+    once = V.number_in_pieces(once, "list", F.floor(F.col("position") / PLACES), [F.asc("position")], "place")
     return once if first is None else once.where(F.col("place") <= first)
 
 

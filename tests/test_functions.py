@@ -89,3 +89,32 @@ def test_plan_text(spark):
     f = ids.plan_fields(F.lit("Read: uri=a/images.lance, projection=[x, y], num_fragments=3, full_filter=--"))
     got = one(spark, f["projection"], f["num_fragments"], ids.object_table(f["uri"]), ids.object_kind(F.lit("a/t.lance/_versions/1")))
     assert list(got) == ["[x, y]", "3", "images.lance", "_versions"]
+
+
+def test_plan_fields_of_odd_texts(spark):
+    f = lambda t: ids.plan_fields(F.lit(t))
+    got = one(spark, f("XRead: a=1, b=[x, y], a=2, c=p IN (1, 2)"), f(""), f("nothing here"), f(None))
+    assert list(got) == [{"a": "2", "b": "[x, y]", "c": "p IN (1, 2)"}, {}, {}, None]
+    plan = ids.parse_plan(F.lit("XRead: uri=s/t.lance/data, projection=[a, b], num_fragments=6, range_before=None, row_id=true, zz=1, full_filter=--\n  ScalarIndexQuery: query=[m = 1]@i\n"))
+    p = one(spark, plan, ids.is_full_scan(plan))
+    assert tuple(p.c0) == ("t.lance", "a, b", 6, None, None, None, None, True, False, "ScalarIndexQuery: query=[m = 1]@i", ["zz"]) and p.c1
+    none = one(spark, ids.parse_plan(F.lit("x")), ids.is_full_scan(ids.parse_plan(F.lit("XRead: num_fragments=1, full_filter=a = 1"))))
+    assert none.c0.table is None and none.c0.unknown_keys == [] and not none.c1
+
+
+def test_reviewers(spark):
+    names = ("github:ann", "github:", "local:admin", "local:other", "foo:bar", "github", None)
+    assert list(one(spark, *[ids.is_reviewer(F.lit(n)) for n in names])) == [True, False, True, False, False, False, False]
+
+
+def test_ids_in_upper_case_and_other_forms(spark):
+    uuid, plain = "01234567-89ab-cdef-0123-456789abcdef", "0123456789abcdef0123456789abcdef"
+    v = lambda x: ids.parse_item_id(F.lit(x))["value"]
+    forms = (uuid, uuid.upper(), plain, "{" + uuid + "}", "urn:uuid:" + uuid)
+    assert list(one(spark, *map(v, forms))) == [uuid] * 5
+    assert list(one(spark, v("v2:" + plain.upper()), v("{" + uuid), v("v2:" + plain[:-1]), v(""))) == [plain, None, None, None]
+
+
+def test_scores_given_as_text_are_refused(spark):
+    p = lambda x: ids.parse_model_score(F.lit(x))
+    assert list(one(spark, p('{"score": "0.5"}'), p('{"score": 1}'), p('{"score": null}'), p('{"score": -0.1}'))) == [None, 1.0, None, None]

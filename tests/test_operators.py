@@ -236,3 +236,157 @@ def test_images_are_read_as_bgr(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"no image")
     rows = read_images(spark, str(tmp_path)).collect()
     assert [bytes(r.image.data) for r in rows] == [bytes([30, 20, 10])]
+
+
+def test_resume_measures_the_gap_from_the_rewound_cursor(spark):
+    events = P.parse_events(spark.createDataFrame([(e,) for e in EVENTS[:6]], "value string"))
+    base = 1_700_000_000_000_000
+    n = lambda gap: P.resume(events, F.lit(base + 6_000_000), F.lit(base + 6_000_000 + gap * 1_000_000)).count()
+    assert (n(24), n(25), n(26), n(28)) == (5, 5, 0, 0)
+
+
+def test_candidates_are_posts_only_and_keep_their_time(spark):
+    other = json.loads(_event(7))
+    other["commit"]["collection"] = "a.b.post"
+    dated = json.loads(_event(8))
+    dated["commit"]["record"]["createdAt"] = "2024-01-01T00:00:00Z"
+    events = P.parse_events(spark.createDataFrame([(json.dumps(other),), (json.dumps(dated),), (_event(9),)], "value string"))
+    assert [(r.group_id[-2:], r.original_at) for r in P.extract_candidates(events).orderBy("group_id").collect()] == [("r8", T0), ("r9", None)]
+
+
+def test_stratified_draws(spark):
+    df = spark.createDataFrame([(k, "abc"[k % 3] if k % 7 else None) for k in range(900)], "item_id long, band string")
+    assert E.stratified_sample(df, "item_id", "band", 0, 1).count() == 0 and E.stratified_sample(df.limit(0), "item_id", "band", 5, 1).count() == 0
+    sizes = {r.band: r["count"] for r in E.stratified_sample(df, "item_id", "band", 90, 1).groupBy("band").count().collect()}
+    assert sum(sizes.values()) in (89, 90, 91) and set(sizes) == {"a", "b", "c", None}
+    assert E.stratified_sample(df, "item_id", "band", 10_000, 1).count() == 900
+    split = E.stratified_split(df, "item_id", "band", 0.8, 5)
+    assert split.count() == 900 and split.where("side = 'test'").groupBy("band").count().select("count").distinct().count() <= 2
+    assert E.stratified_split(df, "item_id", "band", 1.0, 5).where("side = 'test'").count() == 0
+
+
+LIMITS = {"min_face_area_pct": 5.0, "max_face_area_pct": 35.0, "min_face_skin_pct": 30.0, "max_outside_face_skin_pct": 15.0, "max_text_area_pct": 10.0}
+FACE = "struct<x:double,y:double,width:double,height:double,landmarks:struct<right_eye:struct<x:double,y:double>,left_eye:struct<x:double,y:double>,nose:struct<x:double,y:double>>>"
+
+
+def test_verdicts_with_and_without_faces(spark):
+    face = (10.0, 10.0, 200.0, 200.0, ((0.0, 0.0), (30.0, 0.0), (15.0, 10.0)))
+    tilted = (*face[:4], ((0.0, 0.0), (1.0, 30.0), (15.0, 10.0)))
+    rows = [(1, None, 0.0, 50.0, 0.0), (2, [], 0.0, 50.0, 0.0), (3, [face], 0.0, 50.0, 0.0), (4, [face, face], 0.0, 50.0, 0.0), (5, [face], 50.0, 0.0, 90.0), (6, [tilted], 0.0, 50.0, 0.0)]
+    df = spark.createDataFrame(rows, f"item_id long, faces array<{FACE}>, text_pct double, face_skin double, outside_skin double")
+    got = {r.item_id: (r.zone, r.reasons) for r in P.judge_items(df, 640.0, 480.0, LIMITS, {"Face", "Text"}).collect()}
+    few = (None, ["TooFewFrontalFaces"])
+    assert got == {1: few, 2: few, 3: ("TOP_LEFT", []), 4: (None, ["TooManyFaces"]), 5: (None, ["TooLittleFaceSkin", "TooMuchSkinOutsideFace", "TooMuchText"]), 6: few}
+    shares = {(r.kind, r.name): r.percent for r in P.breakdown_shares(P.rejection_breakdown(P.judge_items(df, 640.0, 480.0, LIMITS, {"Face", "Text"})), 5).collect()}
+    assert shares["reason", "TooFewFrontalFaces"] == 300 / 7 and shares["category", "Face"] == 100.0 and shares["sole", "Face"] == 80.0
+
+
+def test_boxes_at_the_edges_and_missing_pictures(spark):
+    skin, other = bytes([120, 150, 220]), bytes([200, 50, 30])  # BGR
+    kind = "item_id long, image struct<height:int,width:int,data:binary>, box struct<x:double,y:double,width:double,height:double>"
+    rows = [(1, (1, 4, bytearray(skin * 2 + other * 2)), (-3.5, 0.0, 2.9, 1.0)), (2, None, (0.0, 0.0, 1.0, 1.0)), (3, (1, 1, bytearray(skin)), None), (4, (0, 0, bytearray()), (0.0, 0.0, 1.0, 1.0))]
+    got = {r.item_id: (r.inside, r.outside) for r in P.skin_share(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: (100.0, 0.0), 2: (0.0, 0.0), 3: (0.0, 100.0), 4: (0.0, 0.0)}
+    lines = spark.createDataFrame([(1, [(0, 0, 5, 5)])], "item_id long, lines array<struct<x:int,y:int,width:int,height:int>>")
+    assert P.union_share(lines, 0, 0).first().percent == 0.0
+
+
+def test_empty_publishes_statistics_and_catalog(spark, tmp_path):
+    lists = spark.createDataFrame([("v1-quality-48h", 1, "a")], "list string, position long, item_id string")
+    specs = PL.spec_table(spark, ["quality-48h", "recency-4w"])
+    stats = spark.createDataFrame([("v1-quality-48h", 7)], "list string, examined long")
+    path = str(tmp_path)
+    PL.write_lists(lists, path, F.lit(T0), stats, specs)
+    assert PL.read_statistics(spark, path, "v1-quality-48h").first().examined == 7 and PL.read_statistics(spark, path, "x").count() == 0
+    assert sorted(r.list for r in PL.published_catalog(spark, path).collect()) == ["v1-quality-48h", "v1-recency-4w"]
+    assert PL.read_list(spark, path, "v1-recency-4w").count() == 0
+    PL.write_lists(lists.limit(0), path, F.lit(T0))
+    assert PL.read_list(spark, path, "v1-quality-48h").columns == ["position", "item_id", "list", "refreshed_at"] or PL.read_list(spark, path, "v1-quality-48h").count() == 0
+    assert PL.read_statistics(spark, path, "v1-quality-48h") is None and PL.published_catalog(spark, path).count() == 0
+
+
+def test_lists_of_the_menu(spark):
+    catalog = PL.spec_table(spark, ["recency-1y", "quality-4w", "quality-48h", "quality-48h"])
+    assert [(r.order, r.limit, r.is_default) for r in PL.dropdown(catalog).collect()] == [("quality", "48h", False), ("quality", "4w", True), ("recency", "1y", False)]
+    assert PL.resolve_list(catalog).first().limit == "4w" and PL.resolve_list(catalog, "recency-1y").first().order == "recency"
+    assert PL.resolve_list(catalog.where("limit <> '4w'")).first().limit == "48h"
+    with pytest.raises(Exception, match="unknown list: quality-9w"):
+        PL.resolve_list(catalog, "quality-9w").collect()
+    with pytest.raises(Exception, match="no lists are published"):
+        PL.resolve_list(catalog.limit(0)).collect()
+
+
+def test_resolver_and_checker_are_called(spark, sf_dir):
+    from sluice.sources.bindings import bound
+
+    t = lambda n: bound(spark, sf_dir, n)
+    now = t("items").agg(F.max("discovered_at").alias("now"))
+    checker = lambda df: df.select("item_id", F.lit(True).alias("group_exists"), F.lit(False).alias("url_exists"), F.struct(F.lit(4).alias("width")).alias("dimensions"))
+    out = PL.publish_lists(t("items"), t("scores"), t("registry"), t("item_reviews"), t("group_reviews"), t("existence"), PL.spec_table(spark, ["quality-1y"]), now, resolver=lambda g, i: F.concat(F.lit("u:"), i), checker=checker)
+    rows = out.collect()
+    assert rows and all(r.image_url == f"u:{r.item_id}" and not r.live and r.dimensions.width == 4 for r in rows)
+    assert sorted(r.position for r in rows) == list(range(1, len(rows) + 1))
+
+
+def test_registries_from_files(spark, tmp_path):
+    from sluice.sources import registries as R
+
+    version = spark.range(1).select(R.ids.content_version(*[(c, F.lit(v)) for c, v in (("provider", "p"), ("name", "m"), ("prompt", "x"), ("decision_threshold", 0.5))], scheme="v2:")).first()[0]
+    model = f'[[models]]\nmodel_version = "{version}"\nprovider = "p"\nname = "m"\nprompt = "x"\ndecision_threshold = 0.5\n'
+    f = tmp_path / "m.toml"
+    f.write_text(model + f'[labels]\nprod = "{version}"\n')
+    models, labels = R.load_models(spark, str(f))
+    assert models.first().decision_threshold == 0.5 and labels.first().version == version
+    assert R.load_models(spark, str(tmp_path / "none.toml"))[0].count() == 0
+    for text, message in ((model * 2, "duplicate"), (model + '[labels]\nprod = "zz"\n', "unknown version"), (model.replace('"x"', '"y"'), "mismatch")):
+        f.write_text(text)
+        with pytest.raises(Exception, match=message):
+            [t.collect() for t in R.load_models(spark, str(f))]
+    f.write_text('[[splits]]\nsplit_id = "s"\nseed = 42\ncaptured_at = 2024-01-01T00:00:00\ntrain = ["a", "b"]\ntest = ["c"]\n')
+    assert sorted((r.side, r.item_id) for r in R.load_splits(spark, str(f)).collect()) == [("test", "c"), ("train", "a"), ("train", "b")]
+    f.write_text('[[snapshots]]\nsnapshot_id = 2024-01-01T00:00:00\n[snapshots.prices.m1]\ninput = 2.5\noutput = 10\n')
+    assert float(R.load_prices(spark, str(f)).first().price_out) == 10.0
+
+
+def test_training_picks_the_best_scorer(spark):
+    pool = spark.createDataFrame([(k, "HighQuality" if k % 2 else "Low", k % 2 * 0.8 + 0.1, k % 2 == 1) for k in range(40)], "item_id long, band string, payload double, positive boolean")
+    bad, good = (lambda x: (1 - x, 3, 1)), (lambda x: (x, 5, 2))
+    tried, result = E.train_loop(pool, pool, [bad, good, good], 20, 0.5, 1, 0.9)
+    assert [(r.iteration, r.f1, r.tokens_in) for r in tried.orderBy("iteration").collect()] == [(1, 0.0, 60), (2, 1.0, 100), (3, 1.0, 100)]
+    assert (result.first().iteration, result.first().accepted, result.first().recall) == (2, True, 1.0)
+
+
+def test_reviews_are_set_stamped_cleared_and_listed(spark):
+    base = spark.createDataFrame([("a", "Low", "github:x", T0)], "item_id string, band string, appraiser string, appraised_at timestamp")
+    new = spark.createDataFrame([("a", "HighQuality", "local:admin"), ("b", "Low", "github:y")], "item_id string, band string, appraiser string")
+    now = store.set_reviews(base, new, "item_id", F.lit(T0 + timedelta(days=1)))
+    assert {(r.item_id, r.band, r.appraised_at) for r in now.collect()} == {("a", "HighQuality", T0 + timedelta(days=1)), ("b", "Low", T0 + timedelta(days=1))}
+    assert [r.item_id for r in store.clear_reviews(now, spark.createDataFrame([("b",), ("z",)], "item_id string"), "item_id").collect()] == ["a"]
+    groups = now.withColumnRenamed("item_id", "group_id").limit(1)
+    assert store.all_reviews(now, groups).groupBy("kind").count().orderBy("kind").collect() == [("group", 1), ("item", 2)]
+
+
+def test_tokens_are_sums_of_row_hashes(spark, sf_dir):
+    from sluice.queries import snapshot_tokens
+    from sluice.sources.bindings import bound
+
+    for r in snapshot_tokens(spark, sf_dir).collect():
+        rows = bound(spark, sf_dir, r.name)
+        hashes = [x[0] for x in rows.select(F.xxhash64(*rows.columns)).collect()]
+        assert (r.n, int(r.token)) == (len(hashes), sum(hashes))
+
+
+def test_without_the_corpus_operators_the_rest_works(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    run = lambda: subprocess.run([sys.executable, "-c", "import re, __spark_entry__ as e; assert not [q for q in e.queries() if q == 'pipeline' or re.match('op[0-9]', q)]; e.oracle_sql(); print(len(e.queries()))"], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert int(run().stdout) > 40
+    if os.path.exists(f"{root}/corpus_pipeline.py"):  # the pipeline alone, without its operators
+        shutil.copy(f"{root}/corpus_pipeline.py", copy)
+        assert int(run().stdout) > 40

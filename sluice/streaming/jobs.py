@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,17 +22,18 @@ def prune_stream(events: DataFrame, judge: Callable[[DataFrame], DataFrame], pat
     """Candidates, verdict columns from ``judge`` (images, reasons), survivors saved once, tally per minute.
 
     ``judge`` adds ``images`` and ``reasons`` to (event_time, group_id, cids). Replayed batches
-    change nothing: survivors are inserted if absent, and a batch's tally replaces itself.
+    change nothing: survivors are inserted if absent, and a batch's tally replaces itself. Items are
+    stored by day of the event, which a replay has as well, so a batch only looks at the days that it holds.
     """
     candidates = prune.extract_candidates(events.withWatermark("event_time", delay))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark, judged = batch.sparkSession, judge(batch).persist()
         one = judged.withColumns({"posts": F.lit(1), "saved": F.when(F.size("reasons") == 0, F.col("images")).otherwise(0), "rejected": F.when(F.size("reasons") > 0, F.greatest("images", F.lit(1))).otherwise(0)})
-        keep = judged.where(F.size("reasons") == 0).select("group_id", "event_time", "cids", "original_at")
-        items = f"{path}/items"
-        base = spark.read.schema(keep.schema).parquet(items) if _exists(spark, items) else keep.limit(0)
-        store.insert_if_absent(base, keep, "group_id").write.mode("append").parquet(items)
+        keep = judged.where(F.size("reasons") == 0).select("group_id", "event_time", "cids", "original_at", F.to_date("event_time").alias("day"))
+        items, days = f"{path}/items", [r["day"] for r in keep.select("day").distinct().collect()]  # the days of one batch
+        base = spark.read.schema(keep.schema).parquet(items).where(F.col("day").isin(days)) if _exists(spark, items) else keep.limit(0)
+        store.insert_if_absent(base, keep, "group_id").write.partitionBy("day").mode("append").parquet(items)
         minute = F.date_trunc("minute", "event_time").alias("interval_start")
         prune.tally(one, (minute,)).write.mode("overwrite").parquet(f"{path}/tally/batch={batch_id}")
         judged.unpersist()
@@ -42,7 +44,7 @@ def prune_stream(events: DataFrame, judge: Callable[[DataFrame], DataFrame], pat
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(p))
+    return fs.exists(p)
 
 
 def interval_tallies(stream: DataFrame, ts: str = "event_time", delay: str = "30 seconds") -> DataFrame:
@@ -77,10 +79,10 @@ def refresh_cache(cache: DataFrame, probed: DataFrame, now: Column, ttl_seconds:
 
 
 class StageProgress(StreamingQueryListener):
-    """Rows of throughput and depth of every finished trigger, out of band."""
+    """Throughput and depth of the last finished triggers, out of band."""
 
-    def __init__(self) -> None:
-        self.rows: list[dict] = []
+    def __init__(self, keep: int = 1000) -> None:
+        self.rows: deque[dict] = deque(maxlen=keep)
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass

@@ -6,12 +6,13 @@ turns, and the loss mask covers what the assistant of that rendering says.
 
 A rendering is built turn by turn: each turn is a segment ``<|role|>name\\ncontent<|end|>\\n``
 whose place in the text follows from a running sum. Long dialogues come in parts, so a row
-never holds an unbounded conversation.
+never holds an unbounded conversation. A ``<|`` within a text or a name is written ``<\\|``, so that no content
+can forge a turn; ``original`` gives the text back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import table
@@ -20,6 +21,16 @@ from sluice.llm.common import table
 PART_CHARS = 1_000_000
 
 
+def escaped(text: Column) -> Column:
+    """The text without anything that looks like a mark; backslashes before a bar are doubled, so it can be undone."""
+    return F.replace(F.replace(text, F.lit("\\|"), F.lit("\\\\|")), F.lit("<|"), F.lit("<\\|"))
+
+
+def original(text: Column) -> Column:
+    """What ``escaped`` was given."""
+    return F.regexp_replace(text, r"\\(\\?)\|", "$1|")
+
+
 def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
     """(conv, speaker, turn, role, name, segment, start, length, mask_start, mask_length), one row per perspective and turn.
 
@@ -36,8 +47,8 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", spe
     own = F.col("by") == F.col("speaker")
     role = F.when(own, "assistant").when(F.col("by") == system, "system").otherwise("user")
     rows = rows.withColumns({"role": role, "name": F.when(role == "user", F.col("by"))})
-    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>"), F.coalesce(F.col("name"), F.lit("")), F.lit("\n"))
-    rows = rows.withColumn("head", head).withColumn("segment", F.concat("head", "content", F.lit("<|end|>\n")))
+    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>"), F.coalesce(escaped(F.col("name")), F.lit("")), F.lit("\n"))
+    rows = rows.withColumn("head", head).withColumn("segment", F.concat("head", escaped(F.col("content")), F.lit("<|end|>\n")))
     order = Window.partitionBy("conv", "speaker").orderBy("turn", "by", "content")
     length = F.length("segment").cast("long")
     start = F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0)) - length
@@ -76,7 +87,7 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "speaker", "part", "text", "n_turns", "mask_chars", F.sha2(said, 256).alias("masked_sha256"), F.array_join(F.transform("masks", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ",").alias("mask_spans"))
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS content FROM conversations
 ), p AS (
@@ -84,10 +95,10 @@ WITH t AS (
 ), r AS (
   SELECT t.conv_id, p.speaker, t.turn, t.who, t.content, t.who = p.speaker AS own,
          '<|' || CASE WHEN t.who = p.speaker THEN 'assistant' WHEN t.who = 'system' THEN 'system' ELSE 'user' END || '|>' ||
-         CASE WHEN t.who = p.speaker OR t.who = 'system' THEN '' ELSE t.who END || chr(10) AS head
+         CASE WHEN t.who = p.speaker OR t.who = 'system' THEN '' ELSE replace(replace(t.who, '\|', '\\|'), '<|', '<\|') END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), s AS (
-  SELECT *, head || content || '<|end|>' || chr(10) AS segment,
+  SELECT *, head || replace(replace(content, '\|', '\\|'), '<|', '<\|') || '<|end|>' || chr(10) AS segment,
          row_number() OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, who, content) AS position
   FROM r
 ), u AS (

@@ -41,8 +41,8 @@ def quantise(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> Data
 def maxscore_block(x, bounds, q, floor_score):
     """Positions in a block and their exact scores that may enter the query's top-k.
 
-    x: float64 (rows, dims), column-major. bounds: per dimension the largest positive and
-    the largest negative magnitude. floor_score: the k-th score so far (None while there
+    x: float64 or Python integers (rows, dims), column-major; sums are exact in either. bounds: per dimension the
+    largest positive and the largest negative magnitude. floor_score: the k-th score so far (None while there
     are fewer).
     """
     import numpy as np
@@ -58,7 +58,7 @@ def maxscore_block(x, bounds, q, floor_score):
     essential, probes = by_bound[n_non:], by_bound[:n_non][::-1]
     partial = x[:, essential] @ q[essential]
     rows = np.arange(len(x))
-    left = float(sums[n_non - 1]) if n_non else 0.0
+    left = sums[n_non - 1] if n_non else 0
     step = 4
     for at in range(0, len(probes), step):
         alive = partial + left >= floor_score
@@ -68,7 +68,7 @@ def maxscore_block(x, bounds, q, floor_score):
                 break
         few = probes[at : at + step]
         partial = partial + x[np.ix_(rows, few)] @ q[few]
-        left -= float(upper[few].sum())
+        left -= upper[few].sum()
     alive = partial >= floor_score
     return rows[alive], partial[alive]
 
@@ -81,8 +81,7 @@ def search_shard(doc_ids, docs, query_ids, queries, k: int):
     pad = lambda a: np.pad(a, ((0, 0), (0, dims - a.shape[1])))  # noqa: E731  a shorter vector has zeros there
     docs, queries = pad(docs), pad(queries)
     most = float(np.abs(docs).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dims
-    exact = most < 2.0**53  # then float64 sums are exact integers
-    kind = np.float64 if exact else object
+    kind = np.float64 if most < 2.0**53 else object  # float64 sums are exact integers up to there
     blocks = []
     for at in range(0, len(docs), BLOCK_ROWS):
         x = docs[at : at + BLOCK_ROWS]
@@ -92,10 +91,7 @@ def search_shard(doc_ids, docs, query_ids, queries, k: int):
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, kind)
         for ids, x, bounds in blocks:
             kth = best[k - 1] if len(best) >= k else None
-            if exact:
-                rows, scores = maxscore_block(x, bounds, q, kth)
-            else:
-                rows, scores = np.arange(len(x)), x @ q
+            rows, scores = maxscore_block(x, bounds, q, kth)
             keep = ids[rows] != qid
             best_ids, best = np.concatenate([best_ids, ids[rows][keep]]), np.concatenate([best, scores[keep]])
             if len(best) > k:

@@ -22,6 +22,10 @@ from sluice.llm.common import materialise, n_words, table
 WEIGHTS = (5, 2, 1)
 #: Documents of a cell that are ranked together; a larger cell is dealt to several buckets.
 CELL_BUCKET = 10_000
+#: Sizes of a block in which copies are worked out one after the other.
+FOLD_SIZES = 128
+#: So many cells, a few MB, and the plan is broadcast; beyond that it meets its rows by a shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -93,23 +97,39 @@ def cell_copies(cells: DataFrame, duals: DataFrame, cap: float = 2.0) -> DataFra
 
     A cell gets the number of copies that brings the source's running total of tokens
     nearest to the running total of its rates, so the error left by long documents is made
-    up by shorter ones. The array per source has one entry per distinct size: its length
-    is bounded by the longest text, whatever the number of documents.
+    up by shorter ones. Only that error is carried on, so a first pass folds each source to the error at the start of
+    each block of cells, and the blocks then are rows of their own. The arrays of a source have one number for each distinct
+    size: their length is bounded by the longest text, whatever the number of documents.
     """
     rate = F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size")))
-    rated = cells.where("size > 0").join(duals, "source").select("source", "size", "n", rate.alias("rate"))
-    lists = rated.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "n", "rate")))).alias("cells"))
-    kind = "struct<owed:double,out:array<struct<size:bigint,n:bigint,copies:bigint>>>"
-    zero = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>").alias("out")).cast(kind)
+    cell = F.struct("size", "n", rate.alias("rate"))
+    rated = cells.where("size > 0").join(duals, "source").select("source", (-F.floor(F.col("size") / FOLD_SIZES)).alias("block"), cell.alias("c"))
+    down = lambda c: F.reverse(F.array_sort(F.collect_list(c)))
+    blocks = rated.groupBy("source", "block").agg(down("c").alias("cells"))
+
+    def copies_of(owed, c):
+        return F.greatest(F.lit(0), F.least(F.floor(owed / c["size"] + 0.5), c["n"] * F.lit(int(cap)))).cast("long")
+
+    def carry(owed, c):
+        total = owed + c["n"] * c["rate"] * c["size"]
+        return total - copies_of(total, c) * c["size"]
+
+    kind = "struct<owed:double,starts:array<struct<cells:array<struct<size:bigint,n:bigint,rate:double>>,owed:double>>>"
+    zero = F.struct(F.lit(0.0).alias("owed"), F.array().alias("starts")).cast(kind)
+    start = lambda acc, b: F.struct(b["cells"].alias("cells"), acc["owed"].alias("owed"))
+    over = lambda acc, b: F.struct(F.aggregate(b["cells"], acc["owed"], carry).alias("owed"), F.concat(acc["starts"], F.array(start(acc, b))).alias("starts")).cast(kind)
+    sources = blocks.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block", "cells"))).alias("blocks"))
+    starts = sources.select("source", F.explode(F.aggregate("blocks", zero, over)["starts"]).alias("s"))
+
+    plan = "struct<owed:double,out:array<struct<size:bigint,n:bigint,copies:bigint>>>"
+    nothing = F.struct(F.col("s.owed").alias("owed"), F.array().alias("out")).cast(plan)
 
     def step(acc, c):
-        owed = acc["owed"] + c["n"] * c["rate"] * c["size"]
-        copies = F.greatest(F.lit(0), F.least(F.floor(owed / c["size"] + 0.5), c["n"] * F.lit(int(cap)))).cast("long")
-        row = F.struct(c["size"].cast("long").alias("size"), c["n"].cast("long").alias("n"), copies.alias("copies"))
-        return F.struct((owed - copies * c["size"]).alias("owed"), F.concat(acc["out"], F.array(row)).alias("out")).cast(kind)
+        copies = copies_of(acc["owed"] + c["n"] * c["rate"] * c["size"], c)
+        row = F.struct(c["size"].alias("size"), c["n"].alias("n"), copies.alias("copies"))
+        return F.struct(carry(acc["owed"], c).alias("owed"), F.concat(acc["out"], F.array(row)).alias("out")).cast(plan)
 
-    done = lists.select("source", F.aggregate("cells", zero, step)["out"].alias("out"))
-    return done.select("source", F.inline("out"))
+    return starts.select("source", F.inline(F.aggregate("s.cells", nothing, step)["out"]))
 
 
 def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -130,14 +150,15 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "doc_
     # copies of a cell: everyone gets n_each, the first n_more in hash order one more
     plan = cells.join(copies.drop("n"), ["source", "size"], "left").join(targets, "source")
     plan = plan.selectExpr("source", "size", "source_size", "target", "n", f"cast(ceil(n / {CELL_BUCKET}) as int) as buckets", "coalesce(copies, 0) div n as n_each", "coalesce(copies, 0) % n as n_more")
-    rows = sizes.join(plan, ["source", "size"]).withColumn("h", F.xxhash64("id", F.lit(9)))
+    few = cells.agg(F.coalesce(F.sum(F.ceil(F.col("n") / CELL_BUCKET)), F.lit(0))).first()[0] <= BROADCAST_CELLS  # buckets of all cells
+    rows = sizes.join(F.broadcast(plan) if few else plan, ["source", "size"]).withColumn("h", F.xxhash64("id", F.lit(9)))
     rows = rows.withColumn("bucket", F.pmod("h", "buckets"))
     cell = ["source", "size", "bucket"]
     per = rows.groupBy(*cell).agg(F.count("*").alias("m"), F.first("n_more").alias("n_more"), F.first("n").alias("n"))
     till = F.sum("m").over(Window.partitionBy("source", "size").orderBy("bucket"))
     part = lambda c: F.floor(c * F.col("n_more") / F.col("n") + 1e-9)
     per = per.withColumn("till", till).select(*cell, (part(F.col("till")) - part(F.col("till") - F.col("m"))).alias("extra"))
-    rows = rows.join(per, cell)
+    rows = rows.join(F.broadcast(per) if few else per, cell)
     place = F.row_number().over(Window.partitionBy(*cell).orderBy("h", "id"))
     n = F.col("n_each") + F.when(place <= F.col("extra"), 1).otherwise(0)
     return rows.select(F.col("id").alias(id_col), F.when(F.col("source") != "1", F.substr("source", F.lit(2))).alias(source_col), "size", "source_size", "target", n.cast("long").alias("copies"))

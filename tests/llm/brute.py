@@ -110,3 +110,80 @@ def top5(rows):
         scored = sorted((-sum(a * b for a, b in zip(v[q], v[d], strict=True)), d) for d in v if d != q)[:5]
         out += [(q, k + 1, d, -s) for k, (s, d) in enumerate(scored)]
     return sorted(out)
+
+
+def divergence(rows, min_words=40, max_class=0.30, max_words=0.35, chance=3.0, expected=8.0, top=20):
+    """[(id, text, lang)] to {id: (class distance, word distance, kept)}."""
+    import math
+
+    def classes(text):
+        groups = ("abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-", "#*$%&|<>")
+        out = [sum(c in g for c in text) for g in groups]
+        return [*out, len(text) - sum(out)]
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return None
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        kl = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+        return math.sqrt(max(0.0, (kl(p, q) + kl(q, p)) / 2))
+
+    sums, counts = defaultdict(lambda: [0] * 7), defaultdict(Counter)
+    for _, text, lang in rows:
+        sums[lang] = [a + b for a, b in zip(sums[lang], classes(text or ""), strict=True)]
+        counts[lang].update(words((text or "").lower()))
+    refs = {}
+    for lang in sums:
+        best = sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:top]
+        refs[lang] = (sums[lang], [w for w, _ in best], [n for _, n in best] + [counts[lang].total() - sum(n for _, n in best)])
+    pooled = [sum(r[0][k] for r in refs.values()) for k in range(7)], {w for r in refs.values() for w in r[1]}, [sum(sum(r[2][:-1]) for r in refs.values()), sum(r[2][-1] for r in refs.values())]
+    out = {}
+    for i, text, lang in rows:
+        ref, common, shares = pooled if lang is None else refs[lang]
+        own = words((text or "").lower())
+        hits = [sum(w in common for w in own)] if lang is None else [own.count(w) for w in common]
+        dc, dw = distance(classes(text or ""), ref), distance([*hits, len(own) - sum(hits)], shares)
+        n, free = len(own), len(shares) - 1
+        bad = base_counts(text)[5]
+        odd = False
+        if n >= min_words:
+            worst = distance([0] * free + [1], shares)
+            far = dw is not None and dw**2 > max_words * worst**2 + (free + chance * math.sqrt(2 * free)) / (8 * math.log(2) * n)
+            odd = dc > max_class or far or (sum(hits) == 0 and n * (1 - shares[-1] / sum(shares)) >= expected)
+        out[i] = (dc, dw, not bad and not odd)
+    return out
+
+
+def trigram_model(rows, langs):
+    """[(text, lang)] to {gram: log probabilities}, floor and script use, all grams kept."""
+    import math
+
+    grams, letters = {k: Counter() for k in langs}, {k: Counter() for k in langs}
+    for text, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            b = f"^{w}$"
+            grams[lang].update(b[k : k + 3] for k in range(len(b) - 2))
+            letters[lang].update(w)
+    kinds = set().union(*grams.values())
+    value = lambda k, g: math.log((grams[k][g] + 0.5) / (grams[k].total() + 0.5 * (1 + len(kinds))))
+    return {g: tuple(value(k, g) for k in langs) for g in kinds}, tuple(value(k, "none") for k in langs), letters
+
+
+def best_language_path(scores, penalty):
+    """The best path over rows of scores by plain dynamic programming, and what it is worth."""
+    best = [(s, [k]) for k, s in enumerate(scores[0])]
+    for row in scores[1:]:
+        best = [max(((b - (penalty if p[-1] != k else 0) + x, [*p, k]) for b, p in best), key=lambda t: t[0]) for k, x in enumerate(row)]
+    return max(best, key=lambda t: t[0])
+
+
+def tilt(sizes, target, cap=2.0):
+    """The rate of each size whose tokens meet the target: min(cap, exp(lam * size)), lam by bisection."""
+    import math
+
+    used = lambda lam: sum(s * min(cap, math.exp(min(50.0, lam * s))) for s in sizes)
+    lo, hi = -50.0, math.log(cap) / min(s for s in sizes if s)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if used(mid) < target else (lo, mid)
+    return lambda s: min(cap, math.exp(min(50.0, hi * s)))

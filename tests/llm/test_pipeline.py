@@ -75,3 +75,18 @@ def test_unlearned_languages_and_scripts_go(spark, sf_dir):
     ids = {r.doc_id for r in kept.collect()}
     foreign = {r.doc_id for r in docs.where("lang is null").collect()}
     assert foreign and not ids & foreign and len(ids - foreign) >= 0.99 * native
+
+
+def test_very_long_texts_go_through(spark, sf_dir):
+    some = [r.text for r in table(spark, sf_dir, "documents").where("lang = 'en' and length(text) > 500").limit(40).collect()]
+    long = " ".join(f"{t} w{k}" for k, t in enumerate(some * 8))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, long, "en", "s", 1), (2, long + " more", "en", "t", 1), *[(10 + k, t, "en", "s", 1) for k, t in enumerate(some)]], schema)
+    stages = [docs]
+    for _, stage in cp.STAGES:
+        stages.append(materialise(stage(spark, stages[-1], sf_dir), "test-long"))
+    kept = {r.doc_id for r in stages[2].collect()}
+    assert 1 in kept and 2 not in kept
+    rows = [(r.doc_id, r.text) for r in stages[2].collect()]
+    assert sorted((r.doc_id, brute.sha(" ".join(brute.words(r.text)))) for r in stages[3].collect()) == sorted((i, s) for i, _, _, s in brute.substrings(rows))
+    assert stages[5].where("not round_trip").count() == 0

@@ -13,8 +13,12 @@ the highest level that has one. Equal windows have equal anchors, at the same pl
 
 Two shuffles settle everything exactly:
 
-1. Anchors that are found only once in the corpus rule out all windows that they anchor.
-2. The windows left over are compared by 128-bit hashes of all their 35 words.
+1. Each range of windows with one anchor is sent once, under the anchor's name and a 64-bit hash of all words
+   that its windows cover. An anchor found only once in the corpus rules all its windows out. Equal
+   anchors with equal words settle all windows of the range at once, so long repeats are
+   verified by the symbols that they share, not window by window.
+2. The windows left over, where texts agree around an anchor only in part, are compared by 128-bit hashes of their words.
+   Of settled ranges whose anchor is also found with other words, one place tells its windows to these.
 
 A key that a batch of documents holds twice needs no answer from other tasks; the batch sends one row to
 tell them. So a passage that a third of all documents share is one row per batch under
@@ -28,13 +32,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import table
+from sluice.llm.common import Workspace, bounded_batches, table, without_gc
 
 #: Rounds of pair naming: the mean block of the last level has about seven words.
 ROUNDS = 7
 #: Words of a batch that are settled together within a task.
 BATCH_WORDS = 600_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 SEED = 20_240_607
 
 
@@ -125,12 +129,12 @@ def anchors(h, ends, width: int):
     return name, place
 
 
-def window_hashes(h, at, width: int):
-    """Two 64-bit hashes of the ``width`` words from each position in ``at``: all words by doubling."""
+def window_hashes(h, at, width: int, count: int = 2):
+    """``count`` 64-bit hashes of the ``width`` words from each position in ``at``: all words by doubling."""
     import numpy as np
 
     lanes = []
-    for lane in (1, 2):
+    for lane in range(1, count + 1):
         level = _mix(h + np.uint64(lane))
         size, done, total = 1, 0, np.zeros(len(at), np.uint64)
         while True:
@@ -168,8 +172,11 @@ def batches_of_words(batches: Iterator, text_col: int, hashes: WordHashes):
 
 
 #: Rows that say where a key is: k1, k2 (the key), u, v (the document; null: it only informs),
-#: place: window start, number of windows and weight (places of the key known to the sender, 2 at most), packed.
-PLACES = "k1 long, k2 long, u long, v int, place long"
+#: place: window start, number of windows and weight, packed. Weights: 1 is one place of the key, 2 are two or more;
+#: SETTLED is a place whose windows need no answer, under a key of its own.
+PLACES, SETTLED = "k1 long, k2 long, u long, v int, place long", 3
+#: What is known of a range: to be compared; repeated; repeated, and others must hear of its windows.
+OPEN, DONE, TELL = 0, 1, 2
 
 
 def _rows(k1, k2, u, v, at, n, weight, nowhere=None):
@@ -189,140 +196,116 @@ def _inform(k1, k2):
     return _rows(k1, k2, zero, zero.astype(np.int32), zero, zero, 2, np.ones(len(k1), bool))
 
 
-def _settled(u, v, at, n):
-    """Rows for ranges whose windows are known to be repeated, under keys of their own."""
+def _own_key(u, v, at, n, weight):
+    """Rows for ranges under keys of their own; neighbouring ranges of one document travel as one row."""
     import numpy as np
 
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    heads = np.flatnonzero(new)
+    n = np.add.reduceat(n, heads)
+    u, v, at = u[heads], v[heads], at[heads]
     spread = _mix(u.view(np.uint64) + _mix(at.astype(np.uint64))).view(np.int64)
-    return _rows(spread, spread, u, v, at, n, 2)
+    return _rows(spread, spread, u, v, at, n, weight)
 
 
-def _report(k1, k2, u, v, at, n, twice):
-    """Rows for window ranges: those with a key that the batch has twice are sent under a key
-    of their own, and one row per such key informs the other batches."""
+def _many(*keys):
+    """For each key (one or more columns), whether it is here twice or more, and whether it is here for the first time."""
     import numpy as np
 
-    own = ~twice
-    if own.any():
-        yield _rows(k1[own], k2[own], u[own], v[own], at[own], n[own], 1)
-    if twice.any():
-        t = np.flatnonzero(twice)
-        # neighbouring ranges of one document travel as one row
-        new = np.ones(len(t), bool)
-        new[1:] = (u[t[1:]] != u[t[:-1]]) | (v[t[1:]] != v[t[:-1]]) | (at[t[1:]] != at[t[:-1]] + n[t[:-1]])
-        heads = np.flatnonzero(new)
-        yield _settled(u[t][heads], v[t][heads], at[t][heads], np.add.reduceat(n[t], heads))
-        _, one = np.unique(np.stack([k1[t], k2[t]]), axis=1, return_index=True)
-        yield _inform(k1[t][one], k2[t][one])
-
-
-def _many(k1, k2):
-    """For each key, whether it is here twice or more."""
-    import numpy as np
-
-    order = np.lexsort((k2, k1))
-    same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
-    out = np.zeros(len(k1), bool)
-    out[order[1:]] |= same
-    out[order[:-1]] |= same
-    return out
-
-
-def _found_twice(rows: DataFrame) -> DataFrame:
-    """(u, v, ranges): per document the window ranges whose key has two places or more."""
-    total = F.sum(F.col("place").bitwiseAND(3)).over(Window.partitionBy("k1", "k2"))
-    rows = rows.withColumn("total", total).where("total > 1 and u is not null")
-    at, n = F.shiftright("place", 33).cast("int").alias("at"), F.shiftright("place", 2).bitwiseAND(2**31 - 1).cast("int").alias("n")
-    return rows.groupBy("u", "v").agg(F.collect_list(F.struct(at, n)).alias("ranges"))
+    order = np.lexsort(keys[::-1])
+    same = np.ones(len(order) - 1, bool) if len(order) else np.zeros(0, bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    twice, first = np.zeros(len(order), bool), np.ones(len(order), bool)
+    twice[order[1:]] |= same
+    twice[order[:-1]] |= same
+    first[order[1:]] = ~same  # lexsort is stable
+    return twice, first
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(u, v, first): the documents whose whole text is there more than once, and which of them is the first.
-
-    Narrow rows with partial sums; the hot text of many copies is no trouble.
-    """
-    narrow = docs.select("u", "v", F.sha2("text", 256).substr(1, 32).alias("t"))
-    twice = narrow.groupBy("t").agg(F.count("*").alias("n"), F.min("u").alias("first")).where("n > 1").drop("n")
-    rows = narrow.join(twice, "t").select("u", "v", (F.col("u") == F.col("first")).alias("first"))
-    return rows.groupBy("u", "v").agg(F.max("first").alias("first"))
+def _unpacked(col: str = "place"):
+    return F.shiftright(col, 33).cast("int").alias("at"), F.shiftright(col, 2).bitwiseAND(2**31 - 1).cast("int").alias("n")
 
 
-def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept, removed array<struct<at,n>>) of every row.
 
     A word goes if a window of ``width`` words that covers it starts anywhere else too, in this
     or another document; windows are judged on the input. ``kept`` has the other words,
-    joined by one space; ``removed`` the ranges taken out. A null or empty text has no words.
+    joined by one space (``verbatim``: the text as it is, if none goes); ``removed`` the ranges taken out.
+    A null or empty text has no words.
     Repeated rows are documents of their own, so each loses what it shares with the other.
     Null ids are fine; only the two named columns are read, but those in ``carry`` come along in
     a struct ``carried``.
     """
+    bounded_batches(df.sparkSession)
+    work = Workspace(df.sparkSession, "repeats")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     docs = docs.withColumns({"u": F.xxhash64("id", "text"), "v": F.hash("text")})
 
     def find_anchors(batches: Iterator) -> Iterator:
-        import gc
-
         import numpy as np
 
-        gc.disable()  # no cycles here; else each large collection walks the whole cache
         hashes = WordHashes()
-        for part, h, ends, starts in batches_of_words(batches, 1, hashes):
-            name, place = anchors(h, ends, width)
-            p = np.flatnonzero(place >= 0)
-            if not len(p):
-                continue
-            new = np.ones(len(p), bool)
-            new[1:] = (place[p[1:]] != place[p[:-1]]) | (name[p[1:]] != name[p[:-1]]) | (ends[p[1:]] != ends[p[:-1]])
-            head = np.flatnonzero(new)
-            n = np.diff(np.append(head, len(p)))
-            key, spot = name[p[head]].view(np.int64), place[p[head]]
-            # a key is here twice if it has two places; ranges with the same place count once
-            order = np.lexsort((spot, key))
-            same_key = key[order][1:] == key[order][:-1]
-            more = same_key & (spot[order][1:] != spot[order][:-1])
-            group = np.cumsum(np.append(False, ~same_key))
-            twice = np.zeros(len(key), bool)
-            twice[order] = np.bincount(group[1:], weights=more, minlength=group[-1] + 1)[group] > 0
-            which = np.searchsorted(starts, p[head], side="right") - 1
-            # empty documents share a start with the next one: the last of those has the words
-            u, v = part.column(2).to_numpy()[which], part.column(3).to_numpy()[which]
-            at = p[head] - starts[which]
-            yield from _report(key, np.zeros_like(key), u, v, at, n, twice)
+        with without_gc():
+            for part, h, ends, starts in batches_of_words(batches, 1, hashes):
+                name, place = anchors(h, ends, width)
+                p = np.flatnonzero(place >= 0)
+                if not len(p):
+                    continue
+                new = np.ones(len(p), bool)
+                new[1:] = (place[p[1:]] != place[p[:-1]]) | (name[p[1:]] != name[p[:-1]]) | (ends[p[1:]] != ends[p[:-1]])
+                head = np.flatnonzero(new)
+                n = np.diff(np.append(head, len(p)))
+                at = p[head]
+                k1 = name[at].view(np.int64)
+                # a range has at most ``width`` windows, so its first and its last one cover all its words
+                (w,) = window_hashes(h, p, width, 1)
+                k2 = _pair(w[head].view(np.uint64), w[head + n - 1].view(np.uint64) + n.astype(np.uint64)).view(np.int64)
+                which = np.searchsorted(starts, at, side="right") - 1
+                # empty documents share a start with the next one: the last of those has the words
+                u, v, at = part.column(2).to_numpy()[which], part.column(3).to_numpy()[which], at - starts[which]
+                same, first = _many(k1, k2)
+                other = _many(k1)[0] & ~same
+                rest = same & ~first
+                if rest.any():
+                    yield _own_key(u[rest], v[rest], at[rest], n[rest], SETTLED)
+                if other.any():  # an anchor with several words around it here: its windows will be compared
+                    yield _own_key(u[other], v[other], at[other], n[other], 2)
+                    key = np.unique(k1[other])
+                    yield _inform(key, np.zeros_like(key))
+                yield _rows(k1[~rest & ~other], k2[~rest & ~other], *(x[~rest & ~other] for x in (u, v, at, n)), np.where(same, 2, 1)[~rest & ~other])
 
     def compare_windows(batches: Iterator) -> Iterator:
-        import gc
-
         import numpy as np
 
-        gc.disable()
         hashes = WordHashes()
-        for part, h, ends, starts in batches_of_words(batches, 1, hashes):
-            flat = part.column(4).flatten()
-            counts = part.column(4).value_lengths().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(part.num_rows), counts)
-            at, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            # every candidate window start, once
-            which = np.repeat(doc, n)
-            p = np.repeat(at - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) + starts[which]
-            p, one = np.unique(p, return_index=True)
-            which = which[one]
-            if not len(p):
-                continue
-            u, v = part.column(2).to_numpy(), part.column(3).to_numpy()
-            role = part.column(5).to_numpy(zero_copy_only=False)  # 0: no copies, 1: the first of several, 2: another one
-            sizes = np.diff(np.append(starts, len(h)))
-            whole = np.flatnonzero((role > 0) & (sizes >= width))
-            if len(whole):  # a copy is repeated as a whole
-                yield _settled(u[whole], v[whole], np.zeros(len(whole), np.int64), sizes[whole] - width + 1)
-            p, which = p[role[which] < 2], which[role[which] < 2]
-            k1, k2 = window_hashes(h, p, width)
-            tell = role[which] == 1  # what it shares with others, they must hear of once
-            if tell.any():
-                _, one = np.unique(np.stack([k1[tell], k2[tell]]), axis=1, return_index=True)
-                yield _inform(k1[tell][one], k2[tell][one])
-            p, which, k1, k2, known = p[~tell], which[~tell], k1[~tell], k2[~tell], _many(k1, k2)[~tell]
-            yield from _report(k1, k2, u[which], v[which], p - starts[which], np.ones(len(p), np.int64), known)
+        with without_gc():
+            for part, h, _, starts in batches_of_words(batches, 1, hashes):
+                flat = part.column(4).flatten()
+                counts = part.column(4).value_lengths().to_numpy(zero_copy_only=False)
+                at, n, kind = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                # every window start, once; what is only told counts as told
+                which = np.repeat(np.repeat(np.arange(part.num_rows), counts), n)
+                p = np.repeat(at - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) + starts[which]
+                order = np.lexsort((np.repeat(kind, n), p))
+                p, which, tell = p[order], which[order], (np.repeat(kind, n) == TELL)[order]
+                one = np.append(True, p[1:] != p[:-1])[: len(p)]
+                p, which, tell = p[one], which[one], tell[one]
+                if not len(p):
+                    continue
+                k1, k2 = window_hashes(h, p, width)
+                u, v, at = part.column(2).to_numpy()[which], part.column(3).to_numpy()[which], p - starts[which]
+                twice, first = _many(k1, k2)
+                known = (twice | tell) & first  # keys that others must hear of
+                if known.any():
+                    yield _inform(k1[known], k2[known])
+                mine = twice & ~tell
+                if mine.any():
+                    yield _own_key(u[mine], v[mine], at[mine], np.ones(mine.sum(), np.int64), SETTLED)
+                mine = ~twice & ~tell
+                yield _rows(k1[mine], k2[mine], u[mine], v[mine], at[mine], np.ones(mine.sum(), np.int64), 1)
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
@@ -342,21 +325,30 @@ def remove_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_
                     out = np.cumsum(mark)[:-1] > 0
                     totals.append(len(found))
                     gone.append(int(out.sum()))
-                    kept.append((b" ".join([w for w, x in zip(found, out.tolist(), strict=True) if not x]) if gone[-1] else b" ".join(found)).decode())
+                    kept.append((b" ".join([w for w, x in zip(found, out.tolist(), strict=True) if not x]) if gone[-1] else text.encode() if verbatim else b" ".join(found)).decode())
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
                     removed.append([{"at": int(x), "n": int(y - x)} for x, y in zip(edges[::2], edges[1::2], strict=True)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, spans), *batch.columns[3:]], names=["id", "n_words", "n_removed", "kept", "removed", *["carried"][: bool(carry)]])
 
     extra = ["carried"] if carry else []
-    role = F.when(F.col("first"), 1).when(~F.col("first"), 2).otherwise(0).alias("role")
-    candidates = _found_twice(docs.select("id", "text", "u", "v").mapInArrow(find_anchors, PLACES))
-    candidates = candidates.join(copies(docs), ["u", "v"], "left").select("u", "v", "ranges", role)
-    # documents meet their ranges twice; both joins deal the texts out alike, so Spark does it once
-    marks = _found_twice(docs.join(candidates, ["u", "v"]).select("id", "text", "u", "v", "ranges", "role", *extra).mapInArrow(compare_windows, PLACES))
+    weight = F.col("place").bitwiseAND(3)
+    anchor, span = Window.partitionBy("k1"), Window.partitionBy("k1", "k2")
+    rows = docs.select("id", "text", "u", "v").mapInArrow(find_anchors, PLACES)
+    rows = rows.select("*", F.sum(weight).over(anchor).alias("total"), F.sum(weight).over(span).alias("same"), F.max("u").over(span).alias("voice"), F.min("k2").over(anchor).alias("low"), F.max("k2").over(anchor).alias("high"))
+    repeated = (weight == SETTLED) | (F.col("same") > 1) & ((weight == 1) | (F.col("k1") != F.col("k2")))
+    kind = F.when(~repeated, OPEN).when((weight != SETTLED) & (F.col("low") != F.col("high")) & (F.col("u") == F.col("voice")), TELL).otherwise(DONE)
+    rows = rows.where("total > 1 and u is not null").select("u", "v", *_unpacked(), kind.alias("kind"))
+    ranges = work.save(rows.groupBy("u", "v").agg(F.collect_list(F.struct("at", "n", "kind")).alias("ranges")), "ranges")
+    listen = F.filter("ranges", lambda r: r["kind"] != DONE)
+    told = docs.join(ranges.select("u", "v", listen.alias("ranges")).where("size(ranges) > 0"), ["u", "v"]).select("id", "text", "u", "v", "ranges")
+    rows = told.mapInArrow(compare_windows, PLACES).withColumn("total", F.sum(weight).over(Window.partitionBy("k1", "k2")))
+    found = rows.where("total > 1 and u is not null").select("u", "v", *_unpacked())
+    done = ranges.select("u", "v", F.explode(F.filter("ranges", lambda r: r["kind"] != OPEN)).alias("r")).select("u", "v", "r.at", "r.n")
+    marks = found.union(done).groupBy("u", "v").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
     final = docs.join(marks, ["u", "v"], "left").select("id", "text", "ranges", *extra)
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = f"id {kind['id']}, n_words long, n_removed long, kept string, removed array<struct<at:int,n:int>>"
-    schema += f", carried {kind['carried']}" if carry else ""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = f"id {kinds['id']}, n_words long, n_removed long, kept string, removed array<struct<at:int,n:int>>"
+    schema += f", carried {kinds['carried']}" if carry else ""
     return final.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 

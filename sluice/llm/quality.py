@@ -42,14 +42,14 @@ class DivergenceRules:
 
 
 def _measured(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """The id columns, ws (words), word_chars, rest (the text without a-z and blanks) and class counts."""
+    """The id columns, text, rest (the text without a-z and blanks), word_chars and class counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(*id_cols, text.alias("text")).withColumn("ws", words(F.col("text"))).withColumn("rest", F.regexp_replace("text", "[a-z ]+", ""))
-    base = base.withColumn("word_chars", F.length(F.array_join("ws", "")).cast("long"))
+    base = df.select(*id_cols, text.alias("text")).withColumn("rest", F.regexp_replace("text", "[a-z ]+", ""))
+    base = base.withColumn("blanks", F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))))
     left, counts = F.translate("rest", SPACES, ""), []
-    spaces = F.length("text") - F.col("word_chars")
-    rest_spaces = F.length("rest") - F.length(left)
-    lower = F.length("text") - F.length("rest") - (spaces - rest_spaces)
+    spaces = F.col("blanks") + F.length("rest") - F.length(left)
+    lower = F.length("text") - F.length("rest") - F.col("blanks")
+    base = base.withColumn("word_chars", (F.length("text") - spaces).cast("long"))
     for chars in (UPPER, DIGITS, PUNCTUATION, SYMBOLS):
         less = F.translate(left, chars, "")
         counts.append(F.length(left) - F.length(less))
@@ -57,39 +57,52 @@ def _measured(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     return base.withColumn("class_counts", F.array(*[c.cast("double") for c in (lower, spaces, *counts, F.length(left))]))
 
 
-def _window_marks(ws: Column, window: int) -> Column:
-    """(hash, start) of every window of a text, sorted, so that equal windows are neighbours."""
-    marks = F.transform(F.sequence(F.lit(1), F.size(ws) - (window - 1)), lambda i: F.struct(F.xxhash64(F.slice(ws, i, window)).alias("h"), i.alias("i")))
-    return F.when(F.size(ws) > window, F.array_sort(marks)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-
-
-def _covered(marks: str, window: int) -> tuple[Column, Column]:
-    """The starts of windows found twice or more; and from those, the number of words they cover."""
+def _windows(hashes: str, window: int) -> Column:
+    """A hash of each ``window`` words in a row, from the words' hashes: by doubling, so few passes over the array."""
+    h, n = F.col(hashes), F.size(hashes)
+    level, size, total, done = h, 1, None, 0
+    shifted = lambda a, k: F.slice(a, F.lit(k + 1), n)
+    while done < window:
+        if window & size:
+            total = level if total is None else F.zip_with(total, shifted(level, done), lambda a, b: F.xxhash64(a, b))
+            done += size
+        level, size = F.zip_with(level, shifted(level, size), lambda a, b: F.xxhash64(a, b)), size * 2
+    return F.when(n > window, F.slice(total, F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _covered(windows: str, marks: str, starts: str, window: int) -> tuple[Column, Column, Column]:
+    """(hash, start) of every window of a text that repeats any, sorted so that equal windows are neighbours; the starts
+    of windows found twice or more; and from those, the number of words they cover."""
+    every = F.transform(windows, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))
+    sort = F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(every)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     twin = lambda m, k: F.coalesce(F.get(F.col(marks), k)["h"] == m["h"], F.lit(False))
-    starts = F.array_sort(F.transform(F.filter(F.col(marks), lambda m, k: twin(m, k + 1) | twin(m, k - 1)), lambda m: m["i"]))
-    steps = F.transform(F.col("starts"), lambda s, k: F.least(F.coalesce(F.get(F.col("starts"), k + 1) - s, F.lit(window)), F.lit(window)))
-    return starts, F.aggregate(steps, F.lit(0), lambda a, s: a + s).cast("long")
+    found = F.sort_array(F.transform(F.filter(marks, lambda m, k: twin(m, k + 1) | twin(m, k - 1)), lambda m: m["i"]))
+    steps = F.transform(starts, lambda s, k: F.least(F.coalesce(F.get(F.col(starts), k + 1) - s, F.lit(window)), F.lit(window)))
+    return sort, found, F.aggregate(steps, F.lit(0), lambda a, s: a + s).cast("long")
 
 
 def base_counts(df: DataFrame, id_cols: list[str], text_col: str = "text", window: int = 5) -> DataFrame:
-    """The base counts of every whole text, with ws and class_counts for the verdict.
+    """The base counts of every whole text, with lower_hashes (of its words in lower case) and class_counts for the verdict.
 
     A null or empty text has no words; repeated rows are counted each on its own.
+    Words are hashed once (64 bits); windows are compared by hashes of hashes, and only texts that
+    repeat a window have its places looked up.
     """
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    out = _measured(df, id_cols, text_col).withColumn("lines", lines)
-    out = out.withColumn("marks", _window_marks(F.col("ws"), window))
-    starts, covered = _covered("marks", window)
-    out = out.withColumn("starts", starts)
+    out = _measured(df, id_cols, text_col).withColumns({"lines": lines, "ws": words(F.col("text"))})
+    out = out.withColumns({"hashes": F.transform("ws", lambda w: F.xxhash64(w)), "lower_hashes": F.transform("ws", lambda w: F.xxhash64(F.lower(w)))})
+    out = out.withColumn("windows", _windows("hashes", window))
+    marks, starts, covered = _covered("windows", "marks", "starts", window)
+    out = out.withColumn("marks", marks).withColumn("starts", starts)
     return out.select(
         *id_cols,
-        F.size("ws").cast("long").alias("n_words"),
+        F.size("hashes").cast("long").alias("n_words"),
         "word_chars",
         (F.length("rest") - F.length(F.translate("rest", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         "class_counts",
-        "ws",
+        "lower_hashes",
     )
 
 
@@ -115,8 +128,10 @@ def language_references(df: DataFrame, rules: DivergenceRules = DivergenceRules(
     """
     src = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
     sums = F.array(*[F.sum(F.col("class_counts")[k]) for k in range(len(CLASSES))])
-    classes = _measured(src, ["lang"], "body").groupBy("lang").agg(sums.alias("ref_classes"), F.sum(F.size("ws")).alias("all_words"))
     counts = src.select("lang", F.explode(words(F.lower("body"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    all_words = counts.groupBy("lang").agg(F.sum("n").alias("all_words")).withColumnRenamed("lang", "of")
+    classes = _measured(src, ["lang"], "body").groupBy("lang").agg(sums.alias("ref_classes"))
+    classes = classes.join(all_words, F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", "ref_classes", F.coalesce("all_words", F.lit(0)).alias("all_words"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rules.top_words)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))).alias("top"))
@@ -141,7 +156,7 @@ def _words_too_far(rules: DivergenceRules) -> Column:
     chance = (free + rules.chance * F.sqrt(2 * free)) / (8 * math.log(2) * F.col("n_words"))
     far = F.pow("word_distance", F.lit(2)) > rules.max_words * F.pow(js_distance(none, F.col("ref_common")), F.lit(2)) + chance
     total = F.aggregate("ref_common", F.lit(0.0), lambda a, x: a + x)
-    lacking = (F.size("seen") == 0) & (F.col("n_words") * (1 - F.element_at("ref_common", -1) / total) >= rules.expected)
+    lacking = (F.col("n_common") == 0) & (F.col("n_words") * (1 - F.element_at("ref_common", -1) / total) >= rules.expected)
     return F.coalesce(far | lacking, F.lit(False))
 
 
@@ -156,12 +171,14 @@ def judge(df: DataFrame, references: DataFrame | None = None, rules: DivergenceR
     small = refs.count() <= BROADCAST_LANGUAGES
     src = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
     out = base_counts(src, ["id", "lang"], "body")
-    refs = refs.withColumnRenamed("lang", "of")
+    refs = refs.withColumnRenamed("lang", "of").withColumn("common_hashes", F.transform("common", lambda w: F.xxhash64(w)))
     out = out.join(F.broadcast(refs) if small else refs, F.col("lang").eqNullSafe(F.col("of")), "left")
-    out = out.withColumn("seen", F.filter(F.transform("ws", lambda w: F.lower(w)), lambda w: F.array_contains(F.col("common"), w)))
-    counts = F.transform("common", lambda c: F.size(F.filter("seen", lambda w: w == c)).cast("double"))
-    counts = F.when(F.col("lang").isNull(), F.array(F.size("seen").cast("double"))).otherwise(counts)
-    out = out.withColumn("counts", F.concat(counts, F.array((F.size("ws") - F.size("seen")).cast("double"))))
+    of = lambda k: F.size("lower_hashes") - F.size(F.array_remove("lower_hashes", F.get("common_hashes", F.lit(k))))
+    each = F.slice(F.array(*[of(k).cast("double") for k in range(rules.top_words)]), F.lit(1), F.size("common"))
+    pooled = F.array(F.size(F.filter("lower_hashes", lambda h: F.array_contains("common_hashes", h))).cast("double"))
+    out = out.withColumn("counts", F.when(F.col("lang").isNull(), pooled).otherwise(each))
+    out = out.withColumn("n_common", F.aggregate("counts", F.lit(0.0), lambda a, x: a + x))
+    out = out.withColumn("counts", F.concat("counts", F.array(F.col("n_words") - F.col("n_common"))))
     long_enough = F.col("n_words") >= rules.min_words
     far = lambda c, most: F.coalesce(F.col(c) > most, F.lit(False))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -18,23 +18,21 @@ Decoding is a homomorphism into bytes: halves are decoded and concatenated up th
 from __future__ import annotations
 
 import base64
-import gc
 import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sluice.llm.common import table, text_or_empty
+from sluice.llm.common import bounded_batches, table, text_or_empty, without_gc
 
 #: Leaf sizes of the two trees, and of the decoding tree.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 8192, 24, 4096
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1024, 12, 1024
 #: Entries that a worker keeps for repeated pretokens before it starts afresh.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Up to this length a plain list beats a heap for merging.
 SHORT_BYTES, NO_RANK = 48, 1 << 60
 
@@ -198,6 +196,42 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: Rows that are encoded or decoded together.
+BATCH_DOCS = 500
+
+
+def _id_lists(lists: list[list[int]]):
+    """Lists of token ids as an Arrow column."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.zeros(len(lists) + 1, np.int32)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
+    values = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def _pass(df: DataFrame, columns: list, schema: str, rank_file: str | None, pattern: str | None, id_col: str, work) -> DataFrame:
+    """One pass of Arrow batches over (id, column): ``work(monoid, column)`` gives the other output columns."""
+    path, pat = default_vocabulary()
+    path, pat = rank_file or path, pattern or pat
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bpe = _monoid(path, pat)
+        with without_gc():
+            for whole in batches:
+                for at in range(0, whole.num_rows, BATCH_DOCS):
+                    batch = whole.slice(at, BATCH_DOCS)
+                    out = [batch.column(0), *work(bpe, batch.column(1))]
+                    yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "decoded"][: len(out)])
+
+    bounded_batches(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), *columns).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, ids array<int>) for every row: the token ids of the whole text.
 
@@ -205,61 +239,48 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_f
     ids simply come back as they are; other columns are ignored, whatever their names.
     No shuffle: one pass over the two columns.
     """
-    path, pat = default_vocabulary()
-    path, pat = rank_file or path, pattern or pat
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    def work(bpe, texts):
+        return [_id_lists([bpe.encode(t) for t in texts.to_pylist()])]
 
-        bpe = _monoid(path, pat)
-        gc.disable()  # no cycles here; else each large collection walks the whole cache
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                lists = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-                offsets = np.zeros(len(lists) + 1, np.int32)
-                np.cumsum([len(x) for x in lists], out=offsets[1:])
-                values = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
-
-    kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    src = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return _pass(df, [text_or_empty(text_col).alias("text")], "ids array<int>", rank_file, pattern, id_col, work)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank_file: str | None = None) -> DataFrame:
     """(id, ids, decoded binary) for every row; null ids or an id outside the vocabulary give null."""
-    path, pat = default_vocabulary()
-    path = rank_file or path
 
-    def run(batches: Iterator) -> Iterator:
+    def work(bpe, ids):
         import pyarrow as pa
 
-        bpe = _monoid(path, pat)
-
-        def one(ids):
+        def one(k, a, n):
             try:
-                return None if ids is None else bpe.decode(ids)
+                return bpe.decode(flat[a : a + n]) if valid[k] else None
             except KeyError:
                 return None
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                out = pa.array([one(x) for x in batch.column(1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=["id", "ids", "decoded"])
+        valid = ids.is_valid().to_pylist()
+        flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+        sizes = [n or 0 for n in ids.value_lengths().to_pylist()]
+        return [ids, pa.array([one(k, a - n, n) for k, (a, n) in enumerate(zip(accumulate(sizes), sizes, strict=True))], pa.binary())]
+
+    return _pass(df, [F.col(ids_col).alias("ids")], "ids array<int>, decoded binary", rank_file, None, id_col, work)
+
+
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id, ids, decoded binary): what ``decode(encode(df))`` gives, in one pass, so the ids needn't come back to be decoded."""
+
+    def work(bpe, texts):
+        import pyarrow as pa
+
+        lists = [bpe.encode(t) for t in texts.to_pylist()]
+        return [_id_lists(lists), pa.array([bpe.decode(x) for x in lists], pa.binary())]
 
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    src = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return _pass(df, [text_or_empty(text_col).alias("text")], "ids array<int>, decoded binary", rank_file, pattern, id_col, work)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every whole document."""
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    out = round_trip(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -75,15 +75,15 @@ class Workspace:
                 where.getFileSystem(conf).delete(where, True)
 
 
-#: Whole texts are long: rows of an Arrow batch, where the session has no limit of its own.
-BATCH_ROWS = "2000"
+#: Whole texts are long: rows and bytes of an Arrow batch, where the session has Spark's own limits (the values before).
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small, unless the session says how large they may be."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+    for key, (usual, ours) in BATCH_LIMITS.items():
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, ours)
 
 
 @contextmanager

@@ -1,15 +1,14 @@
 """Language identification of mixed-language text (operator 6).
 
-A model has, per language, log probabilities of character n-grams of words with their
-borders, and the scripts that the language is written in. In a text, the script of a word
-narrows its candidate languages, each candidate scores the word, and a Viterbi pass over the
+A model has, per language, log probabilities of the character trigrams of words with their
+borders, and the scripts that the language is written in. In a text, the scripts of a word's letters
+narrow its candidate languages, each candidate scores the word, and a Viterbi pass over the
 words with a fixed switching penalty labels spans. A text's language is the one with the most
 letters in its spans.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 from bisect import bisect_right
@@ -19,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import table, words
+from sluice.llm.common import bounded_batches, table, without_gc, words
 
 #: First code points of script ranges and the scripts that begin there.
 SCRIPT_RANGES = (
@@ -33,7 +32,7 @@ SCRIPT_RANGES = (
 )
 _STARTS = [a for a, _ in SCRIPT_RANGES]
 #: Entries that a worker keeps for repeated words before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 UNKNOWN = "und"
 #: Means of n-gram log probabilities, as parts of the way from an unseen n-gram up to the
 #: language's typical text, at which a text counts as wholly foreign and as wholly native.
@@ -61,7 +60,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
 
     The fit uses a sample of about ``max_docs`` rows of each language, drawn by a hash of the
     text, so equal inputs give equal models. Counting runs in Spark; the driver gets the
-    ``max_grams`` most frequent n-grams (n = 1 to 3), ties by n-gram: a fixed bound. A script
+    ``max_grams`` most frequent letters and trigrams, ties by gram: a fixed bound. A script
     admits a language that has at least ``min_share`` of its letters in that script.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
@@ -75,7 +74,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     counted = sample.select("lang", F.explode(words(clean)).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     counted = counted.withColumn("b", F.concat(F.lit("^"), "w", F.lit("$")))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("b") - (n - 1)), lambda i: F.substr("b", i, F.lit(n)))
-    grams = counted.select("lang", "n", F.explode(F.concat(cut(1), cut(2), cut(3))).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
+    grams = counted.select("lang", "n", F.explode(F.concat(cut(1), cut(3))).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
     per = grams.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
     top = per.orderBy(F.desc("n"), "g").limit(max_grams).collect()
     totals = [[0.0] * len(langs) for _ in range(4)]
@@ -107,6 +106,7 @@ class Labeller:
 
         self.model, self.penalty, self.np = model, penalty, np
         self.find = re.compile(r"[^\W\d_]+").findall
+        self.open_to: dict[frozenset[str], tuple[bool, ...] | None] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -115,6 +115,16 @@ class Labeller:
         self.letters = self.np.zeros(4096, self.np.int64)
         self.known = self.np.zeros(4096, self.np.int64)
 
+    def candidates(self, word: str) -> tuple[bool, ...] | None:
+        """The languages that use all scripts of a word, else those that use one of them; None if no language uses any."""
+        found = frozenset(("latin",)) if word.isascii() else frozenset(script(c) for c in word if c.isalpha())
+        if found not in self.open_to:
+            scripts = self.model.scripts
+            known = [scripts[x] for x in sorted(found) if x in scripts]
+            every, some = [all(x) for x in zip(*known, strict=True)], [any(x) for x in zip(*known, strict=True)]
+            self.open_to[found] = None if not known else tuple(every if any(every) else some)
+        return self.open_to[found]
+
     def score(self, word: str) -> int:
         """The row of a word: its log likelihood per candidate language; none if no language uses its script."""
         np, model = self.np, self.model
@@ -123,18 +133,16 @@ class Labeller:
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
             self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        letters = [c for c in word if c.isalpha()]
-        self.letters[at] = len(letters)
-        if letters:
-            padded, grams, floor = f"^{word}$", model.grams, model.floor
-            found = [grams.get(padded[i : i + 3], floor) for i in range(len(padded) - 2)]
-            total = np.sum(found, axis=0)
-            open_to = next((model.scripts[x] for x in map(script, letters) if x in model.scripts), None)
+        n = len(word) if word.isalpha() else sum(c.isalpha() for c in word)
+        self.letters[at] = n
+        if n:
+            padded, get, floor = f"^{word}$", model.grams.get, model.floor
+            total = list(map(sum, zip(*[get(padded[i : i + 3], floor) for i in range(len(padded) - 2)], strict=True)))
+            open_to = self.candidates(word)
             if open_to is not None:
-                self.scores[at] = np.where(open_to, total, self.BARRED)
-                self.known[at] = len(letters)
+                self.scores[at], self.known[at] = [x if ok else self.BARRED for x, ok in zip(total, open_to, strict=True)], n
             elif not model.scripts:
-                self.scores[at], self.known[at] = total, len(letters)
+                self.scores[at], self.known[at] = total, n
         return at
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
@@ -200,27 +208,31 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
     A null text, or one without a letter, is ``und`` with score 0 and no spans. Repeated rows
     and null ids come back as they are; other columns aren't read, but those in ``carry`` come
-    along in a struct ``carried``. ``spans`` count the words
+    along in a struct ``carried``, and the text with them, as ``text``. ``spans`` count the words
     (runs of letters) of the text. No shuffle; the model is of bounded size.
     """
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        gc.disable()  # no cycles here; else each large collection walks the whole cache
         labeller = Labeller(model, penalty)
         kind = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                found = [labeller.label(t) for t in batch.column(1).to_pylist()]
-                spans = pa.array([[{"first_word": a, "n_words": n, "lang": x} for a, n, x in f[2]] for f in found], kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans, *batch.columns[2:]], names=["id", "lang_pred", "score", "spans", *["carried"][: bool(carry)]])
+        with without_gc():
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    found = [labeller.label(t) for t in batch.column(1).to_pylist()]
+                    spans = pa.array([[{"first_word": a, "n_words": n, "lang": x} for a, n, x in f[2]] for f in found], kind)
+                    out = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans]
+                    if carry:
+                        out += batch.columns[1:]
+                    yield pa.RecordBatch.from_arrays(out, names=["id", "lang_pred", "score", "spans", "text", "carried"][: len(out)])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     kind = {f.name: f.dataType.simpleString() for f in src.schema}
     schema = f"id {kind['id']}, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>"
-    schema += f", carried {kind['carried']}" if carry else ""
+    schema += f", text string, carried {kind['carried']}" if carry else ""
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -69,7 +69,7 @@ def _mix(x):
 class Shingler:
     """Sets of shingle hashes of texts; words are hashed once per worker and then looked up."""
 
-    CACHE = 500_000
+    CACHE = 250_000
 
     def __init__(self, words: int):
         import numpy as np

@@ -4,7 +4,7 @@ return the columns of ``documents``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, langid, minhash, mixing, substrings
@@ -23,10 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.learn(docs)
     if not model.langs:
         return docs.select(*COLUMNS)
-    found = langid.identify(docs, model, carry=COLUMNS)
+    found = langid.identify(docs, model, carry=("lang", "source", "n_chars"))
     found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > LEAST_SHARE))
-    rest = [F.col(f"carried.{c}") for c in COLUMNS if c != "lang"]
-    return found.select(*rest, F.coalesce("carried.lang", "lang_pred").alias("lang")).select(*COLUMNS)
+    return found.select("doc_id", "text", F.coalesce("carried.lang", "lang_pred").alias("lang"), "carried.source", "carried.n_chars").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,29 +46,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts; a text without any stays as it is."""
-    cut = substrings.remove_repeats(docs, carry=COLUMNS)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
-    rest = [F.col(f"carried.{c}") for c in ("lang", "source")]
-    return cut.select("doc_id", text.alias("text"), *rest).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Takes repeated passages out of the texts; a text without any stays as it is (null: empty)."""
+    rest = ("lang", "source")
+    cut = substrings.remove_repeats(docs, carry=rest, verbatim=True)
+    cut = cut.select("doc_id", F.col("kept").alias("text"), *[F.col(f"carried.{c}") for c in rest])
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; those with no copy go.
 
-    Equal rows are numbered, so that copies meet rows one to one.
+    Rows that are alike in every column are as good as one: they share the copies that the mix gives them.
     """
-    number = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    key = F.xxhash64("doc_id", "source", "text")
+    key = F.struct("doc_id", "source", "lang", "n_chars", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
     copies = mixing.mix(docs.withColumn("key", key), id_col="key").where("copies > 0")
-    copies = copies.select("key", F.col("copies").cast("int").alias("copies")).withColumn("row", number)
-    rows = docs.select(*COLUMNS).withColumn("key", key).withColumn("row", number).join(copies, ["key", "row"])
+    copies = copies.groupBy("key").agg(F.sum("copies").cast("int").alias("copies"))
+    rows = docs.select(*COLUMNS).withColumn("key", key).dropDuplicates(["key"]).join(copies, "key")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): ids joined by spaces, and whether they decode to the text."""
-    tokens = bpe.decode(bpe.encode(docs.select(F.struct("doc_id", F.sha2("text", 256).alias("sha")).alias("row"), "text"), "row"), "row")
+    tokens = bpe.round_trip(docs.select(F.struct("doc_id", F.sha2("text", 256).alias("sha")).alias("row"), "text"), "row")
     same = F.sha2("decoded", 256) == F.coalesce("row.sha", F.sha2(F.lit(""), 256))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return tokens.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids"), same.alias("round_trip"))

@@ -526,7 +526,7 @@ def billing_pages(spark, sf_dir):
 
 
 @query("", """SELECT 'operations' AS metric, event_type AS action, 'b' || CAST(user_id % 5 AS VARCHAR) AS bucket, count(*) AS n, CAST(sum(floor(value)) AS DOUBLE) AS value FROM events WHERE user_id % 5 > 0 GROUP BY 1, 2, 3""")
-def operation_counts(spark, sf_dir):
+def bucket_operations(spark, sf_dir):
     """A response per event; operations without a bucket go."""
     e = source(spark, sf_dir, "events")
     bucket = F.when(F.col("user_id") % 5 > 0, F.concat(F.lit("b"), (F.col("user_id") % 5).cast("string"))).otherwise("")

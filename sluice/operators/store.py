@@ -133,6 +133,15 @@ def interval_stats(stats: DataFrame, start: Column, end: Column) -> DataFrame:
     )
 
 
+def fill_intervals(stats: DataFrame) -> DataFrame:
+    """T4: one row per minute from the first to the last interval; minutes without any have zeros. (One number per minute is made.)"""
+    minute = F.expr("INTERVAL 1 MINUTE")
+    span = stats.agg(F.min("interval_start").alias("a"), F.max("interval_start").alias("b")).where("a is not null")
+    every = span.select(F.explode(F.sequence("a", "b", minute)).alias("interval_start"))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("seen", "examined", "saved")]
+    return every.join(stats.drop("interval_end"), "interval_start", "left").select("interval_start", (F.col("interval_start") + minute).alias("interval_end"), *zero)
+
+
 def latest_end(stats: DataFrame) -> DataFrame:
     """A6."""
     return stats.agg(F.max("interval_end").alias("latest"))

@@ -706,3 +706,10 @@ def review_page(spark, sf_dir):
     t = lambda n: bound(spark, sf_dir, n)
     rows, _ = PL.review_page(t("items"), t("scores"), t("registry"), t("item_reviews"), t("group_reviews"), None, 25)
     return rows.select("item_id", "score", F.coalesce("item_override", F.lit("")).alias("item_override"))
+
+
+@query("interval_stats", """g AS (SELECT unnest(generate_series(min(interval_start), max(interval_start), INTERVAL 1 MINUTE)) AS interval_start FROM interval_stats)
+SELECT g.interval_start, g.interval_start + INTERVAL 1 MINUTE AS interval_end, CAST(coalesce(seen, 0) AS BIGINT) AS seen, CAST(coalesce(examined, 0) AS BIGINT) AS examined, CAST(coalesce(saved, 0) AS BIGINT) AS saved FROM g LEFT JOIN interval_stats s ON s.interval_start = g.interval_start""")
+def filled_intervals(spark, sf_dir):
+    """T4: interval statistics without gaps."""
+    return store.fill_intervals(bound(spark, sf_dir, "interval_stats"))

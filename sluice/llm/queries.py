@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, chat, langid, minhash, mixing, quality, substrings, topk, toxicity, warc
+from sluice.llm import bpe, chat, codes, langid, manifest, minhash, mixing, quality, substrings, tokenfile, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.op1_toxicity_chain,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_perspectives": chat.op8_perspectives,
     "op9_entropy_mix": mixing.op9_entropy_mix,
     "op10_warc": warc.op10_warc,
+    "op11_gnat_codes": codes.op11_gnat_codes,
+    "op12_repair_tokens": tokenfile.op12_repair_tokens,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {

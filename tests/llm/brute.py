@@ -187,3 +187,78 @@ def tilt(sizes, target, cap=2.0):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if used(mid) < target else (lo, mid)
     return lambda s: min(cap, math.exp(min(50.0, hi * s)))
+
+
+def codes(rows, parts=16, entries=64, rounds=2):
+    """[(vec_id, vector, label)] with sound vectors to {vec_id: (code, error, label_error, codebooks_sha256)}."""
+    import math
+
+    width = max(len(v) for _, v, _ in rows)
+    step = -(-width // parts)
+    whole = sorted((i, [math.floor(256 * float(c)) for c in v] + [0] * (parts * step - len(v)), label) for i, v, label in rows)
+    cut = [[v[k * step : (k + 1) * step] for k in range(parts)] for _, v, _ in whole]
+    books = [[c[k] for c in cut[:entries]] for k in range(parts)]
+    nearest = lambda k, x: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), j) for j, e in enumerate(books[k]))
+    for _ in range(rounds):
+        new = []
+        for k in range(parts):
+            mine = defaultdict(list)
+            for c in cut:
+                mine[nearest(k, c[k])[1]].append(c[k])
+            new.append([[sum(x) // len(mine[j]) for x in zip(*mine[j], strict=True)] if j in mine else e for j, e in enumerate(books[k])])
+        books = new
+    found = [[nearest(k, c[k]) for k in range(parts)] for c in cut]
+    errors, by_label = [sum(d for d, _ in f) for f in found], Counter()
+    for (_, _, label), e in zip(whole, errors, strict=True):
+        by_label[label] += e
+    told = sha(",".join(str(x) for book in books for e in book for x in e))
+    return {i: ("".join(f"{j:02x}" for _, j in f), e, by_label[label], told) for (i, _, label), f, e in zip(whole, found, errors, strict=True)}
+
+
+def token_file(rows, tokenizer, end_id=2):
+    """[(doc_id, text)] with distinct ids to {doc_id: (start, n_tokens, ids_crc32, ids)}, a null id first."""
+    import struct
+    import zlib
+
+    out, at = {}, 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, end_id]
+        out[i] = (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), ids)
+        at += len(ids)
+    return out
+
+
+def manifest(rows, tampered):
+    """[(doc_id, text, lang, source, n_chars)] to the sorted rows of proofs."""
+    hashed = lambda *a: sha("".join(a))
+    told = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, text: hashed(*map(told, (r[0], r[3], r[2], r[4], text)))
+
+    def tree(level):
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append([hashed(*levels[-1][k : k + 8]) for k in range(0, len(levels[-1]), 8)])
+        return levels
+
+    def path(levels, k):
+        out = []
+        for level in levels[:-1]:
+            at = k // 8 * 8
+            out.append((level[at:k], level[k + 1 : at + 8]))
+            k //= 8
+        return out
+
+    by_lang = defaultdict(list)
+    for r in rows:
+        by_lang[r[2]].append((r[0] is not None, r[0] or 0, leaf(r, r[1]), r))
+    langs = sorted(by_lang, key=lambda x: (x is not None, (x or "").encode()))
+    trees = [tree([x[2] for x in sorted(by_lang[lang], key=lambda x: x[:3])]) for lang in langs]
+    top, out = tree([t[-1][0] for t in trees]), []
+    for n, lang in enumerate(langs):
+        for k, (*_, own, r) in enumerate(sorted(by_lang[lang], key=lambda x: x[:3])):
+            steps = path(trees[n], k) + path(top, n)
+            h = leaf(r, re.sub("[A-Z]", lambda m: m[0].lower(), r[1]) if tampered(r[0]) and r[1] is not None else r[1])
+            for left, right in steps:
+                h = hashed(*left, h, *right)
+            out.append((r[0], own, trees[n][-1][0], top[-1][0], hashed(*(x for s in steps for part in s for x in part)), h, h == top[-1][0]))
+    return sorted(out, key=repr)

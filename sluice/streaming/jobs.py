@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from sluice.operators import evaluate, prune, store, views
+from sluice.streaming import observed
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -18,27 +19,40 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return prune.parse_events(raw)
 
 
-def prune_stream(events: DataFrame, judge: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, delay: str = "30 seconds") -> StreamingQuery:
-    """Candidates, verdict columns from ``judge`` (images, reasons), survivors saved once, tally per minute.
+def prune_stream(events: DataFrame, judge: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, delay: str = "30 seconds", recorder: observed.Recorder | None = None, name: str = "prune") -> StreamingQuery:
+    """Candidates, verdict columns from ``judge`` (images, reasons), survivors saved once, tally per minute.
 
     ``judge`` adds ``images`` and ``reasons`` to (event_time, group_id, cids). Replayed batches
     change nothing: survivors are inserted if absent, and a batch's tally replaces itself. Items are
     stored by day of the event, which a replay has as well, so a batch only looks at the days that it holds.
+
+    A ``recorder`` gets the counts of the stages ``events``, ``candidates`` and ``judged`` of each batch, counted as
+    the rows pass, and is flushed when the query ends; it can't stop the stream. A batch that is replayed is counted again.
     """
+    if recorder is not None:
+        events.sparkSession.streams.addListener(observed.StageCounts(recorder, name))
+        events = observed.counted(events, "events")
     candidates = prune.extract_candidates(events.withWatermark("event_time", delay))
+    if recorder is not None:
+        candidates = observed.counted(candidates, "candidates", images=F.sum(F.size("cids")))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark, judged = batch.sparkSession, judge(batch).persist()
-        one = judged.withColumns({"posts": F.lit(1), "saved": F.when(F.size("reasons") == 0, F.col("images")).otherwise(0), "rejected": F.when(F.size("reasons") > 0, F.greatest("images", F.lit(1))).otherwise(0)})
-        keep = judged.where(F.size("reasons") == 0).select("group_id", "event_time", "cids", "original_at", F.to_date("event_time").alias("day"))
+        spark, seen = batch.sparkSession, Observation()
+        one = judge(batch).withColumns({"posts": F.lit(1), "saved": F.when(F.size("reasons") == 0, F.col("images")).otherwise(0), "rejected": F.when(F.size("reasons") > 0, F.greatest("images", F.lit(1))).otherwise(0)})
+        if recorder is not None:
+            one = one.observe(seen, F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in ("posts", "images", "saved", "rejected")])
+        one = one.persist()
+        keep = one.where(F.size("reasons") == 0).select("group_id", "event_time", "cids", "original_at", F.to_date("event_time").alias("day"))
         items, days = f"{path}/items", [r["day"] for r in keep.select("day").distinct().collect()]  # the days of one batch
         base = spark.read.schema(keep.schema).parquet(items).where(F.col("day").isin(days)) if _exists(spark, items) else keep.limit(0)
         store.insert_if_absent(base, keep, "group_id").write.partitionBy("day").mode("append").parquet(items)
         minute = F.date_trunc("minute", "event_time").alias("interval_start")
         prune.tally(one, (minute,)).write.mode("overwrite").parquet(f"{path}/tally/batch={batch_id}")
-        judged.unpersist()
+        one.unpersist()
+        if recorder is not None:
+            observed.deliver(recorder, "judged", seen.get)
 
-    return candidates.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return candidates.writeStream.queryName(name).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -151,11 +151,13 @@ def jump(m: Manifest, space: Workspace) -> DataFrame:
     key = ["up_tree", "up_level", "up_pos"]
     root = (F.col("up_tree") == TOP) & (F.col("up_level") == len(m.top_levels))
     while reach < height:
-        # up to RUN ** reach nodes point at one: copies of it share them out
+        ahead = state.select(*[F.col(c).alias(f"up_{c}") for c in ("tree", "level", "pos")], *[F.col(c).alias(f"far_{c[3:]}") for c in key], F.col("path").alias("more"), F.col("subroot").alias("own_root"))
+        # up to RUN ** reach nodes point at one: as many copies of it as are asked for share them out
         copies = min(RUN ** (reach - 1), MOST_COPIES)
-        ahead = state.select(*[F.col(c).alias(f"up_{c}") for c in ("tree", "level", "pos")], *[F.col(c).alias(f"far_{c[3:]}") for c in key], F.col("path").alias("more"), F.col("subroot").alias("own_root"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
         open_ = state.where(~root).withColumn("copy", F.pmod(F.col("pos"), F.lit(copies)).cast("int"))
-        met = open_.join(ahead, [*key, "copy"])
+        if copies > 1:
+            ahead = ahead.join(open_.select(*key, "copy").distinct(), key)
+        met = open_.join(ahead, [*key, "copy"] if copies > 1 else key)
         met = met.select("tree", "level", "pos", *[F.col(f"far_{c[3:]}").alias(c) for c in key], F.concat("path", "more").alias("path"), F.coalesce("subroot", "own_root").alias("subroot"), "run")
         new = space.save(met.unionByName(state.where(root).select(*met.columns)), "pointers")
         space.drop(state)

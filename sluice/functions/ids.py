@@ -53,9 +53,11 @@ def model_scheme(version: Column) -> Column:
 
 
 def content_version(*pairs: tuple[str, Column], scheme: str = "") -> Column:
-    """eight hexadecimal digits over the key=value pairs in the order of the keys."""
-    parts = [F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit(""))) for k, v in sorted(pairs, key=lambda p: p[0])]
-    return F.concat(F.lit(scheme), F.substring(F.md5(F.concat_ws("\n", *parts)), 1, 8))
+    """eight hexadecimal digits over keys and values in the order of the keys, each after its length, so that no two sets of
+    pairs read the same; null isn't empty."""
+    told = lambda c: F.when(c.isNull(), "-").otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c))
+    parts = [x for k, v in sorted(pairs, key=lambda p: p[0]) for x in (told(F.lit(k)), told(v.cast("string")))]
+    return F.concat(F.lit(scheme), F.substring(F.md5(F.concat(*parts)), 1, 8))
 
 
 def split_id(seed: Column, captured_at: Column, train: Column, test: Column) -> Column:

@@ -17,8 +17,9 @@ VISIBLE_RANK = 2
 
 
 def normalize(score: Column, threshold: Column) -> Column:
-    """F1: the score moved so that the threshold becomes 0.5, linear on both sides; FLOAT."""
+    """F1: the score moved so that the threshold becomes 0.5, linear on both sides; FLOAT. NaN is refused."""
     s, t = score.cast("double"), threshold.cast("double")
+    s = F.when(F.isnan(s), F.raise_error(F.lit("a score is NaN")).cast("double")).otherwise(s)
     low = F.when(t == 0, F.lit(0.5)).otherwise(s * 0.5 / t)
     raw = F.when(s <= t, low).otherwise((0.5 * s + 0.5 - t) / F.nullif(1 - t, F.lit(0.0)))
     return F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))).cast("float")

@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions import ids
 from sluice.functions import scoring as S
+from sluice.operators.shared import saved
 from sluice.operators.views import number_in_pieces, small
 
 
@@ -29,11 +29,14 @@ def prf(df: DataFrame) -> DataFrame:
 def score_steps(df: DataFrame, score: str, label: str, pieces: int = 64) -> DataFrame:
     """(score, pos, neg, pos_above, neg_above, all_pos, all_neg): one row per distinct score, with the counts above it.
 
-    Rows are first summed per distinct score. Running sums are taken inside score ranges and the
-    ranges' offsets are joined on, so no window holds all rows.
+    Rows without a score or a label take no part; NaN is refused, as it has no place among scores. Rows are first summed
+    per distinct score, and that table is saved, since running sums inside score ranges and the ranges' offsets both
+    read it; no window holds all rows.
     """
-    per = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    per = per.withColumn("piece", F.floor(F.col("score").cast("double") * pieces).cast("int"))
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    value = F.when(F.isnan(F.col(score)), F.raise_error(F.lit("a score is NaN")).cast(df.schema[score].dataType)).otherwise(F.col(score))
+    per = known.groupBy(value.alias("score")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
+    per = saved(per.withColumn("piece", F.floor(F.col("score").cast("double") * pieces).cast("int")), "score-steps")
     sums = per.groupBy("piece").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above = Window.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
     every = Window.partitionBy()
@@ -43,43 +46,56 @@ def score_steps(df: DataFrame, score: str, label: str, pieces: int = 64) -> Data
     return per.withColumns({"p": run("pos"), "n": run("neg")}).join(F.broadcast(sums), "piece").select("score", "pos", "neg", (F.col("p") + F.col("p0")).alias("pos_above"), (F.col("n") + F.col("n0")).alias("neg_above"), "all_pos", "all_neg")
 
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Probability that a positive outscores a negative, ties half; null with one class."""
-    s = score_steps(df, score, label)
+def auc_of_steps(steps: DataFrame) -> DataFrame:
     area = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2))
-    return s.agg((area / F.nullif(F.max(F.col("all_pos") * F.col("all_neg")), F.lit(0))).alias("roc_auc"))
+    return steps.agg((area / F.nullif(F.max(F.col("all_pos") * F.col("all_neg")), F.lit(0))).alias("roc_auc"))
 
 
-def pin_at_precision(df: DataFrame, score: str, label: str, target: float) -> DataFrame:
-    """The distinct score of best recall among those with precision >= target, ties to the lowest; no row if none."""
-    s = score_steps(df, score, label)
+def pin_of_steps(steps: DataFrame, target: float) -> DataFrame:
     tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
-    s = s.select("score", (tp / (tp + fp)).alias("precision"), (tp / F.nullif("all_pos", F.lit(0))).alias("recall")).where(F.col("precision") >= target)
+    s = steps.select("score", (tp / (tp + fp)).alias("precision"), (tp / F.nullif("all_pos", F.lit(0))).alias("recall")).where(F.col("precision") >= target)
     best = F.max_by(F.struct(F.col("score").alias("threshold"), "recall", "precision"), F.struct("recall", -F.col("score")))
     return s.agg(best.alias("b")).where("b is not null").select("b.*")
 
 
+def confusion_of_steps(steps: DataFrame, threshold: Column) -> DataFrame:
+    hit = S.is_positive(F.col("score"), threshold)
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    return steps.agg(total("pos", hit).alias("tp"), total("neg", hit).alias("fp"), total("neg", ~hit).alias("tn"), total("pos", ~hit).alias("fn"))
+
+
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Probability that a positive outscores a negative, ties half; null with one class."""
+    return auc_of_steps(score_steps(df, score, label))
+
+
+def pin_at_precision(df: DataFrame, score: str, label: str, target: float) -> DataFrame:
+    """The distinct score of best recall among those with precision >= target, ties to the lowest; no row if none."""
+    return pin_of_steps(score_steps(df, score, label), target)
+
+
 def first_by_hash(df: DataFrame, id_col: str, band: str, seed: int, quota: Column) -> DataFrame:
     """Adds _first: whether a row is among the first of its band in the order of md5(seed, id). ``quota`` says how many
     those are, from _n (rows of the band) and _total (all rows). Rows that repeat the last id taken are taken as well.
 
-    Rows are counted per band and range of the hash (a 4096th), and only the range that holds a band's last row is put in order.
-    All others are judged by comparing with that row, so no task holds a band and the rows aren't shuffled.
+    The table is read three times: rows are counted per band and range of the hash (a 4096th), the rows of the one range of
+    each band that holds its last row are put in order, and all are compared with the last rows, one per band.
+    So no task holds a band and the rows aren't shuffled.
     """
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
     rows = df.withColumn("_k", key).withColumn("_r", F.substring("_k", 1, 3))
-    per = rows.groupBy(F.col(band).alias("_b"), "_r").agg(F.count("*").alias("_c"))  # as many rows as bands times ranges
+    per = saved(rows.groupBy(F.col(band).alias("_b"), "_r").agg(F.count("*").alias("_c")), "hash-ranges")  # as many rows as bands times ranges
     sizes = per.groupBy("_b").agg(F.sum("_c").alias("_n")).withColumn("_total", F.sum("_n").over(Window.partitionBy()))  # one row per band
-    sizes = sizes.select("_b", "_n", quota.alias("_q"))
+    sizes = saved(sizes.select("_b", quota.alias("_q")), "quotas")
     before = F.sum("_c").over(Window.partitionBy("_b").orderBy("_r")) - F.col("_c")
     ranges = per.withColumn("_before", before).join(sizes.withColumnRenamed("_b", "_s"), F.col("_b").eqNullSafe(F.col("_s")))
     ranges = ranges.where("_before < _q and _q <= _before + _c").select("_b", F.col("_r").alias("_at"), (F.col("_q") - F.col("_before")).alias("_left"))
     same = F.col(band).eqNullSafe(F.col("_b"))
-    near = rows.join(small(ranges), same & (F.col("_r") == F.col("_at")))
+    near = rows.join(ranges, same & F.col("_r").eqNullSafe(F.col("_at")))
     place = F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col))
     last = near.withColumn("_place", place).where("_place = _left").select(F.col("_b").alias("_s"), F.struct(F.col("_k"), F.col(id_col).alias("_i")).alias("_last"))
-    cuts = sizes.join(last, F.col("_b").eqNullSafe(F.col("_s")), "left").select("_b", "_last", (F.col("_q") > 0).alias("_some"))
-    rows = rows.drop("_r").join(small(cuts), same)
+    cuts = saved(sizes.join(last, F.col("_b").eqNullSafe(F.col("_s")), "left").select("_b", "_last", (F.col("_q") > 0).alias("_some")), "cuts")
+    rows = rows.drop("_r").join(small(cuts), same)  # counted in a written table of a row per band
     first = F.col("_some") & F.coalesce(F.struct(F.col("_k"), F.col(id_col).alias("_i")) <= F.col("_last"), F.lit(False))
     return rows.withColumn("_first", first).drop("_k", "_b", "_last", "_some")
 
@@ -141,7 +157,7 @@ def capture_split(reviews: DataFrame, id_col: str, band: str, ratio: float, seed
 
     The id of the split is an md5 over seed, time and an order-free digest of each side.
     """
-    rows = stratified_split(reviews, id_col, band, ratio, seed)
+    rows = saved(stratified_split(reviews.select(id_col, band), id_col, band, ratio, seed), "split")  # named and numbered from here
     digest = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.xxhash64(id_col).cast("decimal(20,0)"))), F.lit(0)).cast("string")
     name = rows.agg(F.md5(F.concat_ws("|", F.lit(str(seed)), F.unix_micros(captured_at).cast("string"), F.count_if(F.col("side") == "train").cast("string"), digest("train"), digest("test"))).alias("split_id"))
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
@@ -150,41 +166,57 @@ def capture_split(reviews: DataFrame, id_col: str, band: str, ratio: float, seed
     return rows.crossJoin(F.broadcast(name)).select("split_id", F.lit(seed).alias("seed"), captured_at.alias("captured_at"), "side", band, "ordinal", id_col)  # one row joined on
 
 
-def score_items(df: DataFrame, scorer: Callable, retries: int = 3, id_col: str = "item_id", payload: str = "payload") -> DataFrame:
-    """(id, score, outcome, tokens_in, tokens_out) by a callable payload -> (answer, in, out).
+def score_items(df: DataFrame, scorer: Callable, retries: int = 3, id_col: str = "item_id", payload: str = "payload", calls: int = 1, tasks: int | None = None, wait: float = 0.0, longest: float = 30.0) -> DataFrame:
+    """(id, score, outcome, tokens_in, tokens_out, error) by a callable payload -> (answer, in, out).
 
-    A failed call is tried again; after that the score is 0 and the outcome ``fallback``.
-    Results carry ids, so a task that Spark repeats leads to the same merge.
+    Each task has up to ``calls`` calls in flight (the callable then runs in threads); with ``tasks`` the rows are dealt into that many
+    tasks, so the whole job has at most ``tasks * calls``. A failed call is tried again after a wait that doubles
+    each time, from ``wait`` up to ``longest`` seconds; after the last try the score is 0, the outcome ``fallback`` and ``error`` says why.
+    Rows come out in the order they went in and carry ids, so a task that Spark repeats leads to the same merge.
     """
 
+    def attempt(value):
+        import time
+
+        error = "no try was made"
+        for k in range(retries):
+            try:
+                answer, given, got = scorer(value)
+                return float(answer), "scored" if k == 0 else "retried", given, got, None
+            except (OSError, TimeoutError, ValueError) as e:
+                error = type(e).__name__
+                if k + 1 < retries and wait > 0:
+                    time.sleep(min(longest, wait * 2**k))
+        return 0.0, "fallback", 0, 0, error
+
     def run(batches: Iterator) -> Iterator:
+        from concurrent.futures import ThreadPoolExecutor
+
         import pandas as pd
 
-        for pdf in batches:
-            rows = []
-            for key, value in zip(pdf["id"], pdf["payload"], strict=True):
-                row = (key, 0.0, "fallback", 0, 0)
-                for attempt in range(retries):
-                    try:
-                        answer, given, got = scorer(value)
-                        row = (key, float(answer), "scored" if attempt == 0 else "retried", given, got)
-                        break
-                    except (OSError, TimeoutError, ValueError):
-                        continue
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["id", "score", "outcome", "tokens_in", "tokens_out"])
+        with ThreadPoolExecutor(max(1, calls)) as pool:
+            for pdf in batches:
+                done = list(pool.map(attempt, pdf["payload"]))  # in the order of the rows, whichever call ends first
+                rows = [(key, *one) for key, one in zip(pdf["id"], done, strict=True)]
+                yield pd.DataFrame(rows, columns=["id", "score", "outcome", "tokens_in", "tokens_out", "error"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(payload).alias("payload"))
+    if tasks is not None:
+        src = src.repartition(tasks)
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInPandas(run, f"id {kind}, score float, outcome string, tokens_in long, tokens_out long").withColumnRenamed("id", id_col)
+    return src.mapInPandas(run, f"id {kind}, score float, outcome string, tokens_in long, tokens_out long, error string").withColumnRenamed("id", id_col)
 
 
 def evaluate_run(scored: DataFrame, threshold: float, target: float = 0.8) -> DataFrame:
-    """One row: confusion, precision, recall, F1, AUC and the pinned threshold."""
-    base = prf(confusion(scored, "score", "positive", F.lit(threshold)))
-    pinned = pin_at_precision(scored, "score", "positive", target).select(F.struct("threshold", "recall").alias("pinned"))
+    """One row: confusion, precision, recall, F1, AUC and the pinned threshold, all from one table of score steps.
+
+    Items without a score or a label don't count.
+    """
+    steps = saved(score_steps(scored, "score", "positive"), "steps")
+    base = prf(confusion_of_steps(steps, F.lit(threshold)))
+    pinned = pin_of_steps(steps, target).select(F.struct("threshold", "recall").alias("pinned"))
     one = pinned.agg(F.first("pinned").alias("pinned"))
-    return base.crossJoin(roc_auc(scored, "score", "positive")).crossJoin(one)  # one row each
+    return base.crossJoin(auc_of_steps(steps)).crossJoin(one)  # one row each
 
 
 def train_select(candidates: DataFrame, baseline_recall: float, tolerance: float = 0.01) -> DataFrame:
@@ -250,8 +282,3 @@ def promote(labels: DataFrame, registry: DataFrame, label: str, version: str) ->
     ok = F.when(~F.col("known"), F.raise_error(F.lit(f"{version} isn't registered")).cast("string")).otherwise(F.lit(version))
     new = known.select(F.lit(label).alias("label"), ok.alias("version"))
     return labels.where(F.col("label") != label).select("label", "version").unionByName(new)
-
-
-def item_ids(df: DataFrame, seed: Column, captured_at: Column) -> Column:
-    """F10 for splits small enough to be arrays."""
-    return ids.split_id(seed, captured_at, F.col("train"), F.col("test"))

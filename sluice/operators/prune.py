@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from sluice.functions import geometry as G
 from sluice.functions import ids
 from sluice.functions import scoring as S
+from sluice.operators.shared import saved
 
 #: Labels that exclude a post.
 EXCLUDED_LABELS = ("porn", "sexual", "nudity", "!no-unauthenticated")
@@ -21,6 +24,8 @@ EVENT_SCHEMA = """
                      media:struct<images:array<struct<image:struct<ref:struct<`$link`:string>, cid:string>>>>>>>
 """
 THREAD_LABELS = "struct<labels:array<struct<val:string>>, author:struct<labels:array<struct<val:string>>>, embed:struct<record:struct<record:struct<author:struct<labels:array<struct<val:string>>>>>>>"
+#: Boxes of an item up to which it is judged in one row.
+FEW_BOXES = 64
 CID = "^[A-Za-z0-9]{4,}$"
 
 
@@ -144,29 +149,70 @@ def counter_deltas(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return df.withColumn("delta", F.greatest(F.col(value) - before, F.lit(0))).where("delta > 0").select(key, ts, "delta")
 
 
-def suppress(boxes: DataFrame, key: str = "item_id", limit: float = 0.3) -> DataFrame:
-    """(key, x, y, width, height, score) without boxes that a better one of the same item overlaps.
+def suppress(boxes: DataFrame, key: str = "item_id", limit: float = 0.3, few: int = FEW_BOXES) -> DataFrame:
+    """The boxes (key, x, y, width, height, score) without those that a better one of the same item overlaps by more than ``limit``.
 
-    Greedy by score (ties by place); an item's boxes are few, so each item is one small group.
+    Better is: higher score, then smaller x, y, width, height; of boxes that are alike in all of these one stays. An item of at most ``few``
+    boxes is judged in one row, best first. Items with more go through rounds over a grid (``suppress_by_rounds``), so no item is one task.
     """
-
-    def greedy(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(["score", "x", "y"], ascending=[False, True, True])
-        x, y, w, h = (pdf[c].to_numpy(float) for c in ("x", "y", "width", "height"))
-        keep: list[int] = []
-        for i in range(len(pdf)):
-            k = np.array(keep, int)
-            dx = np.minimum(x[i] + w[i], x[k] + w[k]) - np.maximum(x[i], x[k])
-            dy = np.minimum(y[i] + h[i], y[k] + h[k]) - np.maximum(y[i], y[k])
-            both = np.maximum(dx, 0) * np.maximum(dy, 0)
-            union = w[i] * h[i] + w[k] * h[k] - both
-            if not (np.divide(both, union, out=np.zeros_like(both), where=union > 0) > limit).any():
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    return boxes.groupBy(key).applyInPandas(greedy, boxes.schema)
+    many = boxes.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(F.col(key).alias("_k"))
+    many = saved(many, "crowded")  # seldom any
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    small = boxes.join(many, same, "left_anti")
+    cols = [c for c in boxes.columns if c != key]
+    order = F.struct((-F.col("score")).alias("s"), "x", "y", "width", "height", F.struct(*cols).alias("box"))
+    lists = small.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("all"))
+    kept = F.aggregate(F.col("all")["box"], F.slice(F.col("all")["box"], 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: G.iou(k, b) > limit), kept).otherwise(F.concat(kept, F.array(b))))
+    out = lists.select(key, F.explode(kept).alias("box")).select(key, "box.*").select(*boxes.columns)
+    if many.isEmpty():
+        return out
+    return out.unionByName(suppress_by_rounds(boxes.join(many, same, "left_semi"), key, limit))
+
+
+def suppress_by_rounds(boxes: DataFrame, key: str = "item_id", limit: float = 0.3) -> DataFrame:
+    """W15 for items of any number of boxes, by rounds of dominance over a grid.
+
+    Two boxes that overlap by more than ``limit`` differ in width, and in height, by a factor below 1 / limit. So sizes fall into
+    classes of that factor, such boxes into the same or neighbouring classes, and in a grid of the larger class's size into the
+    same or neighbouring cells. In each round, boxes that are the best undecided ones of their cells and of the cells around stay, and
+    what they overlap goes. Nothing is compared but such boxes with those around them, however crowded a cell is. There are
+    as many rounds as the longest chain of cells of which each has a better box than the next. Boxes without an area overlap nothing and stay.
+    """
+    cols, factor = boxes.columns, 1 / limit
+    flat = (F.col("width") <= 0) | (F.col("height") <= 0)
+    rank = F.struct((-F.col("score")).alias("s"), "x", "y", "width", "height", F.col("_id").alias("i"))
+    size = lambda c: F.floor(F.log(F.col(c).cast("double")) / math.log(factor)).cast("int")
+    cell = lambda c, k: F.floor(F.col(c) / (F.pow(F.lit(factor), F.col(k) + 1) * 1.01)).cast("long")  # noqa: E731  room for rounding
+    state = boxes.where(~flat).withColumns({"_w": size("width"), "_h": size("height")})
+    state = saved(state.withColumn("_id", F.monotonically_increasing_id()), "boxes")
+    place = [key, "gw", "gh", "cx", "cy"]
+
+    def homes(df: DataFrame) -> DataFrame:
+        """A row for each of the four grids that a box takes part in (its own classes and the next larger ones), with its cell."""
+        up = lambda c: F.explode(F.array(F.col(c), F.col(c) + 1))
+        return df.withColumn("gw", up("_w")).withColumn("gh", up("_h")).withColumns({"cx": cell("x", "gw"), "cy": cell("y", "gh")})
+
+    def around(df: DataFrame) -> DataFrame:
+        """The same for each of the nine cells around."""
+        step = lambda: F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+        return homes(df).withColumn("dx", step()).withColumn("dy", step()).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Rows of the same item, grid and cell; a null item is one as well."""
+        b = b.withColumnsRenamed({c: f"_{c}" for c in place})
+        return a.join(b, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]))
+
+    stay = boxes.where(flat).select(*cols)
+    while not state.isEmpty():
+        best = homes(state).withColumn("rank", rank).groupBy(*place).agg(F.min("rank").alias("top"))
+        first = best.groupBy(F.col("top.i").alias("_id")).agg(F.count("*").alias("n")).where("n = 4").select("_id")
+        least = meet(around(state.join(first, "_id").withColumn("rank", rank)), best).groupBy("_id").agg(F.first("rank").alias("rank"), F.min("top").alias("least"))
+        new = saved(state.join(least.where("least = rank").select("_id"), "_id"), "staying")
+        stay = stay.unionByName(new.select(*cols))
+        near = around(new).select(*place, F.struct("x", "y", "width", "height").alias("kept"), F.col("_id").alias("kept_id"))
+        hit = meet(homes(state), near).where((F.col("_id") == F.col("kept_id")) | (G.iou(F.struct("x", "y", "width", "height"), F.col("kept")) > limit))
+        state = saved(state.join(hit.select("_id").distinct(), "_id", "left_anti"), "undecided")
+    return stay
 
 
 def union_share(items: DataFrame, width: int, height: int, key: str = "item_id") -> DataFrame:

@@ -20,13 +20,14 @@ def small(df: DataFrame, rows: int = REGISTRY_ROWS) -> DataFrame:
 def number_in_pieces(df: DataFrame, group: str, piece: Column, order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: 1, 2, ... within each group in the given order, of which ``piece`` must be a coarser, rising form.
 
-    Rows are numbered inside their piece and the counts of the pieces before are added, so no task sorts a whole group.
+    Rows are numbered inside their piece and the counts of the pieces before are added, so no task sorts a whole group. A
+    null group, and a null piece (the first of its group), are like any other. ``df`` is read twice: hand in a written table.
     """
     rows = df.withColumn("_piece", piece)
     counts = rows.groupBy(F.col(group).alias("_g"), F.col("_piece").alias("_p")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_p")) - F.col("_n")  # one row per group and piece
     counts = counts.select("_g", "_p", before.alias("_before"))
-    rows = rows.join(counts, (F.col(group) == F.col("_g")) & (F.col("_piece") == F.col("_p")))
+    rows = rows.join(counts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_piece").eqNullSafe(F.col("_p")))
     place = F.row_number().over(Window.partitionBy(group, "_piece").orderBy(*order))
     return rows.withColumn(name, (F.col("_before") + place).cast("long")).drop("_piece", "_g", "_p", "_before")
 
@@ -89,6 +90,14 @@ def representatives(banded: DataFrame, keep: list[str]) -> DataFrame:
     return banded.groupBy("group_id").agg(F.min_by(F.struct("item_id", *keep), order).alias("best")).select("group_id", "best.*")
 
 
+def visible_representatives(banded: DataFrame, keep: list[str]) -> DataFrame:
+    """The representatives of the visible groups, from one aggregate per group."""
+    order = F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i"))
+    rank = F.least(F.min("item_rank"), F.min("group_rank"))
+    each = banded.groupBy("group_id").agg(F.min_by(F.struct("item_id", *keep), order).alias("best"), rank.alias("rank"))
+    return each.where(S.is_visible(F.col("rank"))).select("group_id", "best.*")
+
+
 def posts_only(df: DataFrame) -> DataFrame:
     """P16."""
     return df.where(ids.parse_group(F.col("group_id"))["collection"] == ids.POST_COLLECTION)

@@ -14,6 +14,7 @@ from sluice.functions import ids
 from sluice.functions import scoring as S
 from sluice.operators import store
 from sluice.operators import views as V
+from sluice.operators.shared import saved
 
 LIST_COLUMNS = ["list", "position", "image_url", "item_id", "group_id", "group_exists", "url_exists", "live"]
 #: Fixed value: the list that is shown if none is asked for, where it is published.
@@ -40,18 +41,18 @@ def publish_lists(items: DataFrame, scores: DataFrame, registry: DataFrame, item
     what is known; with a ``checker`` (X3) it is what that makes of the lists' distinct (item_id, group_id), image_url.
     A column ``dimensions`` of the existence table comes along.
 
-    ``now`` is a one-row table with column ``now``. Visibility is judged over the widest
-    window; representatives are chosen before each list's own window; items without an address go
-    after that. ``specs`` has a row per list, so meeting each representative multiplies rows
-    by the few lists that are kept. Positions are numbered by pieces of each list.
+    ``now`` is a one-row table with column ``now``; its value becomes a literal, so cutoffs reach the scan. Visibility
+    is judged over the widest window; representatives are chosen before each list's own window, both in one aggregate per
+    group; items without an address go after that. ``specs`` has a row per list, so meeting each representative multiplies rows
+    by the few lists that are kept. What is left is saved once and numbered by pieces of each list, so
+    each table is read once.
     """
-    widest = specs.agg(F.max("seconds").alias("widest")).crossJoin(now).select(ago(F.col("now"), F.col("widest")).alias("cutoff"))  # one row
-    recent = items.join(F.broadcast(widest), F.col("original_at") >= F.col("cutoff")).drop("cutoff")
+    moment = literal(now, "now")
+    widest = specs.agg(F.max("seconds")).first()[0]  # one number
+    recent = items.where(F.col("original_at") >= ago(moment, F.lit(widest)))
     banded = V.with_bands(V.with_scores(recent, V.known_scores(scores, registry)), registry, item_reviews, group_reviews)
-    chosen = V.representatives(banded, ["original_at", "score", "normalized", "decision_threshold", "group_rank", "item_rank"])
-    chosen = V.posts_only(chosen.join(V.visible_groups(banded), "group_id", "left_semi"))
-    each = V.small(specs).crossJoin(F.broadcast(now))
-    rows = chosen.join(F.broadcast(each), F.col("original_at") >= ago(F.col("now"), F.col("seconds")))
+    chosen = V.posts_only(V.visible_representatives(banded, ["original_at", "score", "normalized", "decision_threshold", "group_rank", "item_rank"]))
+    rows = chosen.join(V.small(specs), F.col("original_at") >= ago(moment, F.col("seconds")))
     rows = rows.withColumn("image_url", resolver(F.col("group_id"), F.col("item_id"))).where("image_url is not null")
     band = F.coalesce(F.least("group_rank", "item_rank"), "item_rank")
     quality = F.col("order") == "quality"
@@ -59,12 +60,19 @@ def publish_lists(items: DataFrame, scores: DataFrame, registry: DataFrame, item
     order = [F.desc_nulls_last("k1"), F.desc_nulls_last("k2"), F.desc_nulls_last("k3"), F.asc("item_id"), F.asc("group_id")]
     best = F.coalesce(F.col("k1"), F.lit(-1)) * (SCORE_STEPS + 2) + F.coalesce(F.floor(F.col("k2").cast("double") * SCORE_STEPS), F.lit(-1))
     piece = -F.when(quality, best).otherwise(F.floor(F.unix_seconds(F.col("k3").cast("timestamp")) / RECENCY_SECONDS))
-    rows = V.number_in_pieces(rows.withColumns(keys), "list", piece, order, "position")
+    rows = saved(rows.withColumns(keys).select("list", "order", "image_url", "item_id", "group_id", *keys), "listed")
+    rows = V.number_in_pieces(rows, "list", piece, order, "position")
     if checker is not None:
         existence = checker(rows.select("item_id", "group_id", "image_url").distinct())
     return V.with_existence(rows, existence).select(*LIST_COLUMNS, *(["dimensions"] if "dimensions" in existence.columns else []))
 
 
+def literal(one_row: DataFrame, name: str) -> Column:
+    """The value in a one-row table, as a literal of its type."""
+    value = one_row.select(F.col(name).cast("string")).first()
+    return F.lit(value[0] if value else None).cast(one_row.schema[name].dataType)
+
+
 def list_statistics(lists: DataFrame, stats: DataFrame, specs: DataFrame, now: DataFrame) -> DataFrame:
     """Per list examined, found, exists, match percent and the next match's prediction.
 
@@ -164,6 +172,12 @@ def read_list(spark: SparkSession, path: str, name: str) -> DataFrame:
     return rows.withColumn("refreshed_at", F.lit(now["refreshed_at"])).orderBy("position")
 
 
+def read_all(spark: SparkSession, path: str) -> tuple[DataFrame, object]:
+    """(rows of all current lists, refreshed_at)."""
+    now = _current(spark, path)
+    return spark.read.schema(StructType.fromJson(json.loads(now["schema"]))).parquet(f"{path}/versions/{now['version']}/lists"), now["refreshed_at"]
+
+
 def read_statistics(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     """The current statistics of a list, no row if it has none; None if none were ever written."""
     now = _current(spark, path)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from sluice.operators import evaluate, prune, store, views
+from sluice.operators import evaluate, prune, store, telemetry, views
+from sluice.operators.shared import saved
 from sluice.streaming import observed
 
+#: Bounds of the histogram of a tick's scores.
+SCORE_BOUNDS = tuple(k / 10 for k in range(1, 11))
+
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Landed event files as a stream of parsed events; the checkpoint holds the cursor."""
@@ -68,19 +73,40 @@ def interval_tallies(stream: DataFrame, ts: str = "event_time", delay: str = "30
     return counts.select(F.col("window.start").alias("interval_start"), F.col("window.end").alias("interval_end"), "seen", "examined", "saved")
 
 
-def refine_tick(items: DataFrame, scores: DataFrame, scorer: Callable, model_version: str, since: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new scores table, outcome counts, next watermark) of one tick.
+@dataclass
+class Tick:
+    """C4: what a tick of refinement comes to."""
+
+    scores: DataFrame  # the table of scores with the new ones
+    outcomes: DataFrame  # (outcome, n)
+    watermark: DataFrame  # one row: where the next tick begins
+    errors: DataFrame  # (reason, n) of what got no score
+    histogram: DataFrame  # (le, n) of the new scores
+    counts: DataFrame  # one row: unscored, scored, errors, remaining
+
+
+def run_tick(items: DataFrame, scores: DataFrame, scorer: Callable, model_version: str, since: Column | None = None, bounds: tuple[float, ...] = SCORE_BOUNDS, **calls) -> Tick:
+    """One tick. The backlog is scored once and saved; all tables come from there.
 
     Fallback scores aren't saved, so their items stay in the backlog. The watermark is the
-    oldest discovered_at that is still open, else the newest seen.
+    oldest discovered_at that is still open, else the newest seen. ``calls`` go to ``score_items``.
     """
     backlog = views.unscored(items, scores, since)
-    done = evaluate.score_items(backlog, scorer).withColumn("model_version", F.lit(model_version))
-    good = done.where("outcome <> 'fallback'").select("item_id", "score", "model_version")
-    merged = store.upsert(scores.select("item_id", "score", "model_version"), good, "item_id")
-    open_items = backlog.join(good.select("item_id"), "item_id", "left_anti").agg(F.min("discovered_at").alias("open"))
-    mark = open_items.crossJoin(backlog.agg(F.max("discovered_at").alias("newest"))).select(F.coalesce("open", "newest").alias("watermark"))  # one row each
-    return merged, done.groupBy("outcome").agg(F.count("*").alias("n")), mark
+    done = evaluate.score_items(backlog, scorer, **calls).join(backlog.select("item_id", "discovered_at"), "item_id")
+    done = saved(done.withColumn("model_version", F.lit(model_version)), "tick")
+    good = done.where("outcome <> 'fallback'")
+    merged = store.upsert(scores.select("item_id", "score", "model_version"), good.select("item_id", "score", "model_version"), "item_id")
+    failed = F.col("outcome") == "fallback"
+    counts = done.agg(F.count("*").alias("unscored"), F.count_if(~failed).alias("scored"), F.count_if(failed).alias("errors")).withColumn("remaining", F.col("unscored") - F.col("scored"))
+    mark = done.agg(F.coalesce(F.min(F.when(failed, F.col("discovered_at"))), F.max("discovered_at")).alias("watermark"))
+    errors = done.where(failed).groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n"))
+    return Tick(merged, done.groupBy("outcome").agg(F.count("*").alias("n")), mark, errors, telemetry.histogram(good, "score", list(bounds)), counts)
+
+
+def refine_tick(items: DataFrame, scores: DataFrame, scorer: Callable, model_version: str, since: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C4: (new scores table, outcome counts, next watermark) of ``run_tick``."""
+    tick = run_tick(items, scores, scorer, model_version, since)
+    return tick.scores, tick.outcomes, tick.watermark
 
 
 def refresh_cache(cache: DataFrame, probed: DataFrame, now: Column, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,11 @@ def original(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)\|", "$1|")
 
 
+def on_one_line(name: Column) -> Column:
+    """A name with its line breaks written as escapes, since a line break ends the head of a turn."""
+    return F.replace(F.replace(name, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+
+
 def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
     """(conv, speaker, turn, role, name, segment, start, length, mask_start, mask_length), one row per perspective and turn.
 
@@ -47,7 +52,7 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", spe
     own = F.col("by") == F.col("speaker")
     role = F.when(own, "assistant").when(F.col("by") == system, "system").otherwise("user")
     rows = rows.withColumns({"role": role, "name": F.when(role == "user", F.col("by"))})
-    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>"), F.coalesce(escaped(F.col("name")), F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>"), F.coalesce(on_one_line(escaped(F.col("name"))), F.lit("")), F.lit("\n"))
     rows = rows.withColumn("head", head).withColumn("segment", F.concat("head", escaped(F.col("content")), F.lit("<|end|>\n")))
     order = Window.partitionBy("conv", "speaker").orderBy("turn", "by", "content")
     length = F.length("segment").cast("long")
@@ -95,7 +100,7 @@ WITH t AS (
 ), r AS (
   SELECT t.conv_id, p.speaker, t.turn, t.who, t.content, t.who = p.speaker AS own,
          '<|' || CASE WHEN t.who = p.speaker THEN 'assistant' WHEN t.who = 'system' THEN 'system' ELSE 'user' END || '|>' ||
-         CASE WHEN t.who = p.speaker OR t.who = 'system' THEN '' ELSE replace(replace(t.who, '\|', '\\|'), '<|', '<\|') END || chr(10) AS head
+         CASE WHEN t.who = p.speaker OR t.who = 'system' THEN '' ELSE replace(replace(replace(replace(t.who, '\|', '\\|'), '<|', '<\|'), chr(13), '\r'), chr(10), '\n') END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), s AS (
   SELECT *, head || replace(replace(content, '\|', '\\|'), '<|', '<\|') || '<|end|>' || chr(10) AS segment,

@@ -66,6 +66,11 @@ class Workspace:
         self.paths[id(out)] = (out, path)
         return out
 
+    def view(self, df: DataFrame, other: DataFrame) -> DataFrame:
+        """``other``, which is ``df`` in another form, now stands for its folder."""
+        self.paths[id(other)] = (other, self.paths.pop(id(df))[1])
+        return other
+
     def drop(self, *dfs: DataFrame | None) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in dfs:
@@ -74,6 +79,11 @@ class Workspace:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
 
+    def keep(self, *dfs: DataFrame) -> None:
+        """Drops all tables but these, which are all that the result still reads."""
+        kept = {id(df) for df in dfs}
+        self.drop(*[df for k, (df, _) in list(self.paths.items()) if k not in kept])
+
 
 #: Whole texts are long: rows and bytes of an Arrow batch, where the session has Spark's own limits (the values before).
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}

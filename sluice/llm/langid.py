@@ -145,7 +145,7 @@ class Labeller:
                 self.scores[at], self.known[at] = total, n
         return at
 
-    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
+    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]], float]:
         """(language, its share of the letters times its likeness, spans as (first word, words, language))."""
         np = self.np
         if len(self.index) > CACHE_ENTRIES:
@@ -154,7 +154,7 @@ class Labeller:
         rows = np.array([index[w] if w in index else self.score(w) for w in found], np.int64)
         letters = self.letters[rows] if len(rows) else rows
         if not len(rows) or not letters.sum() or not self.model.langs:
-            return UNKNOWN, 0.0, []
+            return UNKNOWN, 0.0, [], 0.0
         path = self.viterbi(self.scores[rows])
         known = self.known[rows]
         per = np.bincount(path, weights=known, minlength=len(self.model.langs))
@@ -162,7 +162,8 @@ class Labeller:
         edges = np.flatnonzero(np.diff(path)) + 1
         starts = [0, *edges.tolist(), len(path)]
         spans = [(a, b - a, self.model.langs[path[a]]) for a, b in zip(starts, starts[1:], strict=False)]
-        return self.model.langs[best], float(per[best] / letters.sum()) * self.likeness(rows[(path == best) & (known > 0)], best), spans
+        share = [float(per[k] / letters.sum()) * self.likeness(rows[(path == k) & (known > 0)], k) if per[k] else 0.0 for k in range(len(per))]
+        return self.model.langs[best], share[best], spans, min(1.0, sum(share))
 
     def likeness(self, rows, k: int) -> float:
         """From 0 to 1, how far the n-grams of words in language k lie above the level of a foreign language."""
@@ -204,7 +205,8 @@ class Labeller:
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, spans) of every row, from its whole text alone.
+    """(id, lang_pred, score, learned, spans) of every row, from its whole text alone. ``score`` is the share of letters of
+    the language that has most, ``learned`` that of all languages together, each times how like the language its words are.
 
     A null text, or one without a letter, is ``und`` with score 0 and no spans. Repeated rows
     and null ids come back as they are; other columns aren't read, but those in ``carry`` come
@@ -224,14 +226,14 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
                     batch = whole.slice(at, 1000)
                     found = [labeller.label(t) for t in batch.column(1).to_pylist()]
                     spans = pa.array([[{"first_word": a, "n_words": n, "lang": x} for a, n, x in f[2]] for f in found], kind)
-                    out = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans]
+                    out = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64()), spans]
                     if carry:
                         out += batch.columns[1:]
-                    yield pa.RecordBatch.from_arrays(out, names=["id", "lang_pred", "score", "spans", "text", "carried"][: len(out)])
+                    yield pa.RecordBatch.from_arrays(out, names=["id", "lang_pred", "score", "learned", "spans", "text", "carried"][: len(out)])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     kind = {f.name: f.dataType.simpleString() for f in src.schema}
-    schema = f"id {kind['id']}, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>"
+    schema = f"id {kind['id']}, lang_pred string, score double, learned double, spans array<struct<first_word:int,n_words:int,lang:string>>"
     schema += f", text string, carried {kind['carried']}" if carry else ""
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

@@ -320,7 +320,7 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
         work.drop(old)
         now = token(edges)
         if now == before:
-            return edges.selectExpr("u as id", "v as root")
+            return work.view(edges, edges.selectExpr("u as id", "v as root"))
         before = now
 
 
@@ -354,8 +354,10 @@ def link(docs: DataFrame, rules: Banding, work: Workspace) -> tuple[DataFrame, D
             break
     open_sets = work.save(kernels(sets, roots, rules), "kernels")
     more = work.save(verify(pairs_across(hits, open_sets, rules, work), sets, rules), "links")
-    roots = components(reduce(DataFrame.union, [*links, more, copies]), work)
-    return sign.select("id", "n_shingles"), roots
+    roots, old = components(reduce(DataFrame.union, [*links, more, copies]), work), roots
+    work.drop(old)
+    counts = work.view(sign, sign.select("id", "n_shingles"))
+    return counts, roots
 
 
 def near_duplicates(df: DataFrame, rules: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,6 +374,7 @@ def near_duplicates(df: DataFrame, rules: Banding = Banding(), id_col: str = "do
     repeated = docs.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         sign, roots = link(docs, rules, work)
+        work.keep(sign, roots)
         out = sign.join(roots, "id", "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
     else:  # each row is a document of its own, linked with the others of its id
         rows = docs.select(F.when(F.col("id").isNotNull(), F.monotonically_increasing_id()).alias("row"), "id", "text")
@@ -380,6 +383,7 @@ def near_duplicates(df: DataFrame, rules: Banding = Banding(), id_col: str = "do
         first = rows.groupBy("id").agg(F.min("row").alias("first"))
         same = rows.join(first, "id").where("row <> first").select(F.col("row").alias("x"), F.col("first").alias("y"))
         roots = components(roots.selectExpr("id as x", "root as y").union(same), work)
+        work.keep(rows, sign, roots)
         found = sign.withColumnRenamed("id", "row").join(rows.select("row", "id"), "row", "left").join(roots.withColumnRenamed("id", "row"), "row", "left")
         found = found.withColumn("root", F.coalesce("root", "row"))
         least = found.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))

@@ -7,13 +7,14 @@ frequent. It stores the rules, the number of ids that each rule stands for, and
 sequence; the sums of those numbers say where any id is, so that a range is decoded without
 the rest. Blocks are rows of Parquet, which Spark commits task by task on any file system.
 
-Encoding calls the library once per distinct piece of text that a task hasn't met lately: a
-text may be cut before every space that a non-space follows, since no pretoken of a
-byte-level tokenizer with this pattern reaches over such a place, and none looks past it.
+Encoding asks the library for words that a task hasn't met lately: a text may be cut before every
+space that a non-space follows, since no pretoken of a byte-level tokenizer with this pattern
+reaches over such a place, and none looks past it.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,11 +25,15 @@ from pyspark.sql import functions as F
 from sluice.llm.common import scratch, table, without_gc
 
 #: Ids of a block (one longer document is a block of its own), least uses of a rule, rounds of pairs.
-BLOCK_IDS, LEAST_USES, ROUNDS = 1 << 18, 8, 12
-#: Pieces of text that a task remembers, and characters up to which it does.
-MEMO_PIECES, MEMO_CHARS = 1 << 19, 40
-#: Before a space that neither white space nor an ASCII control character follows.
-CUT = re.compile(r"(?= [^\s\x00-\x20\x7f-\xa0])")
+BLOCK_IDS, LEAST_USES, ROUNDS = 1 << 18, 8, 4
+#: Bits of the hash that finds pairs which may be frequent.
+HASH_BITS = 18
+#: Words of a generation of a task's memory, characters up to which a word is kept, words encoded by one call.
+MEMO_WORDS, MEMO_CHARS, JOINED_WORDS = 350_000, 40, 2_000
+#: Texts and characters that are encoded at once.
+BATCH_TEXTS, BATCH_CHARS = 1_024, 4_000_000
+#: What a space can be cut off before: neither white space nor a control character.
+CUT = re.compile(r"[^\s\x00-\x20\x7f-\xa0]")
 BLOCK = "part int, block int, at long, n_ids long, first_doc long, last_doc long, doc_ids array<long>, counts array<int>, base int, width int, rules binary, lengths binary, sequence binary"
 
 
@@ -42,46 +47,82 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian 32-bit numbers, by the library, with a bounded memory of pieces."""
+    """Ids of texts by the library, as bytes of little-endian numbers of ``width`` bytes, with a bounded memory of words.
+
+    A word is what lies between two places to cut, without its space. Words that a batch doesn't know are encoded by
+    one call for many, joined as they would be in a text; the bytes that each id stands for tell where a word ends.
+    Words live in two generations: one that is met again moves to the young one, and when that is full the old one goes.
+    """
 
     def __init__(self, path: str):
-        self.t = tokenizer(path)
-        self.words: dict[str, bytes | None] = {}  # by what follows a space; None: the text must be cut with care
-        self.pieces: dict[str, bytes] = {}
+        import os
+
+        import numpy as np
 
-    def _ask(self, pieces: list[str]) -> list[bytes]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
+        self.t = tokenizer(path)
+        vocab = self.t.get_vocab()
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # in a byte-level vocabulary each character is a byte
+        for token, k in vocab.items():
+            self.sizes[k] = len(token)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
         import numpy as np
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space."""
+        import numpy as np
 
-    def _learn(self, pieces: set[str], memo: dict, prefix: str) -> list[str]:
-        """Remembers the ids of the pieces that are new; returns those too long to be worth keeping."""
-        new = [p for p in pieces if p not in memo]
-        if prefix:
-            memo.update((p, None) for p in new if not CUT.match(prefix + p))
-            new = [p for p in new if p not in memo]
-        memo.update(zip(new, self._ask([prefix + p for p in new]), strict=True))
-        return [p for p in new if len(p) > MEMO_CHARS]
+        ids = np.array(self.t.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        ends = self.width * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _learn(self, parts: list[list[str]]) -> list[str]:
+        """Has the ids of all words after the first of each text in the young memory; returns what hardly comes again.
+        None stands for what a space can't be cut off before."""
+        distinct: set[str] = set()
+        for p in parts:
+            distinct.update(p[1:])
+        if len(self.young) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = distinct.difference(young)
+        again = new.intersection(old)
+        young.update((w, old[w]) for w in again)
+        fresh = list(new.difference(again))
+        odd = [w for w in fresh if not CUT.match(w)]
+        if odd:
+            young.update(dict.fromkeys(odd))
+            fresh = [w for w in fresh if w not in young]
+        for k in range(0, len(fresh), JOINED_WORDS):
+            some = fresh[k : k + JOINED_WORDS]
+            young.update(zip(some, self._joined(some), strict=True))
+        return [w for w in new if len(w) > MEMO_CHARS]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        for memo in (self.words, self.pieces):
-            if len(memo) > MEMO_PIECES:
-                memo.clear()
         parts = [x.split(" ") for x in texts]
-        long_words = self._learn({w for p in parts for w in p[1:]}, self.words, " ")
-        long_pieces = self._learn({p[0] for p in parts}, self.pieces, "")
-        out = []
+        rare = self._learn(parts)
+        heads = list({p[0] for p in parts})
+        first = dict(zip(heads, self._each(heads), strict=True))
+        ids_of, out = self.young.__getitem__, []
         for text, p in zip(texts, parts, strict=True):
             try:
-                out.append(b"".join([self.pieces[p[0]], *map(self.words.__getitem__, p[1:])]))
+                out.append(first[p[0]] + b"".join(map(ids_of, p[1:])))
             except TypeError:  # a None: the text has a space that isn't a place to cut
-                own = CUT.split(text)
-                long_pieces += self._learn(set(own), self.pieces, "")
-                out.append(b"".join(map(self.pieces.__getitem__, own)))
-        for memo, pieces in ((self.words, long_words), (self.pieces, long_pieces)):
-            for k in pieces:
-                del memo[k]
+                out += self._each([text])
+        for w in rare:
+            del self.young[w]
         return out
 
 
@@ -93,38 +134,48 @@ def compress(ids, base: int, least: int = LEAST_USES, rounds: int = ROUNDS):
     """
     import numpy as np
 
-    seq, rules = np.asarray(ids, np.int64), []
+    seq, rules = np.asarray(ids, np.uint64), []
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        pairs, counts = np.unique(key, return_counts=True)
+        key = (seq[:-1] << np.uint64(32)) | seq[1:]
+        # counts by hash are never too small, so pairs that may be frequent are found without sorting all
+        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).view(np.int64)
+        places = np.flatnonzero(np.bincount(bucket, minlength=1 << HASH_BITS)[bucket] >= least)
+        found = key[places]
+        pairs, counts = np.unique(found, return_counts=True)
         often = counts >= least
         pairs, counts = pairs[often], counts[often]
         if not len(pairs):
             break
         rank_of = np.empty(len(pairs), np.int64)
         rank_of[np.lexsort((pairs, -counts))] = np.arange(len(pairs))
-        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        rank = np.where(pairs[at] == key, rank_of[at], len(pairs))
-        padded = np.concatenate([[len(pairs)], rank, [len(pairs)]])
-        take = (rank < len(pairs)) & (rank < padded[:-2]) & (rank <= padded[2:])
-        uses = np.bincount(rank[take], minlength=len(pairs))
-        take &= uses[np.minimum(rank, len(pairs) - 1)] >= least
-        named = np.flatnonzero(uses >= least)
-        if not len(named):
+        at = np.minimum(np.searchsorted(pairs, found), len(pairs) - 1)
+        hit = pairs[at] == found
+        rank = np.full(len(key) + 2, len(pairs), np.int64)  # one place more on either side
+        rank[places[hit] + 1] = rank_of[at[hit]]
+        places = places[hit]
+        own = rank[places + 1]
+        left = rank[places]
+        starts = np.maximum.accumulate(np.where(left == own, 0, places))  # where a run of one pair begins
+        take = (own <= left) & (own <= rank[places + 2]) & ((places - starts) % 2 == 0)
+        places, own = places[take], own[take]
+        uses = np.bincount(own, minlength=len(pairs))
+        named = uses >= least
+        if not named.any():
             break
-        name = np.zeros(len(pairs), np.int64)
-        name[named] = base + len(rules) + np.arange(len(named))
-        by_rank = np.empty(len(pairs), np.int64)
+        by_rank = np.empty(len(pairs), np.uint64)
         by_rank[rank_of] = pairs
+        name = (base + len(rules) + np.cumsum(named) - 1).astype(np.uint64)
         rules += [(p >> 32, p & 0xFFFFFFFF) for p in by_rank[named].tolist()]
-        places = np.flatnonzero(take)
-        seq[places] = name[rank[places]]
+        take = named[own]
+        places, own = places[take], own[take]
+        seq = seq.copy()
+        seq[places] = name[own]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
-    return np.array(rules, np.int64).reshape(-1, 2), seq
+    return np.array(rules, np.int64).reshape(-1, 2), seq.astype(np.int64)
 
 
 def rule_lengths(rules, base: int):
@@ -138,18 +189,24 @@ def rule_lengths(rules, base: int):
 
 
 def expand(sequence, rules, base: int):
-    """The ids that a sequence stands for: all rules in it are replaced at once, layer by layer."""
+    """The ids that a sequence stands for.
+
+    What each rule stands for is written out once, from the rules before it; the symbols of the sequence then pick their stretches.
+    """
     import numpy as np
 
     seq = np.asarray(sequence, np.int64)
-    while (named := seq >= base).any():
-        ends = np.cumsum(1 + named)
-        out = np.empty(int(ends[-1]), np.int64)
-        pair = rules[seq[named] - base]
-        out[ends[~named] - 1] = seq[~named]
-        out[ends[named] - 2], out[ends[named] - 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    rules = np.asarray(rules, np.int64)[: max(0, int(seq.max(initial=0)) - base + 1)]
+    texts: list[bytes] = []
+    for a, b in rules.tolist():
+        texts.append((texts[a - base] if a >= base else a.to_bytes(4, "little")) + (texts[b - base] if b >= base else b.to_bytes(4, "little")))
+    sizes = np.array([len(x) for x in texts], np.int64) // 4
+    flat = np.concatenate([np.frombuffer(b"".join(texts), "<u4"), seq.astype(np.uint32)])  # rules, then the sequence itself for plain ids
+    length, first = np.ones(len(seq), np.int64), len(flat) - len(seq) + np.arange(len(seq))
+    named = seq >= base
+    length[named], first[named] = sizes[seq[named] - base], (np.cumsum(sizes) - sizes)[seq[named] - base]
+    ends = np.cumsum(length)
+    return flat[np.repeat(first - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int64)
 
 
 def decode_range(sequence, rules, lengths, base: int, start: int, n: int):
@@ -172,6 +229,25 @@ def _numbers(data: bytes, width: int):
     return np.frombuffer(data, f"<u{width}").astype(np.int64)
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that words stay known from task to task."""
+    return Encoder(path)
+
+
+def _texts(batches: Iterator) -> Iterator:
+    """(ids, texts) of a bounded size from Arrow batches of both."""
+    for batch in batches:
+        docs, texts = batch.column(0).to_pylist(), batch.column(1)
+        at, n, chars = 0, 0, 0
+        for k in range(batch.num_rows):
+            chars += len(texts[k].as_buffer())
+            n += 1
+            if n >= BATCH_TEXTS or chars >= BATCH_CHARS or k == batch.num_rows - 1:
+                yield docs[at : k + 1], texts.slice(at, n).to_pylist()
+                at, n, chars = k + 1, 0, 0
+
+
 def write(docs: DataFrame, path: str, tokens: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the token-id file of ``docs`` below ``path``: blocks in ascending order of ids over (part, block).
 
@@ -186,35 +262,37 @@ def write(docs: DataFrame, path: str, tokens: str, end_id: int = 2, id_col: str
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokens), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokens), TaskContext.get().partitionId()
         base = max(encoder.t.get_vocab_size(), end_id + 1)
         shape = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}[k]) for n, k in (c.split(" ") for c in BLOCK.split(", "))])
-        end, held, total, block, at = np.array([end_id], "<u4").tobytes(), [], 0, 0, 0
+        size = 4 if end_id >= 1 << 16 else encoder.width
+        end, held, total, block, at = np.array([end_id], f"<u{size}").tobytes(), [], 0, 0, 0
 
         def flush():
             nonlocal held, total, block, at
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.frombuffer(b"".join(x for _, x in held), f"<u{size}")
             rules, sequence = compress(ids, base)
             width = 2 if base + len(rules) <= 1 << 16 else 4
             as_bytes = lambda a: a.astype(f"<u{width}").tobytes()
             known = [d for d, _ in held if d is not None]
             row = {
-                "part": part, "block": block, "at": at, "n_ids": len(ids), "first_doc": min(known, default=None), "last_doc": max(known, default=None), "doc_ids": [d for d, _ in held], "counts": [len(x) // 4 for _, x in held],
+                "part": part, "block": block, "at": at, "n_ids": len(ids), "first_doc": min(known, default=None), "last_doc": max(known, default=None), "doc_ids": [d for d, _ in held], "counts": [len(x) // size for _, x in held],
                 "base": base, "width": width, "rules": as_bytes(rules.ravel()), "lengths": rule_lengths(rules, base).astype("<u4").tobytes(), "sequence": as_bytes(sequence),
             }
             held, total, block, at = [], 0, block + 1, at + len(ids)
             return pa.RecordBatch.from_pylist([row], shape)
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                with without_gc():
-                    found = encoder.batch(some.column(1).to_pylist())
-                for doc, ids in zip(some.column(0).to_pylist(), found, strict=True):
-                    if held and total + len(ids) // 4 + 1 > BLOCK_IDS:
-                        yield flush()
-                    held.append((doc, ids + end))
-                    total += len(ids) // 4 + 1
+        for docs, texts in _texts(batches):
+            with without_gc():
+                found = encoder.batch(texts)
+            for doc, ids in zip(docs, found, strict=True):
+                if size > encoder.width:
+                    ids = np.frombuffer(ids, f"<u{encoder.width}").astype("<u4").tobytes()
+                n = len(ids) // size + 1
+                if held and total + n > BLOCK_IDS:
+                    yield flush()
+                held.append((doc, ids + end))
+                total += n
         if held:
             yield flush()
 
@@ -246,19 +324,22 @@ def read(spark: SparkSession, path: str, wanted: list[int] | None = None, ids: b
 
         for batch in batches:
             for b in range(batch.num_rows):
-                row = batch.slice(b, 1).to_pylist()[0]
-                rules = _numbers(row["rules"], row["width"]).reshape(-1, 2)
-                sequence, counts = _numbers(row["sequence"], row["width"]), np.array(row["counts"], np.int64)
+                row = {n: batch.column(k)[b] for k, n in enumerate(batch.schema.names)}
+                part, first, base, width = (row[n].as_py() for n in ("part", "at", "base", "width"))
+                rules, sequence = _numbers(row["rules"].as_py(), width).reshape(-1, 2), _numbers(row["sequence"].as_py(), width)
+                docs, counts = row["doc_ids"].values, row["counts"].values.to_numpy().astype(np.int64)
                 at = np.cumsum(counts) - counts
                 if asked is None:
-                    flat = expand(sequence, rules, row["base"]).astype("<u4")
-                    cut = [(d, s, n, flat[s : s + n]) for d, s, n in zip(row["doc_ids"], at.tolist(), row["counts"], strict=True)]
+                    chosen = np.arange(len(counts))
+                    flat = memoryview(expand(sequence, rules, base).astype("<u4").tobytes())
+                    found = [flat[4 * s : 4 * (s + n)] for s, n in zip(at.tolist(), counts.tolist(), strict=True)]
                 else:
-                    lengths = _numbers(row["lengths"], 4)
-                    cut = [(d, s, n, decode_range(sequence, rules, lengths, row["base"], s, n).astype("<u4")) for d, s, n in zip(row["doc_ids"], at.tolist(), row["counts"], strict=True) if d in asked]
-                cols = {"part": pa.array([row["part"]] * len(cut), pa.int32()), "doc_id": pa.array([c[0] for c in cut], pa.int64()), "own": pa.array([row["at"] + c[1] for c in cut], pa.int64()), "n_tokens": pa.array([c[2] for c in cut], pa.int64()), "ids_crc32": pa.array([zlib.crc32(c[3].tobytes()) for c in cut], pa.int64())}
+                    chosen = np.array([k for k, d in enumerate(docs.to_pylist()) if d in asked], np.int64)
+                    lengths = _numbers(row["lengths"].as_py(), 4)
+                    found = [decode_range(sequence, rules, lengths, base, int(at[k]), int(counts[k])).astype("<u4").tobytes() for k in chosen]
+                cols = {"part": pa.array([part] * len(chosen), pa.int32()), "doc_id": docs.take(pa.array(chosen)), "own": pa.array(first + at[chosen]), "n_tokens": pa.array(counts[chosen]), "ids_crc32": pa.array([zlib.crc32(x) for x in found], pa.int64())}
                 if ids:
-                    cols["ids"] = pa.array([c[3].tolist() for c in cut], pa.list_(pa.int32()))
+                    cols["ids"] = pa.array([np.frombuffer(x, "<u4").tolist() for x in found], pa.list_(pa.int32()))
                 yield pa.record_batch(cols)
 
     more = ["ids"] if ids else []

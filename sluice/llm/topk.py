@@ -129,11 +129,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         import pyarrow as pa
 
         def matrix(t):
-            lists = t.column("v").to_pylist()
-            width = max(map(len, lists), default=0)
-            out = np.zeros((len(lists), width), np.int64)
-            for i, x in enumerate(lists):
-                out[i, : len(x)] = x
+            lists = t.column("v").combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            out = np.zeros((len(lists), int(sizes.max(initial=0))), np.int64)
+            out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
             return t.column("id").to_numpy(), out
 
         rows = []

@@ -11,12 +11,13 @@ from sluice.llm import bpe, langid, minhash, mixing, substrings
 from sluice.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if no language has more than this share of its letters.
+#: A document goes if the learned languages have no more than this share of its letters, all together.
 LEAST_SHARE = 0.34
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a main language; fills in missing languages.
+    """Drops documents without a letter or in no learned language; fills in missing languages. A text that mixes
+    learned languages stays, however even the mix.
 
     The model learns from the documents that have a language. Without any, nothing is judged.
     """
@@ -24,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.langs:
         return docs.select(*COLUMNS)
     found = langid.identify(docs, model, carry=("lang", "source", "n_chars"))
-    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > LEAST_SHARE))
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("learned") > LEAST_SHARE))
     return found.select("doc_id", "text", F.coalesce("carried.lang", "lang_pred").alias("lang"), "carried.source", "carried.n_chars").select(*COLUMNS)
 
 

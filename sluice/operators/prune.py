@@ -24,8 +24,8 @@ EVENT_SCHEMA = """
                      media:struct<images:array<struct<image:struct<ref:struct<`$link`:string>, cid:string>>>>>>>
 """
 THREAD_LABELS = "struct<labels:array<struct<val:string>>, author:struct<labels:array<struct<val:string>>>, embed:struct<record:struct<record:struct<author:struct<labels:array<struct<val:string>>>>>>>"
-#: Boxes of an item up to which it is judged in one row.
-FEW_BOXES = 64
+#: Boxes of an item up to which it is judged in one row, at first and once rounds have left so few.
+FEW_BOXES, LAST_BOXES = 64, 500
 CID = "^[A-Za-z0-9]{4,}$"
 
 
@@ -159,30 +159,36 @@ def suppress(boxes: DataFrame, key: str = "item_id", limit: float = 0.3, few: in
     many = saved(many, "crowded")  # seldom any
     same = F.col(key).eqNullSafe(F.col("_k"))
     small = boxes.join(many, same, "left_anti")
-    cols = [c for c in boxes.columns if c != key]
-    order = F.struct((-F.col("score")).alias("s"), "x", "y", "width", "height", F.struct(*cols).alias("box"))
-    lists = small.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("all"))
-    kept = F.aggregate(F.col("all")["box"], F.slice(F.col("all")["box"], 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: G.iou(k, b) > limit), kept).otherwise(F.concat(kept, F.array(b))))
-    out = lists.select(key, F.explode(kept).alias("box")).select(key, "box.*").select(*boxes.columns)
+    out = judge_in_a_row(small, key, limit)
     if many.isEmpty():
         return out
     return out.unionByName(suppress_by_rounds(boxes.join(many, same, "left_semi"), key, limit))
 
 
+def judge_in_a_row(boxes: DataFrame, key: str, limit: float) -> DataFrame:
+    """W15 for items of few boxes: each is gone through best first, against those that stay."""
+    cols = [c for c in boxes.columns if c != key]
+    order = F.struct((-F.col("score")).alias("s"), "x", "y", "width", "height", F.struct(*cols).alias("box"))
+    lists = boxes.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("all"))
+    kept = F.aggregate(F.col("all")["box"], F.slice(F.col("all")["box"], 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: G.iou(k, b) > limit), kept).otherwise(F.concat(kept, F.array(b))))
+    return lists.select(key, F.explode(kept).alias("box")).select(key, "box.*").select(*boxes.columns)
+
+
 def suppress_by_rounds(boxes: DataFrame, key: str = "item_id", limit: float = 0.3) -> DataFrame:
     """W15 for items of any number of boxes, by rounds of dominance over a grid.
 
-    Two boxes that overlap by more than ``limit`` differ in width, and in height, by a factor below 1 / limit. So sizes fall into
-    classes of that factor, such boxes into the same or neighbouring classes, and in a grid of the larger class's size into the
-    same or neighbouring cells. In each round, boxes that are the best undecided ones of their cells and of the cells around stay, and
-    what they overlap goes. Nothing is compared but such boxes with those around them, however crowded a cell is. There are
-    as many rounds as the longest chain of cells of which each has a better box than the next. Boxes without an area overlap nothing and stay.
+    Two boxes that overlap by more than ``limit`` differ in width, and in height, by a factor below 1 / limit, and their corners lie
+    apart by less than (1 - limit) of the larger one. So sizes fall into classes of that factor, and such boxes into the same or
+    neighbouring classes and, in a grid made for the larger class, into the same or neighbouring cells. In each round, boxes that are better than the best
+    undecided ones of each class around them stay, and what they overlap goes. Nothing is compared but cells' best boxes with
+    each other and those that stay with what is around them, however crowded a cell is. There are as many rounds as the longest chain of cells
+    of which each has a better box than the next; items of which few boxes are left are judged in a row. Boxes without an area overlap nothing and stay.
     """
     cols, factor = boxes.columns, 1 / limit
     flat = (F.col("width") <= 0) | (F.col("height") <= 0)
     rank = F.struct((-F.col("score")).alias("s"), "x", "y", "width", "height", F.col("_id").alias("i"))
     size = lambda c: F.floor(F.log(F.col(c).cast("double")) / math.log(factor)).cast("int")
-    cell = lambda c, k: F.floor(F.col(c) / (F.pow(F.lit(factor), F.col(k) + 1) * 1.01)).cast("long")  # noqa: E731  room for rounding
+    cell = lambda c, k: F.floor(F.col(c) / (F.pow(F.lit(factor), F.col(k) + 1) * (1 - limit) * 1.01)).cast("long")  # noqa: E731  room for rounding
     state = boxes.where(~flat).withColumns({"_w": size("width"), "_h": size("height")})
     state = saved(state.withColumn("_id", F.monotonically_increasing_id()), "boxes")
     place = [key, "gw", "gh", "cx", "cy"]
@@ -198,21 +204,30 @@ def suppress_by_rounds(boxes: DataFrame, key: str = "item_id", limit: float = 0.
         return homes(df).withColumn("dx", step()).withColumn("dy", step()).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
 
     def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        """Rows of the same item, grid and cell; a null item is one as well."""
-        b = b.withColumnsRenamed({c: f"_{c}" for c in place})
-        return a.join(b, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]))
-
-    stay = boxes.where(flat).select(*cols)
-    while not state.isEmpty():
-        best = homes(state).withColumn("rank", rank).groupBy(*place).agg(F.min("rank").alias("top"))
-        first = best.groupBy(F.col("top.i").alias("_id")).agg(F.count("*").alias("n")).where("n = 4").select("_id")
-        least = meet(around(state.join(first, "_id").withColumn("rank", rank)), best).groupBy("_id").agg(F.first("rank").alias("rank"), F.min("top").alias("least"))
+        """Rows of the same item and cell in the grid of the larger of their classes; a null item is one as well."""
+        b = b.withColumnsRenamed({c: f"b{c}" for c in (*place, "_w", "_h")})
+        larger = (F.greatest("_w", "b_w") == F.col("gw")) & (F.greatest("_h", "b_h") == F.col("gh"))
+        return a.join(b, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"b{c}")) for c in place], larger))
+
+    done = boxes.where(flat).select(*cols)
+    while True:
+        sizes = saved(state.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n")), "left")
+        few = sizes.where(F.col("n") <= LAST_BOXES).select("_k")
+        same = F.col(key).eqNullSafe(F.col("_k"))
+        done = done.unionByName(judge_in_a_row(state.join(few, same, "left_semi").select(*cols), key, limit))
+        if sizes.where(F.col("n") > LAST_BOXES).isEmpty():
+            return done
+        state = state.join(few, same, "left_anti")
+        best = homes(state).withColumn("rank", rank).groupBy(*place, "_w", "_h").agg(F.min("rank").alias("top"))
+        best = saved(best, "best")
+        first = best.where("gw = _w and gh = _h").select(F.col("top.i").alias("_id"))  # the best of its class in its cell
+        first = state.join(first, "_id").withColumn("rank", rank)
+        least = meet(around(first), best).groupBy("_id").agg(F.first("rank").alias("rank"), F.min("top").alias("least"))
         new = saved(state.join(least.where("least = rank").select("_id"), "_id"), "staying")
-        stay = stay.unionByName(new.select(*cols))
-        near = around(new).select(*place, F.struct("x", "y", "width", "height").alias("kept"), F.col("_id").alias("kept_id"))
+        done = done.unionByName(new.select(*cols))
+        near = around(new).select(*place, "_w", "_h", F.struct("x", "y", "width", "height").alias("kept"), F.col("_id").alias("kept_id"))
         hit = meet(homes(state), near).where((F.col("_id") == F.col("kept_id")) | (G.iou(F.struct("x", "y", "width", "height"), F.col("kept")) > limit))
         state = saved(state.join(hit.select("_id").distinct(), "_id", "left_anti"), "undecided")
-    return stay
 
 
 def union_share(items: DataFrame, width: int, height: int, key: str = "item_id") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from sluice.functions import ids
 from sluice.functions import scoring as S
 from sluice.operators import evaluate as E
 from sluice.operators import prune as P
-from sluice.operators import store, views
+from sluice.operators import buckets, fingerprints, pages, store, views
 from sluice.operators import telemetry as T
+from sluice.operators.shared import shared_dir
 from sluice.plans import publish as PL
 from sluice.sources.bindings import bound, source, with_tables
 
@@ -700,12 +703,13 @@ def query_plans(spark, sf_dir):
 
 
 @query("items scores registry item_reviews group_reviews", _BANDED.replace("JOIN known s", "LEFT JOIN scores s") + """
-SELECT item_id, score, coalesce(item_override, '') AS item_override FROM joined ORDER BY discovered_at DESC, item_id LIMIT 25""")
+SELECT item_id, score, coalesce(item_override, '') AS item_override, CASE WHEN score IS NOT NULL OR item_override IS NOT NULL THEN ['Low', 'MediumLow', 'MediumHigh', 'HighQuality'][coalesce(CASE item_override WHEN 'Low' THEN 0 WHEN 'MediumLow' THEN 1 WHEN 'MediumHigh' THEN 2 WHEN 'HighQuality' THEN 3 END,
+  CASE WHEN normalized IS NULL THEN 1 WHEN normalized < 0.25 THEN 0 WHEN normalized < 0.5 THEN 1 WHEN normalized < 0.75 THEN 2 ELSE 3 END) + 1] END AS band FROM normal ORDER BY discovered_at DESC, item_id LIMIT 25""")
 def review_page(spark, sf_dir):
     """The newest page of items with scores and reviews."""
     t = lambda n: bound(spark, sf_dir, n)
     rows, _ = PL.review_page(t("items"), t("scores"), t("registry"), t("item_reviews"), t("group_reviews"), None, 25)
-    return rows.select("item_id", "score", F.coalesce("item_override", F.lit("")).alias("item_override"))
+    return rows.select("item_id", "score", F.coalesce("item_override", F.lit("")).alias("item_override"), "band")
 
 
 @query("interval_stats", """g AS (SELECT unnest(generate_series(min(interval_start), max(interval_start), INTERVAL 1 MINUTE)) AS interval_start FROM interval_stats)
@@ -713,3 +717,177 @@ SELECT g.interval_start, g.interval_start + INTERVAL 1 MINUTE AS interval_end, C
 def filled_intervals(spark, sf_dir):
     """T4: interval statistics without gaps."""
     return store.fill_intervals(bound(spark, sf_dir, "interval_stats"))
+
+
+# ---- tables that are kept up in pieces ----------------------------------------
+_TOLD = "CASE WHEN {c} IS NULL THEN '-1' ELSE CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) END || ':' || coalesce(CAST({c} AS VARCHAR), '')"
+
+
+def _token_sql(table: str, columns: str) -> str:
+    told = " || ".join(_TOLD.format(c=c) for c in columns.split())
+    return f"SELECT '{table}' AS name, count(*) AS n, CAST(sum(CAST('0x' || substr(md5({told}), 1, 15) AS BIGINT)) AS VARCHAR) AS token FROM {table}"
+
+
+_TOKEN_COLUMNS = {"items": "item_id group_id event_id", "scores": "item_id model_version"}
+
+
+@query("items scores", " UNION ALL ".join(_token_sql(t, c) for t, c in _TOKEN_COLUMNS.items()))
+def incremental_tokens(spark, sf_dir):
+    """Fingerprints of two stored tables after an append, a refresh, a second append and another refresh that hashes the new files only."""
+    out = []
+    for name, columns in _TOKEN_COLUMNS.items():
+        df, path = bound(spark, sf_dir, name).select(*columns.split()), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+        late = F.col("item_id") > "v3:bafk5"
+        for part in (df.where(~late), df.where(late)):
+            part.write.mode("append").parquet(f"{path}/data")
+            found = fingerprints.refresh(spark, f"{path}/data", df.schema, f"{path}/known", fingerprints.portable_hash)
+        out.append((name, found["n"], str(found["token"])))
+    return spark.createDataFrame(out, "name string, n long, token string")
+
+
+@query("scores", """SELECT item_id, CASE WHEN score > 0.5 THEN CAST(score / 2 AS FLOAT) ELSE score END AS score, CASE WHEN score > 0.5 THEN 'c' ELSE model_version END AS model_version FROM scores WHERE score > 0.5 OR model_version <> 'unknown'""")
+def merged_scores(spark, sf_dir):
+    """A table stored by buckets, merged with a batch of deletes and upserts; the batch comes twice."""
+    base, path = bound(spark, sf_dir, "scores"), f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
+    buckets.create(base, path, "item_id", 16)
+    new = base.where("score > 0.5").select("item_id", (F.col("score") / 2).cast("float").alias("score"), F.lit("c").alias("model_version"))
+    for _ in range(2):
+        buckets.merge(spark, path, "rescored", new, base.where("model_version = 'unknown'").select("item_id"))
+    return buckets.read(spark, path)
+
+
+_PAGE_END = "2024-01-20 00:00:00"
+
+
+@query("items", f"SELECT item_id, discovered_at FROM items WHERE discovered_at < TIMESTAMP '{_PAGE_END}' ORDER BY discovered_at DESC, item_id LIMIT 25")
+def page_by_bounds(spark, sf_dir):
+    """A page of a table stored in the order of time, from the files that can hold it."""
+    path = f"{shared_dir(spark)}/paged-{uuid.uuid4().hex}"
+    pages.append(bound(spark, sf_dir, "items").select("item_id", "discovered_at"), path, rows_per_file=5_000)
+    before = spark.range(1).select(F.unix_micros(F.expr(f"TIMESTAMP_NTZ '{_PAGE_END}'").cast("timestamp"))).first()[0]
+    return pages.page(spark, path, before, 25)[0]
+
+
+@query("items", "SELECT item_id, discovered_at FROM items WHERE discovered_at >= TIMESTAMP '2024-01-25 00:00:00'")
+def ids_by_bounds(spark, sf_dir):
+    """Ids since a time, from the files that reach it."""
+    path = f"{shared_dir(spark)}/paged-{uuid.uuid4().hex}"
+    pages.append(bound(spark, sf_dir, "items").select("item_id", "discovered_at"), path, rows_per_file=5_000)
+    since = spark.range(1).select(F.unix_micros(F.expr("TIMESTAMP_NTZ '2024-01-25 00:00:00'").cast("timestamp"))).first()[0]
+    return pages.newest_ids(spark, path, since)
+
+
+@query(_DOMAIN, _lists_sql() + " SELECT list, position, image_url, item_id, group_id, group_exists, url_exists, live, TIMESTAMP '2024-02-01 00:00:00' AS refreshed_at FROM lists")
+def published_and_read(spark, sf_dir):
+    """All lists written as a version and read back, list by list as the catalog names them."""
+    lists, specs = _lists(spark, sf_dir)
+    path = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    PL.write_lists(lists, path, F.lit("2024-02-01").cast("timestamp_ntz"), specs=specs)
+    names = [r["list"] for r in PL.published_catalog(spark, path).select("list").collect()]  # one row per list
+    return reduce(DataFrame.unionByName, [PL.read_list(spark, path, n) for n in names])
+
+
+@query("interval_stats", """w AS (SELECT l AS list, s AS seconds FROM (VALUES ('v1-quality-48h', 172800), ('v1-recency-4w', 2419200)) v(l, s)), n AS (SELECT max(interval_end) AS now FROM interval_stats)
+SELECT list, CAST(coalesce(sum(examined), 0) AS BIGINT) AS examined FROM w, n LEFT JOIN interval_stats i ON i.interval_start >= now - to_seconds(seconds) AND i.interval_start < now GROUP BY 1""")
+def published_statistics(spark, sf_dir):
+    """Statistics written beside their lists and read back, list by list."""
+    stats = bound(spark, sf_dir, "interval_stats")
+    now = stats.agg(F.max("interval_end").alias("now"))
+    lists, specs = _lists(spark, sf_dir, ["quality-48h", "recency-4w"])
+    path = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    PL.write_lists(lists, path, F.lit("2024-02-01").cast("timestamp"), PL.list_statistics(lists, stats, specs, now), specs)
+    read = [PL.read_statistics(spark, path, n) for n in ("v1-quality-48h", "v1-recency-4w")]
+    return reduce(DataFrame.unionByName, read).select("list", "examined")
+
+
+@query("scores", """SELECT step, published, (SELECT count(*) FROM scores) AS n FROM (VALUES ('first', true), ('same', false), ('changed', true), ('same again', false)) v(step, published)""")
+def gated_publishes(spark, sf_dir):
+    """A gate over a stored table publishes first, and again only when rows were added."""
+    scores, path = bound(spark, sf_dir, "scores"), f"{shared_dir(spark)}/gated-{uuid.uuid4().hex}"
+    late = F.col("item_id") > "v3:bafk5"
+    scores.where(~late).write.parquet(f"{path}/scores")
+    seen = []
+    run = lambda: fingerprints.gate(spark, {"scores": (f"{path}/scores", scores.schema)}, f"{path}/gate", lambda: None)
+    for step in ("first", "same", "changed", "same again"):
+        if step == "changed":
+            scores.where(late).write.mode("append").parquet(f"{path}/scores")
+        seen.append((step, run()))
+    steps = spark.createDataFrame(seen, "step string, published boolean")
+    return steps.crossJoin(F.broadcast(spark.read.schema(scores.schema).parquet(f"{path}/scores").agg(F.count("*").alias("n"))))  # one row
+
+
+# ---- evaluation, ticks, sketches -----------------------------------------------
+@query("access_log", """e AS (SELECT CAST(bytes AS BIGINT) AS tick, CASE WHEN millis < 60 THEN 'TimeoutError' WHEN millis < 90 THEN 'ValueError' END AS reason FROM access_log),
+p AS (SELECT tick, reason, count(*) AS n FROM e WHERE reason IS NOT NULL GROUP BY 1, 2)
+SELECT tick, reason, n, CAST(sum(n) OVER (PARTITION BY reason ORDER BY tick) AS BIGINT) AS total_n FROM p""")
+def errors_by_tick(spark, sf_dir):
+    """Errors by tick and reason, and their running totals."""
+    log = bound(spark, sf_dir, "access_log")
+    error = F.when(F.col("millis") < 60, "TimeoutError").when(F.col("millis") < 90, "ValueError")
+    return T.errors_by_reason(log.select(F.col("bytes").alias("tick"), error.alias("error")))
+
+
+@query("access_log", """SELECT split_part(path, '/', 2) AS "table", count(*) AS files, CAST(sum(bytes) AS BIGINT) AS "rows", min(bytes) AS least, max(bytes) AS most, true AS p50_near, true AS p99_near FROM access_log GROUP BY 1""")
+def sketched_health(spark, sf_dir):
+    """Sizes per table from sketches per table and client that are merged; whether quantiles lie within 1 % of their rank."""
+    log = bound(spark, sf_dir, "access_log")
+    files = log.select(ids.object_table(F.col("path")).alias("table"), F.col("bytes").alias("rows"), "client")
+    out = T.sketched_sizes(T.merge_sketches(T.size_sketches(files, ("table", "client"))))
+    own = files.join(F.broadcast(out.select("table", "p50", "p99")), "table").groupBy("table")  # one row per table
+    share = lambda p, q: ((F.avg((F.col("rows") <= F.col(p)).cast("double")) >= q - 0.01) & (F.avg((F.col("rows") < F.col(p)).cast("double")) <= q + 0.01)).alias(f"{p}_near")
+    return out.select("table", "files", "rows", "least", "most").join(own.agg(share("p50", 0.5), share("p99", 0.99)), "table")
+
+
+@query("labelled", """r AS (SELECT t, count(*) FILTER (WHERE CAST(score AS DOUBLE) >= t AND positive) AS tp, count(*) FILTER (WHERE CAST(score AS DOUBLE) >= t AND NOT positive) AS fp, count(*) FILTER (WHERE CAST(score AS DOUBLE) < t AND positive) AS fn
+FROM labelled, (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.4)) v(t) GROUP BY 1), f AS (SELECT t, 2.0 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fn) AS recall FROM r)
+SELECT CAST(t AS VARCHAR) AS candidate, round(f1, 9) AS f1, recall >= 0.5 - 0.01 AS accepted FROM f ORDER BY f1 DESC, t LIMIT 1""")
+def selected_candidate(spark, sf_dir):
+    """Of four candidates the one of best F1, and whether its recall passes the gate."""
+    rows = bound(spark, sf_dir, "labelled")
+    tried = None
+    for k, t in enumerate((0.05, 0.1, 0.2, 0.4)):
+        one = E.prf(E.confusion(rows, "score", "positive", F.lit(t))).select(F.lit(str(t)).alias("candidate"), F.lit(k).alias("iteration"), "f1", F.col("recall").alias("pinned_recall"))
+        tried = one if tried is None else tried.unionByName(one)
+    return E.train_select(tried, 0.5).select("candidate", F.round("f1", 9).alias("f1"), "accepted")
+
+
+@query("labelled", "SELECT item_id, score, positive FROM labelled")
+def looked_up_scores(spark, sf_dir):
+    """Every id of the test set with its score and label, strictly."""
+    rows = bound(spark, sf_dir, "labelled")
+    found = E.strict_join(rows.select("item_id"), rows.select("item_id", "score"), "item_id", "score")
+    return E.strict_join(found, rows.select("item_id", "positive"), "item_id", "positive").select("item_id", "score", "positive")
+
+
+@query("existence", "SELECT item_id, CASE WHEN NOT group_exists THEN 'post gone' WHEN NOT url_exists THEN 'image gone' END AS note FROM existence")
+def missing_notes(spark, sf_dir):
+    """what is gone of each item."""
+    return bound(spark, sf_dir, "existence").select("item_id", S.missing_note(F.col("group_exists"), F.col("url_exists")).alias("note"))
+
+
+@query("item_reviews", """SELECT item_id, regexp_matches(name, '^github:.') OR name = 'local:admin' AS known FROM (SELECT item_id, CASE appraiser WHEN 'human:0' THEN 'github:' || item_id WHEN 'human:1' THEN 'local:admin' ELSE 'github:' END AS name FROM item_reviews)""")
+def known_reviewers(spark, sf_dir):
+    """which names are reviewers."""
+    name = F.when(F.col("appraiser") == "human:0", F.concat(F.lit("github:"), "item_id")).when(F.col("appraiser") == "human:1", "local:admin").otherwise("github:")
+    return bound(spark, sf_dir, "item_reviews").select("item_id", ids.is_reviewer(name).alias("known"))
+
+
+@query("usage prices", _COSTED + """ SELECT model, CAST(floor(100.0 / 4 / (sum(cost) / count(*))) AS BIGINT) AS each FROM costed GROUP BY 1""")
+def affordable_samples(spark, sf_dir):
+    """the items that each of four iterations can pay for with 100 dollars, at each model's mean cost."""
+    costed = E.usage_cost(bound(spark, sf_dir, "usage"), bound(spark, sf_dir, "prices"))
+    mean = costed.groupBy("model").agg((F.sum("cost") / F.count("*")).alias("mean"))
+    return mean.select("model", S.sample_size(F.lit(100.0), F.lit(4), F.col("mean").cast("double")).alias("each"))
+
+
+@query("", r"""SELECT page_id, CAST(length(regexp_replace(url, '\s', '', 'g')) + length(regexp_replace(html, '[ \t\n\x0B\f\r]', '', 'g')) AS INTEGER) AS characters FROM pages""")
+def text_lengths(spark, sf_dir):
+    """Characters but white space of the lines of each page."""
+    lines = F.array(F.struct(F.col("url").alias("text")), F.struct(F.col("html").alias("text")))
+    return source(spark, sf_dir, "pages").select("page_id", G.text_length(lines).alias("characters"))
+
+
+@query("scores", """SELECT item_id, substr(md5('8:provider' || CAST(length(model_version) AS VARCHAR) || ':' || model_version || '5:score' || '1:' || '1'), 1, 8) AS version FROM scores""".replace("'5:score' || '1:' || '1'", "'5:score1:1'"))
+def content_versions(spark, sf_dir):
+    """versions over two fields, each after its length."""
+    return bound(spark, sf_dir, "scores").select("item_id", ids.content_version(("score", F.lit(1)), ("provider", F.col("model_version"))).alias("version"))

@@ -277,3 +277,31 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
 def op11_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of every vector of ``embeddings``."""
     return compress(table(spark, sf_dir, "embeddings"))
+
+
+_NEAREST = """a{k} AS (
+  SELECT vec_id, part, x, min({{'d': list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS best FROM p JOIN b{k} USING (part) GROUP BY vec_id, part, x
+)"""
+_MOVED = """m{k} AS (
+  SELECT part, e, list(m ORDER BY i) AS y FROM (
+    SELECT part, best.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{k}, (SELECT unnest(range(1, 1 + (SELECT w FROM w))) AS i) GROUP BY ALL
+  ) GROUP BY part, e
+), b{n} AS (
+  SELECT part, e, coalesce(m{k}.y, b{k}.y) AS y FROM b{k} LEFT JOIN m{k} USING (part, e)
+)"""
+OP11_SQL = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), w AS (SELECT (max(len(v)) + 15) // 16 AS w FROM v
+), p AS (
+  SELECT vec_id, label, k AS part, list_resize(v, 16 * w, 0)[k * w + 1 : k * w + w] AS x FROM v, w, (SELECT unnest(range(16)) AS k)
+), b0 AS (
+  SELECT part, e, x AS y FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM p) WHERE e < 64
+), {_NEAREST.format(k=0)}, {_MOVED.format(k=0, n=1)}, {_NEAREST.format(k=1)}, {_MOVED.format(k=1, n=2)}, {_NEAREST.format(k=2)}, s AS (
+  SELECT sha256(string_agg(CAST(y[i] AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM b2, (SELECT unnest(range(1, 1 + (SELECT w FROM w))) AS i)
+), c AS (
+  SELECT vec_id, label, string_agg(format('{{:02x}}', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 JOIN v USING (vec_id) GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, s
+"""

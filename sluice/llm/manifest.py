@@ -195,3 +195,47 @@ def every_third(id_col: str = "doc_id") -> Column:
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of every row of ``documents``, and which of them hold once a third of the texts are tampered with."""
     return prove(table(spark, sf_dir, "documents"), every_third())
+
+
+#: The check sum is worked out by its table, since the engine that runs this has none.
+OP13_SQL = """
+WITH RECURSIVE step(n, k, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), crc AS (SELECT list(c ORDER BY n) AS t FROM step WHERE k = 8
+), d AS (
+  SELECT doc_id, lang, text, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS fields,
+    coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(t[xor(a & 255, b) + 1], a >> 8)), 4294967295) % 3 = 0, false) AS tampered
+  FROM documents, crc
+), e AS (
+  SELECT doc_id, lang, sha256(fields || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    sha256(fields || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END END) AS seen FROM d
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM e
+), tree(lang, level, pos, n, h) AS (
+  SELECT lang, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 8, n
+), subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), top(level, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM subroots
+  UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 8, n
+), beside AS (
+  SELECT a.lang, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM tree a JOIN tree b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+), above AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM top a JOIN top b ON a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+), steps AS (
+  SELECT x.lang, x.pos, s.level AS k, s.l, s.r FROM leaves x JOIN beside s ON x.lang IS NOT DISTINCT FROM s.lang AND s.pos = x.pos // CAST(pow(8, s.level) AS BIGINT)
+  UNION ALL SELECT x.lang, x.pos, 1000 + s.level, s.l, s.r FROM leaves x JOIN subroots u ON x.lang IS NOT DISTINCT FROM u.lang JOIN above s ON s.pos = u.pos // CAST(pow(8, s.level) AS BIGINT)
+), paths AS (
+  SELECT lang, pos, list({'l': l, 'r': r, 'h': ''} ORDER BY k) AS path FROM steps GROUP BY lang, pos
+), told AS (
+  SELECT x.doc_id, x.leaf, u.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(list_aggregate(list_transform(path, lambda s: s.l || s.r), 'string_agg', ''), '')) AS proof_sha256,
+    list_reduce(list_concat([{'l': '', 'r': '', 'h': x.seen}], coalesce(path, [])), lambda a, s: {'l': '', 'r': '', 'h': sha256(s.l || a.h || s.r)}).h AS folded_root
+  FROM leaves x JOIN subroots u ON x.lang IS NOT DISTINCT FROM u.lang LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM x.lang AND p.pos = x.pos
+)
+SELECT *, folded_root = root AS verified FROM told
+"""

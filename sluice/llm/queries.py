@@ -25,4 +25,6 @@ ORACLE_SQL = {
     "op4_recompression": substrings.OP4_SQL,
     "op7_minhash": minhash.OP7_SQL,
     "op8_perspectives": chat.OP8_SQL,
+    "op11_gnat_codes": codes.OP11_SQL,
+    "op13_merkle_manifest": manifest.OP13_SQL,
 }

@@ -175,6 +175,7 @@ def prove(docs: DataFrame, tampered: Column) -> DataFrame:
     space = Workspace(docs.sparkSession, "manifest")
     m = build(docs, tampered, space)
     nodes = jump(m, space)
+    space.keep(m.leaves, nodes)
     up = F.when(F.col("size") > 1, F.floor(F.col("pos") / RUN)).otherwise(F.lit(0))
     rows = m.leaves.select("doc_id", "leaf", "seen", "tree", F.when(F.col("size") > 1, 1).otherwise(0).alias("level"), (F.col("pos") % RUN).cast("int").alias("k"), up.alias("pos"))
     rows = rows.join(nodes.where("level <= 1").where(F.col("tree") != TOP).select("tree", "level", "pos", "path", "subroot", "run"), ["tree", "level", "pos"])

@@ -189,7 +189,7 @@ def test_boxes_of_few_and_of_many_are_judged_alike(spark, monkeypatch):
 def test_an_item_of_a_hundred_thousand_boxes(spark):
     n = 100_000
     r = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("double")
-    df = spark.range(n).select(F.lit("crowd").alias("item_id"), r(1, 900).alias("x"), r(2, 900).alias("y"), (r(3, 60) + 60).alias("width"), (r(4, 60) + 60).alias("height"), r(5, 10**9).alias("score"))
+    df = spark.range(n).select(F.lit("crowd").alias("item_id"), r(1, 400).alias("x"), r(2, 400).alias("y"), (r(3, 60) + 60).alias("width"), (r(4, 60) + 60).alias("height"), r(5, 10**9).alias("score"))
     rows = [tuple(x) for x in df.collect()]
     kept = P.suppress(df)
     assert sorted((tuple(x) for x in kept.collect()), key=repr) == greedy(rows)

@@ -81,49 +81,86 @@ class Encoder:
         """The ids of each word after a space."""
         import numpy as np
 
-        ids = np.array(self.t.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        text = " ".join(words) + " "
+        ids = np.array(self.t.encode_batch_fast([" " + text[:-1]], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32) + 1
         ends = self.width * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _learn(self, parts: list[list[str]]) -> list[str]:
-        """Has the ids of all words after the first of each text in the young memory; returns what hardly comes again.
+    def _learn(self, distinct: list[str]) -> list[str]:
+        """Has the ids of all these words after a space in the young memory; returns what hardly comes again.
         None stands for what a space can't be cut off before."""
-        distinct: set[str] = set()
-        for p in parts:
-            distinct.update(p[1:])
         if len(self.young) > MEMO_WORDS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new = distinct.difference(young)
-        again = new.intersection(old)
-        young.update((w, old[w]) for w in again)
-        fresh = list(new.difference(again))
-        odd = [w for w in fresh if not CUT.match(w)]
-        if odd:
-            young.update(dict.fromkeys(odd))
-            fresh = [w for w in fresh if w not in young]
+        new = [w for w in distinct if w not in young]
+        fresh = []
+        for w in new:
+            if w in old:
+                young[w] = old[w]
+            elif CUT.match(w):
+                fresh.append(w)
+            else:
+                young[w] = None
         for k in range(0, len(fresh), JOINED_WORDS):
             some = fresh[k : k + JOINED_WORDS]
             young.update(zip(some, self._joined(some), strict=True))
         return [w for w in new if len(w) > MEMO_CHARS]
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        parts = [x.split(" ") for x in texts]
-        rare = self._learn(parts)
-        heads = list({p[0] for p in parts})
-        first = dict(zip(heads, self._each(heads), strict=True))
-        ids_of, out = self.young.__getitem__, []
-        for text, p in zip(texts, parts, strict=True):
-            try:
-                out.append(first[p[0]] + b"".join(map(ids_of, p[1:])))
-            except TypeError:  # a None: the text has a space that isn't a place to cut
-                out += self._each([text])
+    def batch(self, texts) -> list[bytes]:
+        """The ids of each text of a list or an Arrow array of strings, without nulls.
+
+        Words are numbered by their dictionary in Arrow, so that Python meets each different word of the batch once;
+        the ids of a text are then picked from those of the words.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return []
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        parts = pc.split_pattern(texts, " ")
+        starts = parts.offsets.to_numpy().astype(np.int64)
+        starts, ends = starts[:-1] - starts[0], starts[1:] - starts[0]
+        words = parts.flatten()
+        coded, heads = words.dictionary_encode(), words.take(starts).dictionary_encode()
+        codes = coded.indices.to_numpy().copy()
+        listed = lambda a: a.to_numpy(zero_copy_only=False).tolist()
+        distinct, first = listed(coded.dictionary), listed(heads.dictionary)
+        codes[starts] = len(distinct) + heads.indices.to_numpy()
+        used = np.zeros(len(distinct) + len(first), bool)
+        used[codes] = True
+        known = [w for w, u in zip(distinct, used.tolist(), strict=False) if u]
+        rare = self._learn(known)
+        pieces: list[bytes] = [b""] * len(distinct)
+        odd = np.zeros(len(used), bool)
+        for k, w in zip(np.flatnonzero(used[: len(distinct)]).tolist(), known, strict=True):
+            ids = self.young[w]
+            if ids is None:
+                odd[k] = True
+            else:
+                pieces[k] = ids
+        pieces += self._each(first)
+        if odd.any():  # texts with a space that isn't a place to cut are encoded whole: one piece each, in their first word's place
+            bad = np.logical_or.reduceat(odd[codes], starts)
+            whole = np.flatnonzero(bad)
+            codes[starts[whole]] = len(pieces) + np.arange(len(whole))
+            pieces += self._each(listed(texts.take(whole)))
+            keep = ~np.repeat(bad, ends - starts)
+            keep[starts] = True
+            codes, ends = codes[keep], np.cumsum(keep)[ends - 1]
         for w in rare:
             del self.young[w]
-        return out
+        flat = np.frombuffer(b"".join(pieces), f"<u{self.width}")
+        sizes = np.array([len(p) for p in pieces]) // self.width
+        n = sizes[codes]
+        until = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - until + n, n)
+        at += np.arange(len(at))
+        out, until = flat[at].tobytes(), self.width * until[ends - 1]
+        return [out[a:b] for a, b in zip([0, *until[:-1].tolist()], until.tolist(), strict=True)]
 
 
 def compress(ids, base: int, least: int = LEAST_USES, rounds: int = ROUNDS):
@@ -140,7 +177,8 @@ def compress(ids, base: int, least: int = LEAST_USES, rounds: int = ROUNDS):
             break
         key = (seq[:-1] << np.uint64(32)) | seq[1:]
         # counts by hash are never too small, so pairs that may be frequent are found without sorting all
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).view(np.int64)
+        hashed = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).view(np.int64)
+        bucket = hashed(key)
         places = np.flatnonzero(np.bincount(bucket, minlength=1 << HASH_BITS)[bucket] >= least)
         found = key[places]
         pairs, counts = np.unique(found, return_counts=True)
@@ -150,8 +188,13 @@ def compress(ids, base: int, least: int = LEAST_USES, rounds: int = ROUNDS):
             break
         rank_of = np.empty(len(pairs), np.int64)
         rank_of[np.lexsort((pairs, -counts))] = np.arange(len(pairs))
-        at = np.minimum(np.searchsorted(pairs, found), len(pairs) - 1)
+        last = np.zeros(1 << HASH_BITS, np.int64)
+        last[hashed(pairs)] = np.arange(len(pairs))
+        at = last[bucket[places]]
         hit = pairs[at] == found
+        other = np.flatnonzero(~hit)  # rare pairs, and frequent ones that share their hash with another
+        at[other] = np.minimum(np.searchsorted(pairs, found[other]), len(pairs) - 1)
+        hit[other] = pairs[at[other]] == found[other]
         rank = np.full(len(key) + 2, len(pairs), np.int64)  # one place more on either side
         rank[places[hit] + 1] = rank_of[at[hit]]
         places = places[hit]
@@ -236,7 +279,7 @@ def encoder_of(path: str) -> Encoder:
 
 
 def _texts(batches: Iterator) -> Iterator:
-    """(ids, texts) of a bounded size from Arrow batches of both."""
+    """(ids, Arrow array of texts) of a bounded size from Arrow batches of both."""
     for batch in batches:
         docs, texts = batch.column(0).to_pylist(), batch.column(1)
         at, n, chars = 0, 0, 0
@@ -244,7 +287,7 @@ def _texts(batches: Iterator) -> Iterator:
             chars += len(texts[k].as_buffer())
             n += 1
             if n >= BATCH_TEXTS or chars >= BATCH_CHARS or k == batch.num_rows - 1:
-                yield docs[at : k + 1], texts.slice(at, n).to_pylist()
+                yield docs[at : k + 1], texts.slice(at, n)
                 at, n, chars = k + 1, 0, 0
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +30,14 @@ BLOCK_IDS, LEAST_USES, ROUNDS = 1 << 18, 8, 4
 #: Bits of the hash that finds pairs which may be frequent.
 HASH_BITS = 18
 #: Words of a generation of a task's memory, characters up to which a word is kept, words encoded by one call.
-MEMO_WORDS, MEMO_CHARS, JOINED_WORDS = 350_000, 40, 2_000
+MEMO_WORDS, MEMO_CHARS, JOINED_WORDS = 600_000, 40, 2_000
 #: Texts and characters that are encoded at once.
-BATCH_TEXTS, BATCH_CHARS = 1_024, 4_000_000
+BATCH_TEXTS, BATCH_CHARS = 2_048, 8_000_000
 #: What a space can be cut off before: neither white space nor a control character.
 CUT = re.compile(r"[^\s\x00-\x20\x7f-\xa0]")
+#: Signs at a word's end that are cut off it, so many at most, where one of these letters or digits is before them: no pretoken holds both.
+TAIL, TAIL_CHARS = string.punctuation, 3
+BEFORE_TAIL = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() or c in string.digits)
 BLOCK = "part int, block int, at long, n_ids long, first_doc long, last_doc long, doc_ids array<long>, counts array<int>, base int, width int, rules binary, lengths binary, sequence binary"
 
 
@@ -68,6 +72,7 @@ class Encoder:
             self.sizes[k] = len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # bounded by TAIL_CHARS
 
     def _bytes(self, ids: list[int]) -> bytes:
         import numpy as np
@@ -95,18 +100,30 @@ class Encoder:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         new = [w for w in distinct if w not in young]
-        fresh = []
+        fresh, tailed = [], []
         for w in new:
             if w in old:
                 young[w] = old[w]
             elif CUT.match(w):
-                fresh.append(w)
+                stem = w.rstrip(TAIL)
+                if 0 < len(w) - len(stem) <= TAIL_CHARS and stem[-1:] in BEFORE_TAIL:
+                    tailed.append((w, stem, w[len(stem) :]))
+                else:
+                    fresh.append(w)
             else:
                 young[w] = None
+        stems = {stem for _, stem, _ in tailed}.difference(young, fresh)
+        for w in stems.intersection(old):
+            young[w] = old[w]
+        fresh += [w for w in stems if w not in young]
         for k in range(0, len(fresh), JOINED_WORDS):
             some = fresh[k : k + JOINED_WORDS]
             young.update(zip(some, self._joined(some), strict=True))
-        return [w for w in new if len(w) > MEMO_CHARS]
+        unknown = list({tail for _, _, tail in tailed}.difference(self.tails))
+        self.tails.update(zip(unknown, self._each(unknown), strict=True))
+        for w, stem, tail in tailed:
+            young[w] = young[stem] + self.tails[tail]
+        return [w for w in (*new, *stems) if len(w) > MEMO_CHARS]
 
     def batch(self, texts) -> list[bytes]:
         """The ids of each text of a list or an Arrow array of strings, without nulls.

@@ -103,6 +103,8 @@ def test_pieces_are_encoded_as_whole_texts(vocabulary):
 
     r = random.Random(6)
     made = ["".join(r.choice([" ", " ", "\n", "a", "b1", "'s", "é", " ", "\t", "  ", "!?", "\x1d"]) for _ in range(60)) for _ in range(300)]
+    signs = ["a", "s", "t", "'", ".", "$", "_", "Z", "9", "²", "é", "ª", "ж", "中", "\u1c89", "\r", "\n", " "]  # words with signs at their ends, after letters of many kinds
+    made += ["x " + "".join(r.choice(signs) for _ in range(r.randrange(1, 40))) for _ in range(3_000)]
     encoder, library = tokenfile.Encoder(vocabulary), tokenfile.tokenizer(vocabulary)
     for _ in range(2):  # the second time from memory
         got = [np.frombuffer(x, "<u2").tolist() for x in encoder.batch(NASTY + made)]

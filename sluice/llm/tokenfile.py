@@ -151,15 +151,13 @@ class Encoder:
         used[codes] = True
         known = [w for w, u in zip(distinct, used.tolist(), strict=False) if u]
         rare = self._learn(known)
-        pieces: list[bytes] = [b""] * len(distinct)
-        odd = np.zeros(len(used), bool)
-        for k, w in zip(np.flatnonzero(used[: len(distinct)]).tolist(), known, strict=True):
-            ids = self.young[w]
-            if ids is None:
-                odd[k] = True
-            else:
-                pieces[k] = ids
-        pieces += self._each(first)
+        found = list(map(self.young.__getitem__, known))
+        number = np.cumsum(used) - 1  # of the words and first words that are used, in their order
+        codes, odd = number[codes], np.zeros(len(found) + len(first), bool)
+        if None in found:
+            odd[[k for k, ids in enumerate(found) if ids is None]] = True
+            found = [ids or b"" for ids in found]
+        pieces = found + self._each(first)
         if odd.any():  # texts with a space that isn't a place to cut are encoded whole: one piece each, in their first word's place
             bad = np.logical_or.reduceat(odd[codes], starts)
             whole = np.flatnonzero(bad)
@@ -171,7 +169,7 @@ class Encoder:
         for w in rare:
             del self.young[w]
         flat = np.frombuffer(b"".join(pieces), f"<u{self.width}")
-        sizes = np.array([len(p) for p in pieces]) // self.width
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
         n = sizes[codes]
         until = np.cumsum(n)
         at = np.repeat((np.cumsum(sizes) - sizes)[codes] - until + n, n)
@@ -188,7 +186,7 @@ def compress(ids, base: int, least: int = LEAST_USES, rounds: int = ROUNDS):
     """
     import numpy as np
 
-    seq, rules = np.asarray(ids, np.uint64), []
+    seq, rules, n_rules = np.asarray(ids, np.uint64), [], 0
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
@@ -226,8 +224,9 @@ def compress(ids, base: int, least: int = LEAST_USES, rounds: int = ROUNDS):
             break
         by_rank = np.empty(len(pairs), np.uint64)
         by_rank[rank_of] = pairs
-        name = (base + len(rules) + np.cumsum(named) - 1).astype(np.uint64)
-        rules += [(p >> 32, p & 0xFFFFFFFF) for p in by_rank[named].tolist()]
+        name = (base + n_rules + np.cumsum(named) - 1).astype(np.uint64)
+        rules.append(by_rank[named])
+        n_rules += len(rules[-1])
         take = named[own]
         places, own = places[take], own[take]
         seq = seq.copy()
@@ -235,16 +234,22 @@ def compress(ids, base: int, least: int = LEAST_USES, rounds: int = ROUNDS):
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
-    return np.array(rules, np.int64).reshape(-1, 2), seq.astype(np.int64)
+    pairs = np.concatenate([np.empty(0, np.uint64), *rules])
+    return np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64), seq.astype(np.int64)
 
 
 def rule_lengths(rules, base: int):
     """How many ids each rule stands for."""
     import numpy as np
 
-    lengths = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[k] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
+    rules = np.asarray(rules, np.int64)
+    named, lengths = rules >= base, np.full(len(rules), 2, np.int64)
+    below = np.where(named, rules - base, 0)
+    while len(rules):  # as often as rules lie within rules
+        more = np.where(named, lengths[below], 1).sum(axis=1)
+        if (more == lengths).all():
+            break
+        lengths = more
     return lengths
 
 

@@ -15,8 +15,8 @@ reaches over such a place, and none looks past it.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
-import string
 import zlib
 from collections.abc import Iterator
 
@@ -35,9 +35,10 @@ MEMO_WORDS, MEMO_CHARS, JOINED_WORDS = 600_000, 40, 2_000
 BATCH_TEXTS, BATCH_CHARS = 2_048, 8_000_000
 #: What a space can be cut off before: neither white space nor a control character.
 CUT = re.compile(r"[^\s\x00-\x20\x7f-\xa0]")
-#: Signs at a word's end that are cut off it, so many at most, where one of these letters or digits is before them: no pretoken holds both.
-TAIL, TAIL_CHARS = string.punctuation, 3
-BEFORE_TAIL = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() or c in string.digits)
+#: Latin letters, up to which character they go, and signs. All are so in every version of Unicode.
+LETTERS, LATIN_END = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", 0x250
+#: A word's parts that no pretoken reaches over: letters and digits, signs, a line break with letters after it, signs.
+PARTS = rf"^(?P<stem>[0-9{LETTERS}]+)(?P<tail>[[:punct:]]{{0,3}})(?:(?P<line>\n[{LETTERS}]+)(?P<end>[[:punct:]]{{0,3}}))?$"
 BLOCK = "part int, block int, at long, n_ids long, first_doc long, last_doc long, doc_ids array<long>, counts array<int>, base int, width int, rules binary, lengths binary, sequence binary"
 
 
@@ -55,6 +56,8 @@ class Encoder:
 
     A word is what lies between two places to cut, without its space. Words that a batch doesn't know are encoded by
     one call for many, joined as they would be in a text; the bytes that each id stands for tell where a word ends.
+    Signs and further lines in a word are cut off and looked up apart. Latin letters are a pretoken as they are, so
+    they go to the library's model without its splitting.
     Words live in two generations: one that is met again moves to the young one, and when that is full the old one goes.
     """
 
@@ -70,9 +73,10 @@ class Encoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # in a byte-level vocabulary each character is a byte
         for token, k in vocab.items():
             self.sizes[k] = len(token)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}  # bounded by TAIL_CHARS
+        self.model = self._model_alone(vocab)
+        self.words: list[dict[str, bytes]] = [{}, {}]  # the young generation, the old one
+        self.lines: list[dict[str, bytes]] = [{}, {}]
+        self.tails: dict[str, bytes] = {}  # of up to three signs
 
     def _bytes(self, ids: list[int]) -> bytes:
         import numpy as np
@@ -82,48 +86,104 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model_alone(self, vocab: dict[str, int]):
+        """The library's model, which takes words in its byte-level characters as pretokens, parted by spaces; None
+        where the tokenizer does more to a word of letters than to write its bytes so."""
+        import numpy as np
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        way, added = self.t.pre_tokenizer, self.t.get_added_tokens_decoder().values()
+        plain = isinstance(way, pre_tokenizers.ByteLevel) and way.use_regex and isinstance(self.t.model, models.BPE) and self.t.normalizer is None
+        if not plain or self.t.truncation or self.t.padding or any(a.content.strip().isalpha() for a in added):
+            return None
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        others = sorted(set(range(256)).difference(kept))
+        self.signs = np.arange(256, dtype="<u2")
+        self.signs[others] = 256 + np.arange(len(others))
+        self.signs[[0, 32]] = self.signs[32], 32  # in a list of words: the space before one, and what parts them
+        alone = Tokenizer(self.t.model)
+        alone.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        return alone
+
+    def _cut(self, tokenizer, text: str, ends) -> list[bytes]:
+        """The ids of a text, cut where so many bytes are told."""
+        import numpy as np
+
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends = (self.width * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _signed(self, data) -> str:
+        return self.signs[data].tobytes().decode("utf-16-le")
+
     def _joined(self, words: list[str]) -> list[bytes]:
-        """The ids of each word after a space."""
+        """The ids of each word after a space; those of Latin letters alone by the model."""
         import numpy as np
 
         text = " ".join(words) + " "
-        ids = np.array(self.t.encode_batch_fast([" " + text[:-1]], add_special_tokens=False)[0].ids, f"<u{self.width}")
-        ends = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32) + 1
-        ends = self.width * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def _learn(self, distinct: list[str]) -> list[str]:
-        """Has the ids of all these words after a space in the young memory; returns what hardly comes again.
-        None stands for what a space can't be cut off before."""
-        if len(self.young) > MEMO_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = [w for w in distinct if w not in young]
-        fresh, tailed = [], []
+        data = np.frombuffer(text.encode(), np.uint8)
+        ends = np.flatnonzero(data == 32) + 1
+        if not self.model or not "".join(words).isalpha() or np.frombuffer(text.encode("utf-16-le"), "<u2").max() >= LATIN_END:
+            return self._cut(self.t, " " + text[:-1], ends)
+        return self._cut(self.model, self._signed(np.insert(data[:-1], np.concatenate([[0], ends[:-1]]), 0)), ends)
+
+    def _lines(self, lines: list[str]) -> list[bytes]:
+        """The ids of each line break with letters after it."""
+        import numpy as np
+
+        if not self.model:
+            return self._each(lines)
+        data = np.frombuffer("".join(lines).encode(), np.uint8)
+        at = np.flatnonzero(data == 10)
+        return self._cut(self.model, self._signed(np.insert(data, np.concatenate([at + 1, at[1:]]), 32)), [*at[1:], len(data)])
+
+    @staticmethod
+    def _kinds(words: list[str]) -> list[list[str]]:
+        """Words of Latin letters and other words, without those that a space can't be cut off before."""
+        letters = list(filter(str.isalpha, words))
+        latin = letters if "".join(letters).isascii() else [w for w in letters if ord(max(w)) < LATIN_END]
+        return [latin, list(filter(CUT.match, set(words).difference(latin)))]
+
+    def _recall(self, words: list[str], memory: list[dict[str, bytes]], encode, kinds=lambda words: [words]):
+        """An Arrow array of the words' ids: from memory, or as ``encode`` says for each of ``kinds``; null for words of no kind."""
+        import pyarrow as pa
+
+        if len(memory[0]) > MEMO_WORDS:
+            memory[:] = {}, memory[0]
+        young, old = memory
+        new = list(itertools.filterfalse(young.__contains__, words))
+        young.update((w, old[w]) for w in filter(old.__contains__, new))
+        fresh = list(itertools.filterfalse(old.__contains__, new))
+        for group in kinds(fresh):
+            for k in range(0, len(group), JOINED_WORDS):
+                young.update(zip(group[k : k + JOINED_WORDS], encode(group[k : k + JOINED_WORDS]), strict=True))
+        found = pa.array(list(map(young.get, words)), pa.large_binary())
         for w in new:
-            if w in old:
-                young[w] = old[w]
-            elif CUT.match(w):
-                stem = w.rstrip(TAIL)
-                if 0 < len(w) - len(stem) <= TAIL_CHARS and stem[-1:] in BEFORE_TAIL:
-                    tailed.append((w, stem, w[len(stem) :]))
-                else:
-                    fresh.append(w)
-            else:
-                young[w] = None
-        stems = {stem for _, stem, _ in tailed}.difference(young, fresh)
-        for w in stems.intersection(old):
-            young[w] = old[w]
-        fresh += [w for w in stems if w not in young]
-        for k in range(0, len(fresh), JOINED_WORDS):
-            some = fresh[k : k + JOINED_WORDS]
-            young.update(zip(some, self._joined(some), strict=True))
-        unknown = list({tail for _, _, tail in tailed}.difference(self.tails))
-        self.tails.update(zip(unknown, self._each(unknown), strict=True))
-        for w, stem, tail in tailed:
-            young[w] = young[stem] + self.tails[tail]
-        return [w for w in (*new, *stems) if len(w) > MEMO_CHARS]
+            if len(w) > MEMO_CHARS:  # hardly comes again
+                young.pop(w, None)
+        return found
+
+    def _words(self, words):
+        """Arrow arrays of different words and of the ids of each after a space, null where it can't be cut off."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        listed = lambda a: a.to_numpy(zero_copy_only=False).tolist()
+        found = pc.extract_regex(words, PARTS)
+        part = lambda n: pc.fill_null(pc.struct_field(found, n), "").dictionary_encode()
+        stem, line = pc.coalesce(pc.struct_field(found, "stem"), words).dictionary_encode(), part("line")
+        of_lines = listed(line.dictionary)
+        ids = [self._recall(listed(stem.dictionary), self.words, self._joined, self._kinds).take(stem.indices)]
+        for signs in (part("tail"), part("end")):
+            told = listed(signs.dictionary)
+            unknown = [x for x in told if x not in self.tails]
+            self.tails.update(zip(unknown, self._each(unknown), strict=True))
+            ids.append(pa.array([self.tails[x] for x in told], pa.large_binary()).take(signs.indices))
+        ids.insert(2, self._recall([x for x in of_lines if x], self.lines, self._lines))
+        blank = of_lines.index("") if "" in of_lines else len(of_lines)
+        ids[2] = pa.concat_arrays([ids[2][:blank], pa.array([b""], pa.large_binary()), ids[2][blank:]]).take(line.indices)
+        return pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary()))
 
     def batch(self, texts) -> list[bytes]:
         """The ids of each text of a list or an Arrow array of strings, without nulls.
@@ -143,39 +203,25 @@ class Encoder:
         starts, ends = starts[:-1] - starts[0], starts[1:] - starts[0]
         words = parts.flatten()
         coded, heads = words.dictionary_encode(), words.take(starts).dictionary_encode()
-        codes = coded.indices.to_numpy().copy()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        codes[starts] = len(coded.dictionary) + heads.indices.to_numpy()
         listed = lambda a: a.to_numpy(zero_copy_only=False).tolist()
-        distinct, first = listed(coded.dictionary), listed(heads.dictionary)
-        codes[starts] = len(distinct) + heads.indices.to_numpy()
-        used = np.zeros(len(distinct) + len(first), bool)
-        used[codes] = True
-        known = [w for w, u in zip(distinct, used.tolist(), strict=False) if u]
-        rare = self._learn(known)
-        found = list(map(self.young.__getitem__, known))
-        number = np.cumsum(used) - 1  # of the words and first words that are used, in their order
-        codes, odd = number[codes], np.zeros(len(found) + len(first), bool)
-        if None in found:
-            odd[[k for k, ids in enumerate(found) if ids is None]] = True
-            found = [ids or b"" for ids in found]
-        pieces = found + self._each(first)
-        if odd.any():  # texts with a space that isn't a place to cut are encoded whole: one piece each, in their first word's place
-            bad = np.logical_or.reduceat(odd[codes], starts)
+        known, first = self._words(coded.dictionary), pa.array(self._each(listed(heads.dictionary)), pa.large_binary())
+        pieces, odd = [known, first], np.zeros(len(known) + len(first), bool)
+        odd[: len(known)] = known.is_null().to_numpy(zero_copy_only=False)
+        if odd.any() and (bad := np.logical_or.reduceat(odd[codes], starts)).any():
+            # texts with a space that isn't a place to cut are encoded whole: one piece each, in their first word's place
             whole = np.flatnonzero(bad)
-            codes[starts[whole]] = len(pieces) + np.arange(len(whole))
-            pieces += self._each(listed(texts.take(whole)))
+            codes[starts[whole]] = len(odd) + np.arange(len(whole))
+            pieces.append(pa.array(self._each(listed(texts.take(whole))), pa.large_binary()))
             keep = ~np.repeat(bad, ends - starts)
             keep[starts] = True
             codes, ends = codes[keep], np.cumsum(keep)[ends - 1]
-        for w in rare:
-            del self.young[w]
-        flat = np.frombuffer(b"".join(pieces), f"<u{self.width}")
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
-        n = sizes[codes]
-        until = np.cumsum(n)
-        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - until + n, n)
-        at += np.arange(len(at))
-        out, until = flat[at].tobytes(), self.width * until[ends - 1]
-        return [out[a:b] for a, b in zip([0, *until[:-1].tolist()], until.tolist(), strict=True)]
+        taken = pa.concat_arrays(pieces).take(pa.array(codes))
+        _, bounds, data = taken.buffers()
+        until = np.frombuffer(bounds, np.int64)[ends].tolist()
+        out = data.to_pybytes() if data else b""
+        return [out[a:b] for a, b in zip([0, *until[:-1]], until, strict=True)]
 
 
 def compress(ids, base: int, least: int = LEAST_USES, rounds: int = ROUNDS):

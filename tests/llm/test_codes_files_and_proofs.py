@@ -111,6 +111,33 @@ def test_pieces_are_encoded_as_whole_texts(vocabulary):
         assert got == [library.encode(t, add_special_tokens=False).ids for t in NASTY + made]
 
 
+def test_words_are_encoded_once_whatever_is_around_them(vocabulary):
+    """Words with a line break went to the library as they were, each pair of them anew."""
+    import numpy as np
+
+    class Counted:
+        def __init__(self, of):
+            self.of, self.chars = of, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.chars += sum(map(len, texts))
+            return self.of.encode_batch_fast(texts, **more)
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeéñü") for _ in range(8))
+    some, library, encoder = [word() for _ in range(60)], tokenfile.tokenizer(vocabulary), tokenfile.Encoder(vocabulary)
+    names = [n for n in ("t", "model") if hasattr(encoder, n)]
+    for n in names:
+        setattr(encoder, n, Counted(getattr(encoder, n)))
+    # every word after every other one; a line break after a space, which isn't the same, beside one after a word
+    texts = ["x " + " ".join(f"{a}{r.choice(['.', '', '!?'])}\n{b}" for b in some) + f" {a},\n{a}... {a}'\n\n{a}\n" for a in some] + [f"x \n{a} {a}\n{a}" for a in some[:2]]
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.batch(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(getattr(encoder, n).chars for n in names) < sum(map(len, texts)) / 10
+    for t in ("x ж\nж жa\naж aж.\nDe a×\nb a\n×", "x a \nDe b\nDe", "x a.\r\nb a.\n b a'\ns a\n's a's\nt"):
+        assert np.frombuffer(encoder.batch([t])[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_token_file_of_nasty_rows(spark, tmp_path, vocabulary, monkeypatch):
     rows = [(7 * k - 20, t) for k, t in enumerate(NASTY)] + [(None, "no id"), (900, None), (901, "long text here. " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).select("*", *[F.lit("clash").alias(c) for c in ("part", "block", "at", "counts", "ids", "start")])

@@ -15,7 +15,6 @@ reaches over such a place, and none looks past it.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -142,7 +141,7 @@ class Encoder:
     def _kinds(words: list[str]) -> list[list[str]]:
         """Words of Latin letters and other words, without those that a space can't be cut off before."""
         letters = list(filter(str.isalpha, words))
-        latin = letters if "".join(letters).isascii() else [w for w in letters if ord(max(w)) < LATIN_END]
+        latin = [w for w in letters if w.isascii() or ord(max(w)) < LATIN_END]
         return [latin, list(filter(CUT.match, set(words).difference(latin)))]
 
     def _recall(self, words: list[str], memory: list[dict[str, bytes]], encode, kinds=lambda words: [words]):
@@ -152,17 +151,20 @@ class Encoder:
         if len(memory[0]) > MEMO_WORDS:
             memory[:] = {}, memory[0]
         young, old = memory
-        new = list(itertools.filterfalse(young.__contains__, words))
-        young.update((w, old[w]) for w in filter(old.__contains__, new))
-        fresh = list(itertools.filterfalse(old.__contains__, new))
-        for group in kinds(fresh):
+        found = list(map(young.get, words))
+        places = [k for k, ids in enumerate(found) if ids is None]
+        new = [words[k] for k in places]
+        again = list(map(old.get, new))
+        young.update((w, ids) for w, ids in zip(new, again, strict=True) if ids is not None)
+        for group in kinds([w for w, ids in zip(new, again, strict=True) if ids is None]):
             for k in range(0, len(group), JOINED_WORDS):
                 young.update(zip(group[k : k + JOINED_WORDS], encode(group[k : k + JOINED_WORDS]), strict=True))
-        found = pa.array(list(map(young.get, words)), pa.large_binary())
+        for k, w in zip(places, new, strict=True):
+            found[k] = young.get(w)
         for w in new:
             if len(w) > MEMO_CHARS:  # hardly comes again
                 young.pop(w, None)
-        return found
+        return pa.array(found, pa.large_binary())
 
     def _words(self, words):
         """Arrow arrays of different words and of the ids of each after a space, null where it can't be cut off."""
@@ -305,19 +307,16 @@ def expand(sequence, rules, base: int):
     What each rule stands for is written out once, from the rules before it; the symbols of the sequence then pick their stretches.
     """
     import numpy as np
+    import pyarrow as pa
 
     seq = np.asarray(sequence, np.int64)
     rules = np.asarray(rules, np.int64)[: max(0, int(seq.max(initial=0)) - base + 1)]
     texts: list[bytes] = []
     for a, b in rules.tolist():
         texts.append((texts[a - base] if a >= base else a.to_bytes(4, "little")) + (texts[b - base] if b >= base else b.to_bytes(4, "little")))
-    sizes = np.array([len(x) for x in texts], np.int64) // 4
-    flat = np.concatenate([np.frombuffer(b"".join(texts), "<u4"), seq.astype(np.uint32)])  # rules, then the sequence itself for plain ids
-    length, first = np.ones(len(seq), np.int64), len(flat) - len(seq) + np.arange(len(seq))
-    named = seq >= base
-    length[named], first[named] = sizes[seq[named] - base], (np.cumsum(sizes) - sizes)[seq[named] - base]
-    ends = np.cumsum(length)
-    return flat[np.repeat(first - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int64)
+    plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), base, [None, pa.py_buffer(np.arange(0, 4 * base + 1, 4, dtype=np.int64)), pa.py_buffer(np.arange(base, dtype="<u4"))])
+    found = pa.concat_arrays([plain, pa.array(texts, pa.large_binary())]).take(pa.array(seq))
+    return np.frombuffer(found.buffers()[2] or b"", "<u4").astype(np.int64)
 
 
 def decode_range(sequence, rules, lengths, base: int, start: int, n: int):
